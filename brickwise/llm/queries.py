@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brickwise.llm.common import table
+from brickwise.llm.license_scan import license_scan, license_sql
+from brickwise.llm.secret_scan import secret_scan, secret_sql
 from brickwise.llm.simhash_dedup import simhash_components
 from brickwise.llm.token_counts import token_counts
 
@@ -15,6 +17,14 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -24,8 +34,8 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_token_counts, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op4_license_scan, op5_secret_scan, op7_token_counts, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_scan": license_sql(), "op5_secret_scan": secret_sql()}
