@@ -9,6 +9,7 @@ from brickwise.llm.license_scan import license_scan, license_sql
 from brickwise.llm.secret_scan import secret_scan, secret_sql
 from brickwise.llm.simhash_dedup import simhash_components
 from brickwise.llm.token_counts import token_counts
+from brickwise.llm.toxicity import toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -29,12 +30,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_license_scan, op5_secret_scan, op7_token_counts, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op4_license_scan, op5_secret_scan, op7_token_counts, op9_toxicity, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
