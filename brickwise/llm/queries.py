@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brickwise.llm.common import table
 from brickwise.llm.license_scan import license_scan, license_sql
+from brickwise.llm.quality import quality
 from brickwise.llm.secret_scan import secret_scan, secret_sql
 from brickwise.llm.simhash_dedup import simhash_components
 from brickwise.llm.token_counts import token_counts
@@ -26,6 +27,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -39,7 +44,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_license_scan, op5_secret_scan, op7_token_counts, op9_toxicity, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op4_license_scan, op5_secret_scan, op6_quality, op7_token_counts, op9_toxicity, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
