@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brickwise.llm.common import table
+from brickwise.llm.decontaminate import benchmark_leaks
 from brickwise.llm.license_scan import license_scan, license_sql
 from brickwise.llm.quality import quality
 from brickwise.llm.secret_scan import secret_scan, secret_sql
 from brickwise.llm.simhash_dedup import simhash_components
+from brickwise.llm.substring_dedup import substring_dedup
 from brickwise.llm.token_counts import token_counts
 from brickwise.llm.toxicity import toxicity
 
@@ -19,6 +21,14 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -44,7 +54,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_license_scan, op5_secret_scan, op6_quality, op7_token_counts, op9_toxicity, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_substring_dedup, op4_license_scan, op5_secret_scan, op6_quality, op7_token_counts, op9_toxicity, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
