@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,34 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+class Forest:
+    """Union-find over 0..n-1."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self) -> np.ndarray:
+        up = self.up
+        while True:
+            higher = up[up]
+            if (higher == up).all():
+                self.up = up
+                return up
+            up = higher
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        top = self.roots()
+        a, b = top[i], top[j]
+        apart = a != b
+        up = self.up
+        for x, y in np.unique(np.c_[a[apart], b[apart]], axis=0).tolist():
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            up[max(x, y)] = min(x, y)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the smallest node reachable.
 

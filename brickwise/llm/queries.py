@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brickwise.llm.common import table
 from brickwise.llm.decontaminate import benchmark_leaks
+from brickwise.llm.embedding_dedup import embedding_components
 from brickwise.llm.license_scan import license_scan, license_sql
 from brickwise.llm.quality import quality
 from brickwise.llm.secret_scan import secret_scan, secret_sql
@@ -45,6 +46,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +59,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op3_substring_dedup, op4_license_scan, op5_secret_scan, op6_quality, op7_token_counts, op9_toxicity, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_substring_dedup, op4_license_scan, op5_secret_scan, op6_quality, op7_token_counts, op8_embedding_dedup, op9_toxicity, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickwise.llm.common import connected_components, stage, text_or_empty
+from brickwise.llm.common import Forest, connected_components, stage, text_or_empty
 
 WORDS_PER_SHINGLE = 4
 SEED = 42
@@ -121,34 +121,6 @@ def bit_sliced_links(run: np.ndarray, prints: np.ndarray, radius: int = RADIUS)
         s += 1
 
 
-class Forest:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def roots(self) -> np.ndarray:
-        up = self.up
-        while True:
-            higher = up[up]
-            if (higher == up).all():
-                self.up = up
-                return up
-            up = higher
-
-    def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        top = self.roots()
-        a, b = top[i], top[j]
-        apart = a != b
-        up = self.up
-        for x, y in np.unique(np.c_[a[apart], b[apart]], axis=0).tolist():
-            while up[x] != x:
-                x = up[x]
-            while up[y] != y:
-                y = up[y]
-            up[max(x, y)] = min(x, y)
-
-
 def _forest_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted (unit, fp) rows the spanning forest of the links found in each unit."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
