@@ -10,6 +10,7 @@ from brickwise.llm.embedding_dedup import embedding_components
 from brickwise.llm.license_scan import license_scan, license_sql
 from brickwise.llm.quality import quality
 from brickwise.llm.secret_scan import secret_scan, secret_sql
+from brickwise.llm.sentencepiece_scan import encode_documents
 from brickwise.llm.simhash_dedup import simhash_components
 from brickwise.llm.substring_dedup import substring_dedup
 from brickwise.llm.token_counts import token_counts
@@ -26,6 +27,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op3_substring_dedup, op4_license_scan, op5_secret_scan, op6_quality, op7_token_counts, op8_embedding_dedup, op9_toxicity, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_substring_dedup, op4_license_scan, op5_secret_scan, op6_quality, op7_token_counts, op8_embedding_dedup, op9_toxicity, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,6 +14,11 @@ LEAST_CHARS = 40
 BREAK = r"(?<=[.!?])\s+|\n+"
 
 
+def _row():
+    """What tells rows apart wherever they are computed: rows of one id and text are one document."""
+    return F.xxhash64("doc_id", text_or_empty())
+
+
 def _sentences():
     return F.filter(F.split(text_or_empty(), BREAK), lambda s: s.rlike(r"[\p{L}\p{N}]"))
 
@@ -23,7 +28,7 @@ def sentence_runs(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHAR
     don't tell case, punctuation or white space apart."""
     plain = F.transform("sentences", lambda s: F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", ""))
     keyed = F.transform(plain, lambda p: F.struct(F.xxhash64(p).alias("h"), F.length(p).alias("n")))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _sentences().alias("sentences"))
+    rows = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _sentences().alias("sentences"))
     rows = rows.select("row", "doc_id", keyed.alias("k")).where(F.size("k") >= run)
 
     def one(i):
@@ -55,10 +60,10 @@ def substring_dedup(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CH
     sentence; text is what is left, its sentences joined by a space. Rows without a repeat aren't returned.
 
     A null or empty text, or one of fewer sentences than a run, has no run and stays as it is. Repeated
-    rows count as copies: all but the first lose what they share. A null id sorts first. Other columns
+    rows of one id and text are one document and share its result, a row each. A null id sorts first. Other columns
     are ignored; an empty table gives an empty result."""
     found = repeated_sentences(docs, run, least_chars)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _sentences().alias("sentences"))
+    rows = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _sentences().alias("sentences"))
     both = rows.join(found, "row")
     left = F.array_except(F.sequence(F.lit(0), F.size("sentences") - 1), F.col("removed"))
     return both.select(

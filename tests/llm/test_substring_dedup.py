@@ -37,7 +37,7 @@ def test_against_brute_force(spark):
 
 def test_repeated_rows_and_empty_table(spark):
     text = "This is the first sentence. Here the second one stands. And the third one ends it."
-    docs = spark.createDataFrame([(1, text), (1, text), (None, "x")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, text), (2, text), (None, "x")], "doc_id long, text string")
     got = substring_dedup(docs).collect()
-    assert [(r.doc_id, r.removed, r.first_docs, r.text) for r in got] == [(1, [0, 1, 2], [1], "")]
+    assert [(r.doc_id, r.removed, r.first_docs, r.text) for r in got] == [(2, [0, 1, 2], [1], "")] * 2
     assert substring_dedup(docs.limit(0)).collect() == []
