@@ -47,11 +47,11 @@ def _spans(text: Column, kind: int) -> Column:
     return F.when(text.rlike(LIKELY.get(name, pattern)), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def secret_spans(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
-    """The columns of the repository and the owner, doc_id, and the sorted spans of every row."""
+def secret_spans(docs: DataFrame, repository: str = "doc_id", owner: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of the repository, the owner and of keep, doc_id, and the sorted spans of every row."""
     text = text_or_empty()
     spans = F.array_sort(F.concat(*[_spans(text, k) for k in range(len(KINDS))]))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), spans.alias("spans"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), *keep, spans.alias("spans"))
 
 
 def value_owners(found: DataFrame) -> DataFrame:
@@ -62,16 +62,16 @@ def value_owners(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("digest").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def secret_scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+def secret_scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each row of docs(doc_id, text, owner): doc_id, n_assign, n_access, n_hex, base_sha256, spans,
     n_spans, n_live, live_spans and found (the spans with their value's digest, owners, repositories
     and whether it looks live).
 
     A value is a widely copied example if example_owners owners or example_repositories repositories
-    have it, else it looks live. A null text counts as empty: counts 0, no spans, the digest of the
+    have it, else it looks live. Columns in keep are carried. A null text counts as empty: counts 0, no spans, the digest of the
     empty string. A null owner or repository is one of its own. Repeated rows keep a row each and
     count as one repository. Other columns are ignored; an empty table gives an empty result."""
-    found = stage(secret_spans(docs, repository, owner).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    found = stage(secret_spans(docs, repository, owner, keep).withColumn("row", F.monotonically_increasing_id()), "secrets")
     owners = value_owners(found)
     each = found.select("row", F.explode("spans").alias("s")).select("row", "s", F.sha2("s.value", 256).alias("digest"))
     live = (F.col("n_owners") < example_owners) & (F.col("n_repositories") < example_repositories)
@@ -88,6 +88,7 @@ def secret_scan(docs: DataFrame, repository: str = "doc_id", owner: str = "sourc
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     return rows.select(
         "doc_id",
+        *keep,
         *[count(k).alias(f"n_{name}") for k, name in enumerate(BASE)],
         F.sha2(write(base), 256).alias("base_sha256"),
         write(F.col("spans")).alias("spans"),

@@ -153,22 +153,24 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: tuple[in
     return Model(lexicon, Trees().fit(x, y), isotonic(out, y))
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and the columns of keep, with score, for every row, in one pass without a shuffle."""
+def score(docs: DataFrame, model: Model, name: str = "score", with_text: bool = False) -> DataFrame:
+    """All columns of docs, text only if asked for, with a score column of the given name, in one pass without a
+    shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text_or_empty().alias("__text"))
-    schema = rows.drop("__text").schema.add("score", "double")
+    rows = docs.withColumn("text", text_or_empty()) if not with_text else docs
+    at_text = rows.columns.index("text")
+    kept = [c for c in rows.columns if with_text or c != "text"]
+    schema = rows.select(*kept).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(sent.value.lexicon)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            found = []
-            for at in range(0, len(texts), 512):
-                x = np.array([features(t, weights) for t in texts.slice(at, 512).to_pylist()])
+            found = [np.zeros(0)]
+            for at in range(0, batch.num_rows, 512):
+                x = np.array([features(t or "", weights) for t in batch.column(at_text).slice(at, 512).to_pylist()])
                 found.append(sent.value.score(x))
-            scores = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            columns = [batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found), pa.float64())], names=[*kept, name])
 
     return rows.mapInArrow(run, schema)
 
@@ -180,5 +182,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     repeated rows keep a row each; a null id keeps its row. Without labels of both classes the score
     is the share of toxic rows (0 without any). Other columns are ignored; an empty table gives an
     empty result."""
-    scored = score(docs, train(docs, labels))
+    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
     return scored.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
