@@ -51,15 +51,16 @@ def _starts(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), F.filter(at, lambda i: (F.get(words, i) == parts[0]) & same(i))).otherwise(F.array().cast("array<int>"))
 
 
-def phrase_places(text: Column) -> Column:
-    """A struct of the starts of every phrase; texts that can hold none are told by one regular expression."""
-    loose = "|".join(SEPARATORS.join(p.split()) for p in PHRASES)
-    loose = f"(?i)(?:{loose.replace('\\x60', '\\x40\\x5B-\\x60')})"
-    words = words_of(text)
+def likely_words(text: Column) -> Column:
+    """The words of a text in which a phrase can stand, told by one regular expression; else null."""
+    loose = "|".join(SEPARATORS.join(p.split()) for p in PHRASES).replace("\\x60", "\\x40\\x5B-\\x60")
+    return F.when(text.rlike(f"(?i)(?:{loose})"), words_of(text))
+
+
+def phrase_places(words: str) -> Column:
+    """A struct of the starts of every phrase in a column of words; none where that is null."""
     none = F.array().cast("array<int>")
-    return F.when(text.rlike(loose), F.struct(*[_starts(words, p).alias(f"p{k}") for k, p in enumerate(PHRASES)])).otherwise(
-        F.struct(*[none.alias(f"p{k}") for k in range(len(PHRASES))])
-    )
+    return F.struct(*[F.coalesce(_starts(F.col(words), p), none).alias(f"p{k}") for k, p in enumerate(PHRASES)])
 
 
 def template_order(docs: DataFrame, templates: dict[str, str]) -> list[str]:
@@ -117,7 +118,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     doc_id keeps its row. Other columns are ignored; an empty table gives an empty result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     text = text_or_empty()
-    rows = docs.select("doc_id", _count_words(text).alias("n_words"), phrase_places(text).alias("p"))
+    rows = docs.select("doc_id", _count_words(text).alias("n_words"), likely_words(text).alias("words")).select("doc_id", "n_words", phrase_places("words").alias("p"))
     names = list(PHRASES.values())
     every = F.concat(*[F.col(f"p.p{k}") for k in range(len(names))])
     base = F.concat(*[F.when(F.size(f"p.p{k}") > 0, F.array(F.lit(n))).otherwise(F.array().cast("array<string>")) for k, n in enumerate(names)])
