@@ -72,18 +72,18 @@ def erode(mask: DataFrame, count: int) -> DataFrame:
     return mask.join(votes.select("x", "y", "z"), ["x", "y", "z"], "left_semi").select("x", "y", "z")
 
 
-def sieve(voxels: DataFrame, threshold: float, size: tuple[int, int, int], margin: int = 3, least: int = 1, open_axes: str = "xyz") -> DataFrame:
+def sieve(voxels: DataFrame, threshold: float, size: tuple[int, int, int], margin: int = 3, least: int = 1, open_axes: str = "xyz", block: int = BLOCK) -> DataFrame:
     """The voxels of the blocks that aren't outside air, dilated by a margin over faces and edges; values are kept."""
-    counts = tuple(-(-n // BLOCK) for n in size)
-    outside = outside_air(classify_blocks(voxels, threshold, least), counts, open_axes)
-    tagged = voxels.select("x", "y", "z", "grey", *block_columns())
+    counts = tuple(-(-n // block) for n in size)
+    outside = outside_air(classify_blocks(voxels, threshold, least, block), counts, open_axes)
+    tagged = voxels.select("x", "y", "z", "grey", *block_columns(block))
     kept = tagged.join(outside, BX, "left_anti").select("x", "y", "z")
     if not margin:
         return voxels.join(kept, ["x", "y", "z"], "left_semi")
     # A margin reaches only the blocks next to kept ones: the dilation starts from voxels at their rims.
     rim = F.lit(False)
     for c in "xyz":
-        rim = rim | (F.col(c) % BLOCK < 1) | (F.col(c) % BLOCK >= BLOCK - 1)
+        rim = rim | (F.col(c) % block == 0) | (F.col(c) % block == block - 1)
     grown = dilate(kept.where(rim), margin, 18, ((0, 0, 0), size))
     return voxels.join(kept.union(grown).distinct(), ["x", "y", "z"], "left_semi").select("x", "y", "z", "grey")
 

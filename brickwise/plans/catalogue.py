@@ -1,11 +1,15 @@
-"""The registered queries and their SQL equivalents, gathered from the operator modules."""
+"""The registered queries and their SQL equivalents, gathered from the plan modules."""
 
 from __future__ import annotations
 
+from brickwise.plans import analysis_queries, grid_queries
+
+MODULES = (grid_queries, analysis_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.Q.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
