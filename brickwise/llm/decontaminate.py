@@ -26,7 +26,14 @@ def words_of(text: Column) -> Column:
 
 
 def shingle_at(words: Column, i: Column) -> Column:
-    return F.xxhash64(F.slice(words, i + 1, WORDS_PER_SHINGLE))
+    """The hash of five words by place; slices would copy the whole array each time."""
+    return F.xxhash64(*[F.get(words, i + k) for k in range(WORDS_PER_SHINGLE)])
+
+
+def window_at(hashes: Column, start: Column, size: Column) -> Column:
+    """So many hashes from a place, fewer where they end."""
+    last = F.least(size, F.size(hashes) - start) - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.get(hashes, start + k))
 
 
 def shingles(words: Column) -> Column:
@@ -40,16 +47,20 @@ def simhash(hashes: Column) -> Column:
     counters of four 16-bit lanes each count all bits, in rounds of at most 2^15 hashes' room."""
     zero = F.array(*[F.lit(0).cast("long")] * LANES)
     spread = lambda h: F.array(*[F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANE_MASK)) for k in range(LANES)])
-    sums = F.aggregate(hashes, zero, lambda acc, h: F.zip_with(acc, spread(h), lambda a, b: a + b))
-    half = F.size(hashes)
-    bits = [
-        F.when(F.shiftrightunsigned(F.get(sums, F.lit(b % LANES)), 16 * (b // LANES)).bitwiseAND(F.lit(0xFFFF)) * 2 > half, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-        for b in range(64)
-    ]
-    out = bits[0]
-    for x in bits[1:]:
-        out = out.bitwiseOR(x)
-    return out
+
+    def counted(h: Column) -> Column:
+        sums = F.aggregate(h, zero, lambda acc, x: F.zip_with(acc, spread(x), lambda a, b: a + b))
+        return F.struct(sums.alias("sums"), F.size(h).alias("n"))
+
+    def combined(c: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for b in range(64):
+            count = F.shiftrightunsigned(F.get(c["sums"], F.lit(b % LANES)), 16 * (b // LANES)).bitwiseAND(F.lit(0xFFFF))
+            out = out.bitwiseOR(F.when(count * 2 > c["n"], F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+        return out
+
+    # Hashes and counts are bound to variables: they are read many times and made once.
+    return F.get(F.transform(F.transform(F.array(hashes), counted), combined), F.lit(0))
 
 
 def needed_stride(sizes: list[int], similarity: float) -> int:
@@ -94,7 +105,7 @@ def _one_pass(docs: DataFrame, items: DataFrame, known: list[int], stride: int,
     n = F.size("hashes")
     last = F.greatest(n - F.col("m"), F.lit(0))
     starts = F.array_distinct(F.flatten(F.transform("ps", lambda p: F.sequence(F.least(F.greatest(p - F.col("m") + 1, F.lit(0)), last), F.least(p, last)))))
-    windows = met.select("row", "hashes").join(sized, "row").select("row", "m", F.explode(F.transform(starts, lambda s: F.struct(s.alias("s"), simhash(F.slice("hashes", s + 1, F.col("m"))).alias("fp")))).alias("w"))
+    windows = met.select("row", "hashes").join(sized, "row").select("row", "m", F.explode(F.transform(starts, lambda s: F.struct(s.alias("s"), simhash(window_at(F.col("hashes"), s, F.col("m"))).alias("fp")))).alias("w"))
     windows = windows.select("row", "m", "w.s", "w.fp")
 
     prints = items.select("item_id", "m", simhash(F.col("hashes")).alias("item_fp"))
@@ -105,17 +116,22 @@ def _one_pass(docs: DataFrame, items: DataFrame, known: list[int], stride: int,
     near = keyed.join(F.broadcast(index), ["m", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     cand = near.groupBy("row", "item_id").agg(F.collect_set(F.struct("s", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("bits"))).alias("found"))
 
-    grams = items.select("item_id", "m", F.col("hashes").alias("item"))
+    each = F.transform(F.array_distinct("hashes"), lambda x: F.struct(x.alias("h"), F.size(F.filter("hashes", lambda h: h == x)).alias("n")))
+    grams = items.select("item_id", "m", F.col("hashes").alias("item"), each.alias("distinct"))
     full = cand.join(F.broadcast(grams), "item_id").join(met, "row")
-    distinct = F.array_distinct("item")
+    count = lambda array, x: F.size(F.filter(array, lambda h: h == x))
+
+    def taken(w: Column) -> Column:
+        return F.struct(w["s"].alias("s"), w["bits"].alias("bits"), window_at(F.col("hashes"), w["s"], F.col("m")).alias("window"))
+
+    def rated(w: Column) -> Column:
+        both = F.aggregate("distinct", F.lit(0), lambda acc, x: acc + F.least(x["n"], count(w["window"], x["h"])))
+        return F.struct(both.alias("both"), F.size(w["window"]).alias("n"), (-w["s"]).alias("back"), w["bits"].alias("bits"))
 
-    def alike(s: Column) -> Column:
-        window = F.slice("hashes", s + 1, F.col("m"))
-        count = lambda array, x: F.size(F.filter(array, lambda h: h == x))
-        both = F.aggregate(distinct, F.lit(0), lambda acc, x: acc + F.least(count(F.col("item"), x), count(window, x)))
-        return both / (F.size("item") + F.size(window) - both)
+    def scored(r: Column) -> Column:
+        return F.struct((r["both"] / (F.size("item") + r["n"] - r["both"])).alias("similarity"), r["back"].alias("back"), r["bits"].alias("bits"))
 
-    tried = F.transform("found", lambda w: F.struct(alike(w["s"]).alias("similarity"), (-w["s"]).alias("back"), w["bits"].alias("bits")))
+    tried = F.transform(F.transform(F.transform("found", taken), rated), scored)
     best = full.select("doc_id", "item_id", "m", "hashes", F.array_max(tried).alias("best"))
     return best.where(F.col("best.similarity") >= similarity - 1e-12).select(
         "doc_id",
