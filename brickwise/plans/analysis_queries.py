@@ -275,19 +275,19 @@ def nearest_neighbour(spark, sf_dir):
     return surface.nearest(points.where("id % 20 = 0"), points).select(F.col("id").alias("a"), "nearest")
 
 
-@query("WITH v AS (SELECT date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROUP BY 1), s AS (SELECT h, v, lag(v) OVER (ORDER BY h) AS b, lead(v) OVER (ORDER BY h) AS a FROM v) SELECT epoch(h)::BIGINT AS hour, round(CASE WHEN a IS NULL OR b IS NULL THEN v ELSE (b + 2 * v + a) / 4 END::DOUBLE, 4) AS smooth FROM s")
+@query("WITH v AS (SELECT date_trunc('hour', ts) AS h, floor(avg(value) * 1000 + 0.5) / 1000 AS v FROM events GROUP BY 1), s AS (SELECT h, v, lag(v) OVER (ORDER BY h) AS b, lead(v) OVER (ORDER BY h) AS a FROM v) SELECT epoch(h)::BIGINT AS hour, round(CASE WHEN a IS NULL OR b IS NULL THEN v ELSE (b + 2 * v + a) / 4 END::DOUBLE, 7) AS smooth FROM s")
 def smoothing_121(spark, sf_dir):
-    v = table(spark, sf_dir, "events").groupBy(F.unix_timestamp(F.date_trunc("hour", "ts")).alias("hour")).agg(F.avg("value").alias("v"))
-    return battery.smooth(v, "hour", "v").select("hour", F.round("smooth", 4).alias("smooth"))
+    v = table(spark, sf_dir, "events").groupBy(F.unix_timestamp(F.date_trunc("hour", "ts")).alias("hour")).agg((F.floor(F.avg("value") * 1000 + 0.5) / 1000).alias("v"))
+    return battery.smooth(v, "hour", "v").select("hour", F.round("smooth", 7).alias("smooth"))
 
 
-PEAKS = """v AS (SELECT (epoch(ts) // 86400)::BIGINT AS day, round(avg(value)::DOUBLE, 6) AS v FROM events GROUP BY 1), n AS (SELECT day, v, lag(v) OVER (ORDER BY day) AS b, lead(v) OVER (ORDER BY day) AS a FROM v), p AS (SELECT day, v FROM n WHERE v > coalesce(b, -1e300) AND v >= coalesce(a, -1e300)),
+PEAKS = """v AS (SELECT floor(epoch(ts) / 86400)::BIGINT AS day, floor(avg(value)::DOUBLE * 1000 + 0.5) / 1000 AS v FROM events GROUP BY 1), n AS (SELECT day, v, lag(v) OVER (ORDER BY day) AS b, lead(v) OVER (ORDER BY day) AS a FROM v), p AS (SELECT day, v FROM n WHERE v > coalesce(b, -1e300) AND v >= coalesce(a, -1e300)),
 w AS (SELECT p.day, p.v, coalesce((SELECT min(x.v) FROM v x WHERE x.day < p.day AND x.day > coalesce((SELECT max(y.day) FROM v y WHERE y.day < p.day AND y.v > p.v), -1)), p.v) AS lo, coalesce((SELECT min(x.v) FROM v x WHERE x.day > p.day AND x.day < coalesce((SELECT min(y.day) FROM v y WHERE y.day > p.day AND y.v > p.v), 99999999)), p.v) AS hi FROM p)"""
 
 
 @query(f"WITH {PEAKS} SELECT day, round(v, 6) AS v, round(v - greatest(lo, hi), 6) AS prominence FROM w WHERE v - greatest(lo, hi) >= 0.5")
 def radial_profile_peaks(spark, sf_dir):
-    v = table(spark, sf_dir, "events").groupBy(F.floor(F.unix_timestamp("ts") / 86400).alias("day")).agg(F.round(F.avg("value"), 6).alias("v"))
+    v = table(spark, sf_dir, "events").groupBy(F.floor(F.unix_timestamp("ts") / 86400).alias("day")).agg((F.floor(F.avg("value") * 1000 + 0.5) / 1000).alias("v"))
     return battery.peaks(v.withColumn("profile", F.lit(0)), ["profile"], "day", "v", 0.5).select("day", F.round("v", 6).alias("v"), F.round("prominence", 6).alias("prominence"))
 
 
