@@ -100,7 +100,7 @@ def non_local_means(voxels: DataFrame, sigma: float, strength: float = 1.0, sear
     a cut; a voxel's own weight is the largest of the others. Bricks with a halo of search + patch are kernels."""
     halo = search + patch
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         base = [k * brick - halo for k in key]
         n = brick + 2 * halo
         grey = np.zeros((n, n, n))
@@ -218,7 +218,7 @@ def thickness_map(voxels: DataFrame, radius: int, brick: int = 32) -> DataFrame:
     Bricks with a halo of 2 (radius + 1) are kernels: distances, then balls drawn from the largest down."""
     halo = 2 * (radius + 1)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         n = brick + 2 * halo
         at = tuple(pdf[c].to_numpy() - k * brick + halo for c, k in zip("xyz", key, strict=True))
         mask = np.zeros((n, n, n), dtype=bool)

@@ -162,7 +162,7 @@ def extract_surface(voxels: DataFrame, iso: float, brick: int = 32, fill: float
     """(x1 .. z3) of the iso surface's triangles by marching tetrahedra, a brick with a halo of one voxel at a time; every
     cell belongs to the brick of its lower corner. Inactive voxels have the fill value."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         n = brick + 2
         grey = np.full((n, n, n), fill, dtype=float)
         base = [k * brick - 1 for k in key]

@@ -411,3 +411,10 @@ def denoise_score(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("found"), (F.col("l_quantity") * 1500).alias("truth"), (F.col("l_quantity") > 25).alias("material"))
     got = filters.score(rows)
     return got.select(*[F.round(c, 4).alias(c) for c in got.columns])
+
+
+@query("SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS start, event_type, count(*)::BIGINT AS n, sum(floor(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    from brickwise.streaming.events import windowed_counts
+
+    return windowed_counts(table(spark, sf_dir, "events"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brickwise.plans import analysis_queries, grid_queries
+from brickwise.plans import analysis_queries, grid_queries, kernel_queries
 
-MODULES = (grid_queries, analysis_queries)
+MODULES = (grid_queries, analysis_queries, kernel_queries)
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -91,7 +92,7 @@ def write_raw(voxels: DataFrame, folder: str, nx: int, ny: int, fill: int = 0) -
     """One file z<slice>.raw of 16-bit little-endian values for each slice, written by the executors under another name
     and then renamed."""
 
-    def run(pdf):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         z = int(pdf["z"].iloc[0])
         plane = np.full((ny, nx), fill, dtype="<u2")
         plane[pdf["y"], pdf["x"]] = pdf["grey"]
