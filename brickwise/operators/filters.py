@@ -88,9 +88,8 @@ def with_halo(voxels: DataFrame, brick: int, halo: int) -> DataFrame:
     brick; about 6 halo / brick of the data is copied."""
     df = voxels
     for c in "xyz":
-        own = F.floor(F.col(c) / brick).cast("int")
         lo, hi = F.floor((F.col(c) - halo) / brick).cast("int"), F.floor((F.col(c) + halo) / brick).cast("int")
-        df = df.withColumn(f"t{c}", F.explode(F.array_distinct(F.array(own, lo, hi))))
+        df = df.withColumn(f"t{c}", F.explode(F.sequence(lo, hi)))
     return df
 
 
