@@ -1,38 +1,21 @@
-"""What several operators share: table reading, staging in the shared folder, connected components."""
+"""What several operators share: table reading, union-find, and staging and components of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brickwise.operators.graph import connected_components, shared_dir, stage
+
+__all__ = ["Forest", "connected_components", "shared_dir", "stage", "table", "text_or_empty"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder; any path that Spark's readers can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Only where that setting is
-    absent (tests, a single machine) is a folder of our own made, once for a session."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("brickwise.stage.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="brickwise-")
-        spark.conf.set("brickwise.stage.dir", found)
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends here, a lost executor costs
-    nothing that was staged, and what is read twice is computed once. Columns stay prunable."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -63,36 +46,3 @@ class Forest:
             while up[y] != y:
                 y = up[y]
             up[max(x, y)] = min(x, y)
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the undirected edges (a, b); root is the smallest node reachable.
-
-    Alternating large and small stars: every round links each node's neighbours to the smallest one
-    seen, first the larger neighbours, then the smaller; the edge set shrinks to one star for each
-    component in a number of rounds that grows with the logarithm of its size. All work is grouped
-    minima and equi-joins, whose skewed keys Spark can split; each round is staged, so lineage stays
-    short. An empty input gives an empty result."""
-    spark = edges.sparkSession
-    now = stage(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(),
-        "cc",
-    )
-
-    def signature(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
-
-    seen = signature(now)
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = stage(small.where("u != v").distinct(), "cc")
-        fresh = signature(now)
-        if fresh == seen:
-            break
-        seen = fresh
-    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
