@@ -418,3 +418,21 @@ def event_windows(spark, sf_dir):
     from brickwise.streaming.events import windowed_counts
 
     return windowed_counts(table(spark, sf_dir, "events"))
+
+
+@query("WITH r AS (SELECT CASE WHEN p_size % 11 = 0 THEN 'not measured' WHEN p_size % 13 = 0 THEN 'unrated' WHEN abs(p_retailprice - (900 + p_size * 4)) > 100 THEN 'fail' ELSE 'pass' END AS rating FROM part) SELECT count(*) FILTER (rating = 'pass')::BIGINT AS passed, count(*) FILTER (rating = 'fail')::BIGINT AS failed, count(*) FILTER (rating = 'not measured')::BIGINT AS not_measured, count(*) FILTER (rating = 'unrated')::BIGINT AS unrated, count(*) FILTER (rating IN ('fail', 'not measured')) = 0 AS accepted FROM r")
+def first_article_decision(spark, sf_dir):
+    from brickwise.operators.report import first_article
+
+    p = table(spark, sf_dir, "part")
+    rows = p.select(F.when(F.col("p_size") % 11 != 0, F.col("p_retailprice").cast("double")).alias("measured"), (900 + F.col("p_size") * 4).cast("double").alias("nominal"), F.when(F.col("p_size") % 13 != 0, F.lit(100.0)).alias("tolerance"))
+    return first_article(evaluate.rate(rows))
+
+
+@query("WITH e AS (SELECT o_orderpriority AS edge, min(o_totalprice)::DOUBLE AS lo, max(o_totalprice)::DOUBLE AS hi FROM orders GROUP BY 1), m AS (SELECT min(lo) AS a, max(hi) AS b, max(hi - lo) AS c FROM e) SELECT 'min_overhang_mm' AS criterion, round(a, 4) AS measured, 2000.0::DOUBLE AS bound, a >= 2000 AS ok FROM m UNION ALL SELECT 'max_overhang_mm', round(b, 4), 400000.0, b <= 400000 FROM m UNION ALL SELECT 'max_edge_spread_mm', round(c, 4), 600000.0, c <= 600000 FROM m")
+def battery_report(spark, sf_dir):
+    from brickwise.operators import report
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("edge"), F.col("o_totalprice").cast("double").alias("overhang_mm"))
+    got = report.battery_report(o, {"min_overhang_mm": 2000.0, "max_overhang_mm": 400000.0, "max_edge_spread_mm": 600000.0})
+    return got.select("criterion", F.round("measured", 4).alias("measured"), "bound", "ok")

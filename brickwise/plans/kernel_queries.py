@@ -115,3 +115,13 @@ def fit_elements(spark, sf_dir):
 @query
 def air_margin(spark, sf_dir):
     return blocks.dilate(parts(spark, sf_dir).where("grey >= 120"), 1, 26, BOX)
+
+
+@query
+def compare_nominal(spark, sf_dir):
+    from brickwise.operators import compare
+
+    triangles = surface.extract_surface(small_phantom(spark, sf_dir), 10500.0, 16, 1000.0)
+    mesh = compare.nominal_mesh(triangles.where("x1 < 7"))
+    points = surface.surface_points(small_phantom(spark, sf_dir), 10500.0).where("x < 6").select("x", "y", "z")
+    return compare.deviations(compare.mesh_distance(points, mesh), 0.1)
