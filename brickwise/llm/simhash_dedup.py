@@ -183,5 +183,6 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, tile: int = TILE)
     linked = stage(roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "least_doc"), "simhash-linked")
     named = linked.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     moved = linked.join(named, "root").select("fp", "component_id")
-    ids = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least_doc").alias("component_id"))
+    # Staged, so that the last join's both sides are plain exchanges and a fingerprint of very many rows can be split.
+    ids = stage(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least_doc").alias("component_id")), "simhash-ids")
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
