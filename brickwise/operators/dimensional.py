@@ -86,3 +86,46 @@ def element_distances(pairs: DataFrame) -> DataFrame:
     across = F.sqrt(F.greatest(straight * straight - along * along, F.lit(0.0)))
     distance = F.when(F.col("a_kind") == "plane", along).when(F.col("a_kind") == "cylinder", across).otherwise(straight)
     return pairs.withColumns({"distance": distance, "angle": F.degrees(F.acos(F.least(F.abs(dot), F.lit(1.0))))})
+
+
+def datum_frame(primary: np.ndarray, secondary: np.ndarray, tertiary: np.ndarray) -> np.ndarray:
+    """The 4x4 matrix into the frame of three datum planes, each (point, normal): the first gives z, the second, made square
+    to it, x, and the origin is where the three meet."""
+    z = primary[1] / np.linalg.norm(primary[1])
+    x = secondary[1] - (secondary[1] @ z) * z
+    if np.linalg.norm(x) < 1e-9:
+        raise ValueError("the second datum is parallel to the first")
+    x /= np.linalg.norm(x)
+    y = np.cross(z, x)
+    normals = np.stack([p[1] / np.linalg.norm(p[1]) for p in (primary, secondary, tertiary)])
+    if abs(np.linalg.det(normals)) < 1e-9:
+        raise ValueError("the datums don't meet in one point")
+    origin = np.linalg.solve(normals, [n @ p[0] for n, p in zip(normals, (primary, secondary, tertiary), strict=True)])
+    out = np.eye(4)
+    out[:3, :3] = np.stack([x, y, z])
+    out[:3, 3] = -out[:3, :3] @ origin
+    return out
+
+
+def reference_points(nominal: np.ndarray, actual: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """The 4x4 matrix of the small motion that brings each actual point onto its nominal one along its direction: six or
+    more linear equations in three turns and three shifts, repeated until the motion vanishes."""
+    if len(nominal) < 6:
+        raise ValueError("six reference points at least determine a motion")
+    m = np.eye(4)
+    for _ in range(20):
+        p = actual @ m[:3, :3].T + m[:3, 3]
+        a = np.concatenate([np.cross(p, directions), directions], axis=1)
+        if np.linalg.matrix_rank(a) < 6:
+            raise ValueError("the reference points leave a motion free")
+        step = np.linalg.lstsq(a, ((nominal - p) * directions).sum(1), rcond=None)[0]
+        angle = np.linalg.norm(step[:3])
+        k = step[:3] / angle if angle > 1e-15 else np.zeros(3)
+        cross = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
+        turn = np.eye(4)
+        turn[:3, :3] = np.eye(3) + np.sin(angle) * cross + (1 - np.cos(angle)) * cross @ cross
+        turn[:3, 3] = step[3:]
+        m = turn @ m
+        if np.abs(step).max() < 1e-12:
+            break
+    return m
