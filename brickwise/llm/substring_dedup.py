@@ -10,6 +10,8 @@ from brickwise.llm.common import stage, text_or_empty
 #: Consecutive sentences in a run, and the letters and digits that it needs at least.
 RUN = 3
 LEAST_CHARS = 40
+#: Fewer sentences, one even, are a run too if they have so many letters and digits, about fifty words.
+LONG_CHARS = 200
 #: A sentence ends behind its mark, where white space follows, or with the line.
 BREAK = r"(?<=[.!?])\s+|\n+"
 
@@ -23,21 +25,28 @@ def _sentences():
     return F.filter(F.split(text_or_empty(), BREAK), lambda s: s.rlike(r"[\p{L}\p{N}]"))
 
 
-def sentence_runs(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(row, doc_id, at, digest): every run of sentences of every row, by the hashes of its sentences, which
-    don't tell case, punctuation or white space apart."""
+def sentence_runs(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, long_chars: int = LONG_CHARS) -> DataFrame:
+    """(row, doc_id, at, size, digest): every run of sentences of every row, by the hashes of its sentences, which don't
+    tell case, punctuation or white space apart; and the shorter runs of long sentences."""
     plain = F.transform("sentences", lambda s: F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", ""))
     keyed = F.transform(plain, lambda p: F.struct(F.xxhash64(p).alias("h"), F.length(p).alias("n")))
     rows = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _sentences().alias("sentences"))
-    rows = rows.select("row", "doc_id", keyed.alias("k")).where(F.size("k") >= run)
+    rows = rows.select("row", "doc_id", keyed.alias("k")).where(F.size("k") > 0)
 
-    def one(i):
-        parts = [F.get("k", i + j) for j in range(run)]
-        total = sum((p["n"] for p in parts[1:]), parts[0]["n"])
-        return F.struct(i.alias("at"), F.xxhash64(*[p["h"] for p in parts]).alias("digest"), total.alias("n"))
+    def of(size: int):
+        least = least_chars if size == run else long_chars
 
-    runs = F.filter(F.transform(F.sequence(F.lit(0), F.size("k") - run), one), lambda x: x["n"] >= least_chars)
-    return rows.select("row", "doc_id", F.explode(runs).alias("r")).select("row", "doc_id", "r.at", "r.digest")
+        def enough(i):
+            return sum((F.get("k", i + j)["n"] for j in range(1, size)), F.get("k", i)["n"]) >= least
+
+        def one(i):
+            return F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.lit(size), *[F.get("k", i + j)["h"] for j in range(size)]).alias("digest"))
+
+        found = F.transform(F.filter(F.sequence(F.lit(0), F.size("k") - size), enough), one)
+        return F.when(F.size("k") >= size, found).otherwise(F.array().cast("array<struct<at:int,size:int,digest:bigint>>"))
+
+    runs = F.concat(*[of(size) for size in range(1, run + 1)])
+    return rows.select("row", "doc_id", F.explode(runs).alias("r")).select("row", "doc_id", "r.at", "r.size", "r.digest")
 
 
 def repeated_sentences(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -50,8 +59,8 @@ def repeated_sentences(docs: DataFrame, run: int = RUN, least_chars: int = LEAST
     firsts = runs.groupBy("digest").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     firsts = stage(firsts, "repeats")
     later = runs.join(firsts, "digest").where(~here.eqNullSafe(F.col("first")))
-    covered = later.groupBy("row").agg(F.collect_set("at").alias("ats"), F.array_sort(F.collect_set("first.doc_id")).alias("first_docs"))
-    spread = F.array_sort(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + run - 1)))))
+    covered = later.groupBy("row").agg(F.collect_set(F.struct("at", "size")).alias("ats"), F.array_sort(F.collect_set("first.doc_id")).alias("first_docs"))
+    spread = F.array_sort(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a["at"], a["at"] + a["size"] - 1)))))
     return covered.select("row", spread.alias("removed"), "first_docs")
 
 
@@ -59,7 +68,7 @@ def substring_dedup(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CH
     """(doc_id, n_sentences, n_removed, removed, first_docs, text) for the rows of docs(doc_id, text) that lose a
     sentence; text is what is left, its sentences joined by a space. Rows without a repeat aren't returned.
 
-    A null or empty text, or one of fewer sentences than a run, has no run and stays as it is. Repeated
+    A null or empty text, or one of fewer and short sentences, has no run and stays as it is. Repeated
     rows of one id and text are one document and share its result, a row each. A null id sorts first. Other columns
     are ignored; an empty table gives an empty result."""
     found = repeated_sentences(docs, run, least_chars)

@@ -9,12 +9,13 @@ def brute(rows):
     plain = [[re.sub(r"[\W_]+", "", s.lower()) for s in doc] for doc in split]
     seen, gone = {}, [set() for _ in rows]
     for k in sorted(range(len(rows)), key=lambda k: rows[k][0]):
-        for i in range(len(plain[k]) - 2):
-            run = tuple(plain[k][i : i + 3])
-            if sum(map(len, run)) >= 40:
-                if run in seen:
-                    gone[k] |= {i, i + 1, i + 2}
-                seen.setdefault(run, k)
+        for size, least in ((1, 200), (2, 200), (3, 40)):
+            for i in range(len(plain[k]) - size + 1):
+                run = tuple(plain[k][i : i + size])
+                if sum(map(len, run)) >= least:
+                    if run in seen:
+                        gone[k] |= set(range(i, i + size))
+                    seen.setdefault(run, k)
     return sorted((rows[k][0], len(split[k]), sorted(gone[k]), " ".join(s for i, s in enumerate(split[k]) if i not in gone[k])) for k in range(len(rows)) if gone[k])
 
 
@@ -30,6 +31,8 @@ def test_against_brute_force(spark):
             text[at:at] = rnd.choice(shared)
         rows.append((d, rnd.choice([" ", "\n", "  "]).join(text)))
     rows += [(900, None), (901, ""), (902, " . ! "), (903, "One two. " * 20000), (904, " ".join(shared[0]).upper()), (905, " ".join(shared[0]).upper())]
+    long = " ".join("".join(rnd.choices("abcdé", k=6)) for _ in range(60))
+    rows += [(906, long), (907, "Other words. " + long.upper() + ". End"), (908, f"{long[:150]} x. {long[150:300]}"), (909, f"{long[:150]} x. {long[150:300]}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as row", "3 as digest").repartition(5)
     got = sorted((r.doc_id, r.n_sentences, r.removed, r.text) for r in substring_dedup(docs).collect())
     assert got == brute(rows) and len(got) > 50
