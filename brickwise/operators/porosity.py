@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from brickwise.functions.keys import offsets
 from brickwise.operators.blocks import BX, block_columns, dilate
 from brickwise.operators.components import components, faces
+from brickwise.operators.graph import stage
 from brickwise.operators.histogram import upper_median
 
 
@@ -28,7 +29,7 @@ def candidates(voxels: DataFrame, threshold: float) -> DataFrame:
 
 def labelled_candidates(voxels: DataFrame, threshold: float, brick: int = 64) -> DataFrame:
     """Candidates with their 26-connected component and whether any voxel of it is a seed."""
-    found = candidates(voxels, threshold)
+    found = stage(candidates(voxels, threshold), "candidates")
     labels = components(found, 26, brick=brick).join(found, ["x", "y", "z"])
     outside = labels.groupBy("component").agg(F.bool_or("seed").alias("outside"), F.count("*").alias("n"))
     return labels.join(outside, "component")

@@ -10,6 +10,7 @@ from brickwise.functions.keys import morton, natural_key, offsets
 from brickwise.operators import blocks, histogram, volume
 from brickwise.operators.components import component_statistics, components, faces, keep_largest
 from brickwise.operators.generate import box_phantom, phantom_volume
+from brickwise.operators.graph import stage
 from brickwise.plans.volumes import BOX, FLAGSHIP, PARTS, SMALL, parts, phantom_sql, small_phantom, table
 
 Q: dict = {}
@@ -344,6 +345,6 @@ def flagship_porosity_phantom(spark, sf_dir):
 
     v = box_phantom(spark, FLAGSHIP)
     threshold = histogram.otsu(histogram.grey_histogram(v)).first()["threshold"]
-    kept = blocks.sieve(v, threshold, (FLAGSHIP.size,) * 3)
+    kept = stage(blocks.sieve(v, threshold, (FLAGSHIP.size,) * 3), "sieved")
     pores = find_pores(kept, threshold, least=3)
     return pores.groupBy("component").agg(F.count("*").alias("voxels")).select("voxels")
