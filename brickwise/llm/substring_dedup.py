@@ -25,9 +25,45 @@ def _sentences():
     return F.filter(F.split(text_or_empty(), BREAK), lambda s: s.rlike(r"[\p{L}\p{N}]"))
 
 
-def sentence_runs(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, long_chars: int = LONG_CHARS) -> DataFrame:
+def _grown(run: int, least_chars: int):
+    """Runs of more than run sentences, where run of them are too short: those that start at each sentence and those that
+    end at each, with as many as are needed. A repeated stretch of enough letters then has a run over each of its
+    sentences. A sentence has a letter at least, so no run has more than least_chars sentences."""
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"))
+    most = max(run, least_chars)
+
+    def step(acc, n):
+        done = (acc["size"] >= run) & (acc["n"] >= least_chars)
+        return F.struct(F.when(done, acc["size"]).otherwise(acc["size"] + 1).alias("size"), F.when(done, acc["n"]).otherwise(acc["n"] + n).alias("n"))
+
+    def place(at, size):
+        return F.struct(at.alias("at"), size.alias("size"))
+
+    def reached(got, at):
+        return F.when((got["size"] > run) & (got["n"] >= least_chars), place(at, got["size"]))
+
+    def short(i):
+        return sum((F.get("k", i + j)["n"] for j in range(1, run)), F.get("k", i)["n"]) < least_chars
+
+    lengths = F.col("k.n")
+    onward = lambda i: F.aggregate(F.slice(lengths, i + 1, most), start, step, lambda got: reached(got, i))
+
+    def back(i):
+        end = i + run
+        first = F.greatest(end - most, F.lit(0))
+        return F.aggregate(F.reverse(F.slice(lengths, first + 1, end - first)), start, step, lambda got: reached(got, end - got["size"]))
+
+    starts = F.filter(F.sequence(F.lit(0), F.size("k") - run), short)
+    places = F.array_distinct(F.filter(F.flatten(F.transform(starts, lambda i: F.array(onward(i), back(i)))), lambda p: p.isNotNull()))
+    hashes = F.col("k.h")
+    found = F.transform(places, lambda p: F.struct(p["at"].alias("at"), p["size"].alias("size"), F.xxhash64(p["size"], F.slice(hashes, p["at"] + 1, p["size"])).alias("digest")))
+    return F.when(F.size("k") > run, found).otherwise(F.array().cast("array<struct<at:int,size:int,digest:bigint>>"))
+
+
+def sentence_runs(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, long_chars: int = LONG_CHARS, grow: bool = False) -> DataFrame:
     """(row, doc_id, at, size, digest): every run of sentences of every row, by the hashes of its sentences, which don't
-    tell case, punctuation or white space apart; and the shorter runs of long sentences."""
+    tell case, punctuation or white space apart; and the shorter runs of long sentences. With grow, runs of short
+    sentences are as long as they need to be."""
     plain = F.transform("sentences", lambda s: F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", ""))
     keyed = F.transform(plain, lambda p: F.struct(F.xxhash64(p).alias("h"), F.length(p).alias("n")))
     rows = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _sentences().alias("sentences"))
@@ -45,16 +81,16 @@ def sentence_runs(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHAR
         found = F.transform(F.filter(F.sequence(F.lit(0), F.size("k") - size), enough), one)
         return F.when(F.size("k") >= size, found).otherwise(F.array().cast("array<struct<at:int,size:int,digest:bigint>>"))
 
-    runs = F.concat(*[of(size) for size in range(1, run + 1)])
+    runs = F.concat(*[of(size) for size in range(1, run + 1)], *([_grown(run, least_chars)] if grow else []))
     return rows.select("row", "doc_id", F.explode(runs).alias("r")).select("row", "doc_id", "r.at", "r.size", "r.digest")
 
 
-def repeated_sentences(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS) -> DataFrame:
+def repeated_sentences(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, grow: bool = False) -> DataFrame:
     """(row, removed, first_docs) of every row that has a repeated run which is not the first one: sorted indices
     of its covered sentences, and the documents that hold the first copies. First is the smallest doc_id,
     then row, then place. Counting is summed before its shuffle; hot digests meet only rows that Spark
     can split between tasks."""
-    runs = sentence_runs(docs, run, least_chars)
+    runs = sentence_runs(docs, run, least_chars, grow=grow)
     here = F.struct("doc_id", "row", "at")
     firsts = runs.groupBy("digest").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     firsts = stage(firsts, "repeats")
@@ -64,14 +100,15 @@ def repeated_sentences(docs: DataFrame, run: int = RUN, least_chars: int = LEAST
     return covered.select("row", spread.alias("removed"), "first_docs")
 
 
-def substring_dedup(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS) -> DataFrame:
+def substring_dedup(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, grow: bool = False) -> DataFrame:
     """(doc_id, n_sentences, n_removed, removed, first_docs, text) for the rows of docs(doc_id, text) that lose a
     sentence; text is what is left, its sentences joined by a space. Rows without a repeat aren't returned.
 
+    grow is what op3_substring_dedup runs with: stretches of short sentences are found too, if they have least_chars.
     A null or empty text, or one of fewer and short sentences, has no run and stays as it is. Repeated
     rows of one id and text are one document and share its result, a row each. A null id sorts first. Other columns
     are ignored; an empty table gives an empty result."""
-    found = repeated_sentences(docs, run, least_chars)
+    found = repeated_sentences(docs, run, least_chars, grow)
     rows = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _sentences().alias("sentences"))
     both = rows.join(found, "row")
     left = F.array_except(F.sequence(F.lit(0), F.size("sentences") - 1), F.col("removed"))

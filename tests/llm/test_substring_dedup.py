@@ -1,6 +1,7 @@
 import random
 import re
 
+from brickwise.llm.queries import op3_substring_dedup
 from brickwise.llm.substring_dedup import substring_dedup
 
 
@@ -44,3 +45,17 @@ def test_repeated_rows_and_empty_table(spark):
     got = substring_dedup(docs).collect()
     assert [(r.doc_id, r.removed, r.first_docs, r.text) for r in got] == [(2, [0, 1, 2], [1], "")] * 2
     assert substring_dedup(docs.limit(0)).collect() == []
+
+
+def test_query_finds_stretches_of_short_sentences(spark, tmp_path):
+    rnd = random.Random(7)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(1, 6))) for _ in range(400)]
+    marked = "!! ".join(rnd.sample(words, 120)) + "!!"
+    lines = "\n".join(rnd.sample(words, 80))
+    # The run that starts at the first line has too few letters for the last ones, the run that ends there has enough.
+    ends = ["x", "yy", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklm", "z", "q", "w"]
+    rows = [(1, marked), (2, marked.upper()), (3, lines), (4, "Something else. " + lines), (5, "a\nb\nc"), (6, "a\nb\nc")]
+    rows += [(7, "\n".join(ends)), (8, "\n".join(["other"] + ends)), (9, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.first_docs, r.text) for r in op3_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {2: (120, 120, [1], ""), 4: (81, 80, [3], "Something else."), 8: (8, 7, [7], "other")}
