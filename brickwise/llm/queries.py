@@ -12,7 +12,7 @@ from brickwise.llm.quality import quality
 from brickwise.llm.secret_scan import secret_scan, secret_sql
 from brickwise.llm.sentencepiece_scan import encode_documents
 from brickwise.llm.simhash_dedup import simhash_components
-from brickwise.llm.substring_dedup import substring_dedup
+from brickwise.llm.substring_dedup import INNER_CHARS, substring_dedup
 from brickwise.llm.token_counts import token_counts
 from brickwise.llm.toxicity import toxicity
 
@@ -32,7 +32,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"), grow=True)
+    return substring_dedup(table(spark, sf_dir, "documents"), grow=True, long_chars=INNER_CHARS, inner=True)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,10 @@ LEAST_CHARS = 40
 LONG_CHARS = 200
 #: A sentence ends behind its mark, where white space follows, or with the line.
 BREAK = r"(?<=[.!?])\s+|\n+"
+#: What op3_substring_dedup takes: a passage of fifty words that begins and ends inside sentences may hold one whole
+#: sentence or none. A shared sentence of about twelve words is proof enough, and so is a piece between commas.
+INNER_CHARS = 60
+INNER_BREAK = r"(?<=[,;:])\s+"
 
 
 def _row():
@@ -25,6 +29,26 @@ def _sentences():
     return F.filter(F.split(text_or_empty(), BREAK), lambda s: s.rlike(r"[\p{L}\p{N}]"))
 
 
+def _pieces(s):
+    return F.filter(F.split(s, INNER_BREAK), lambda p: p.rlike(r"[\p{L}\p{N}]"))
+
+
+def _plain(s):
+    return F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", "")
+
+
+def _inner(least: int):
+    """The pieces between commas of so many letters at least, as runs of the size -1 for a sentence's first piece, -2 for
+    its second; a piece has the digest that it would have as a sentence."""
+
+    def one(s, i):
+        keyed = F.transform(F.transform(_pieces(s), _plain), lambda p, j: F.struct(i.alias("at"), (-1 - j).alias("size"), F.xxhash64(F.lit(1), F.xxhash64(p)).alias("digest"), F.length(p).alias("n")))
+        enough = F.transform(F.filter(keyed, lambda x: x["n"] >= least), lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"), x["digest"].alias("digest")))
+        return F.when(s.rlike(INNER_BREAK) & (F.get("k", i)["n"] > least), enough).otherwise(F.array().cast("array<struct<at:int,size:int,digest:bigint>>"))
+
+    return F.flatten(F.transform("sentences", one))
+
+
 def _grown(run: int, least_chars: int):
     """Runs of more than run sentences, where run of them are too short: those that start at each sentence and those that
     end at each, with as many as are needed. A repeated stretch of enough letters then has a run over each of its
@@ -45,7 +69,7 @@ def _grown(run: int, least_chars: int):
     def short(i):
         return sum((F.get("k", i + j)["n"] for j in range(1, run)), F.get("k", i)["n"]) < least_chars
 
-    lengths = F.col("k.n")
+    lengths = F.col("lengths")
     onward = lambda i: F.aggregate(F.slice(lengths, i + 1, most), start, step, lambda got: reached(got, i))
 
     def back(i):
@@ -55,19 +79,20 @@ def _grown(run: int, least_chars: int):
 
     starts = F.filter(F.sequence(F.lit(0), F.size("k") - run), short)
     places = F.array_distinct(F.filter(F.flatten(F.transform(starts, lambda i: F.array(onward(i), back(i)))), lambda p: p.isNotNull()))
-    hashes = F.col("k.h")
-    found = F.transform(places, lambda p: F.struct(p["at"].alias("at"), p["size"].alias("size"), F.xxhash64(p["size"], F.slice(hashes, p["at"] + 1, p["size"])).alias("digest")))
+    found = F.transform(places, lambda p: F.struct(p["at"].alias("at"), p["size"].alias("size"), F.xxhash64(p["size"], F.slice("hashes", p["at"] + 1, p["size"])).alias("digest")))
     return F.when(F.size("k") > run, found).otherwise(F.array().cast("array<struct<at:int,size:int,digest:bigint>>"))
 
 
-def sentence_runs(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, long_chars: int = LONG_CHARS, grow: bool = False) -> DataFrame:
+def sentence_runs(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, long_chars: int = LONG_CHARS, grow: bool = False, inner: bool = False) -> DataFrame:
     """(row, doc_id, at, size, digest): every run of sentences of every row, by the hashes of its sentences, which don't
     tell case, punctuation or white space apart; and the shorter runs of long sentences. With grow, runs of short
-    sentences are as long as they need to be."""
-    plain = F.transform("sentences", lambda s: F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", ""))
+    sentences are as long as they need to be; with inner, long pieces of sentences are runs of a negative size."""
+    plain = F.transform("sentences", _plain)
     keyed = F.transform(plain, lambda p: F.struct(F.xxhash64(p).alias("h"), F.length(p).alias("n")))
     rows = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _sentences().alias("sentences"))
-    rows = rows.select("row", "doc_id", keyed.alias("k")).where(F.size("k") > 0)
+    rows = rows.select("row", "doc_id", keyed.alias("k"), "sentences")
+    if grow:
+        rows = rows.select("*", F.col("k.n").alias("lengths"), F.col("k.h").alias("hashes"))
 
     def of(size: int):
         least = least_chars if size == run else long_chars
@@ -81,42 +106,46 @@ def sentence_runs(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHAR
         found = F.transform(F.filter(F.sequence(F.lit(0), F.size("k") - size), enough), one)
         return F.when(F.size("k") >= size, found).otherwise(F.array().cast("array<struct<at:int,size:int,digest:bigint>>"))
 
-    runs = F.concat(*[of(size) for size in range(1, run + 1)], *([_grown(run, least_chars)] if grow else []))
+    runs = F.concat(*[of(size) for size in range(1, run + 1)], *([_grown(run, least_chars)] if grow else []), *([_inner(long_chars)] if inner else []))
     return rows.select("row", "doc_id", F.explode(runs).alias("r")).select("row", "doc_id", "r.at", "r.size", "r.digest")
 
 
-def repeated_sentences(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, grow: bool = False) -> DataFrame:
-    """(row, removed, first_docs) of every row that has a repeated run which is not the first one: sorted indices
-    of its covered sentences, and the documents that hold the first copies. First is the smallest doc_id,
+def repeated_sentences(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, grow: bool = False, long_chars: int = LONG_CHARS, inner: bool = False) -> DataFrame:
+    """(row, removed, cut, first_docs) of every row that has a repeated run which is not the first one: sorted indices
+    of its covered sentences, its repeated pieces, and the documents that hold the first copies. First is the smallest doc_id,
     then row, then place. Counting is summed before its shuffle; hot digests meet only rows that Spark
     can split between tasks."""
-    runs = sentence_runs(docs, run, least_chars, grow=grow)
-    here = F.struct("doc_id", "row", "at")
+    runs = sentence_runs(docs, run, least_chars, long_chars, grow, inner)
+    here = F.struct("doc_id", "row", "at", (-F.col("size")).alias("part"))
     firsts = runs.groupBy("digest").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     firsts = stage(firsts, "repeats")
     later = runs.join(firsts, "digest").where(~here.eqNullSafe(F.col("first")))
     covered = later.groupBy("row").agg(F.collect_set(F.struct("at", "size")).alias("ats"), F.array_sort(F.collect_set("first.doc_id")).alias("first_docs"))
-    spread = F.array_sort(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a["at"], a["at"] + a["size"] - 1)))))
-    return covered.select("row", spread.alias("removed"), "first_docs")
+    whole = F.filter("ats", lambda a: a["size"] > 0)
+    spread = F.array_sort(F.array_distinct(F.flatten(F.transform(whole, lambda a: F.sequence(a["at"], a["at"] + a["size"] - 1)))))
+    return covered.select("row", spread.alias("removed"), F.filter("ats", lambda a: a["size"] < 0).alias("cut"), "first_docs")
 
 
-def substring_dedup(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, grow: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, grow: bool = False, long_chars: int = LONG_CHARS, inner: bool = False) -> DataFrame:
     """(doc_id, n_sentences, n_removed, removed, first_docs, text) for the rows of docs(doc_id, text) that lose a
     sentence; text is what is left, its sentences joined by a space. Rows without a repeat aren't returned.
 
-    grow is what op3_substring_dedup runs with: stretches of short sentences are found too, if they have least_chars.
+    op3_substring_dedup runs with grow, which finds stretches of short sentences too if they have least_chars, and with
+    INNER_CHARS as long_chars and inner: of a sentence with a repeated piece between commas only the piece goes, and
+    removed lists it too.
     A null or empty text, or one of fewer and short sentences, has no run and stays as it is. Repeated
     rows of one id and text are one document and share its result, a row each. A null id sorts first. Other columns
     are ignored; an empty table gives an empty result."""
-    found = repeated_sentences(docs, run, least_chars, grow)
+    found = repeated_sentences(docs, run, least_chars, grow, long_chars, inner)
     rows = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _sentences().alias("sentences"))
     both = rows.join(found, "row")
-    left = F.array_except(F.sequence(F.lit(0), F.size("sentences") - 1), F.col("removed"))
-    return both.select(
-        "doc_id",
-        F.size("sentences").alias("n_sentences"),
-        F.size("removed").alias("n_removed"),
-        "removed",
-        "first_docs",
-        F.array_join(F.transform(left, lambda i: F.get("sentences", i)), " ").alias("text"),
-    )
+    empty = F.array().cast("array<string>")
+
+    def left(s, i):
+        gone = F.filter("cut", lambda c: c["at"] == i)
+        kept = F.filter(_pieces(s), lambda p, j: ~F.exists(gone, lambda c: c["size"] == -1 - j))
+        return F.when(F.array_contains("removed", i), empty).when(F.size(gone) > 0, kept).otherwise(F.array(s))
+
+    every = F.array_sort(F.array_union("removed", F.col("cut.at")))
+    text = F.array_join(F.flatten(F.transform("sentences", left)), " ") if inner else F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("sentences") - 1), F.col("removed")), lambda i: F.get("sentences", i)), " ")
+    return both.select("doc_id", F.size("sentences").alias("n_sentences"), F.size(every).alias("n_removed"), every.alias("removed"), "first_docs", text.alias("text"))

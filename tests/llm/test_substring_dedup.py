@@ -59,3 +59,14 @@ def test_query_finds_stretches_of_short_sentences(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_sentences, r.n_removed, r.first_docs, r.text) for r in op3_substring_dedup(spark, str(tmp_path)).collect()}
     assert got == {2: (120, 120, [1], ""), 4: (81, 80, [3], "Something else."), 8: (8, 7, [7], "other")}
+
+
+def test_query_finds_passages_that_begin_and_end_inside_sentences(spark, tmp_path):
+    rnd = random.Random(8)
+    some = lambda k: " ".join("".join(rnd.choices("abcdefghij", k=5)) for _ in range(k))
+    whole, pair = some(12), [some(7), some(6)]
+    passages = [f"{some(20)}. {whole}. {some(20)}", f"{some(20)}. {pair[0]}. {pair[1]}. {some(20)}", f"{some(20)}, {whole[::-1]}. {some(20)}"]
+    rows = [(2 * k + side, f"{some(9)} {p} {some(9)}.") for k, p in enumerate(passages) for side in (0, 1)] + [(9, f"{some(30)}. Just this.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.removed, r.first_docs, whole[::-1] in r.text) for r in op3_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: ([1], [0], False), 3: ([1, 2], [2], False), 5: ([0], [4], False)}
