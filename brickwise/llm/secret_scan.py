@@ -21,6 +21,16 @@ KINDS = (
 BASE = ("assign", "access", "hex")
 #: What says quickly that a text has no match of the kind that could be long enough.
 LIKELY = {"assign": KINDS[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
+#: The query's own pattern of a private key: the header and what is behind it up to its end, or, where the end is
+#: missing, the lines of base64. secret_sql has the header alone, which is all there is in the texts that it is held against.
+PEM_HEAD = KINDS[5][1]
+PEM = (
+    PEM_HEAD
+    + r"(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----"
+    + r"|(?:\s*(?:Proc-Type|DEK-Info):[^\n]*)*(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{40,}+={0,2})++(?:\s*[\r\n]+[A-Za-z0-9+/]++={0,2}(?=\s*(?:[\r\n]|$)))?)?"
+)
+#: What isn't the body of a key; keys are told apart by their bodies.
+PEM_FRAME = r"-----[A-Z ]*-----|\s+|\\[nr]"
 #: A value found with this many owners, or in this many repositories, is taken for a widely copied example.
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOSITORIES = 20
@@ -31,8 +41,13 @@ def _spans(text: Column, kind: int) -> Column:
     """The matches of a kind, leftmost and not overlapping, in code points; those that are too short are
     dropped after matching. Places follow from the lengths of the pieces between the matches."""
     name, pattern, group, least = KINDS[kind]
+    likely = LIKELY.get(name, pattern)
+    pattern = PEM if name == "pem" else pattern
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    if name == "pem":
+        body = lambda v: F.regexp_replace(v, PEM_FRAME, "")
+        value = F.transform(found, lambda v: F.when(body(v) == "", v).otherwise(body(v)))
     between = F.split(text, pattern, -1)
     rows = F.arrays_zip(F.transform(found, F.length).alias("m"), value.alias("v"), F.transform(F.slice(between, 1, F.size(found)), F.length).alias("b"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
@@ -41,10 +56,10 @@ def _spans(text: Column, kind: int) -> Column:
         begin = acc["at"] + x["b"]
         stop = begin + x["m"]
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), x["v"].alias("value"))
-        return F.struct(stop.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(stop.alias("at"), F.when((x["m"] if name == "pem" else F.length(x["v"])) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     spans = F.aggregate(rows, start, step)["out"]
-    return F.when(text.rlike(LIKELY.get(name, pattern)), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(likely), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def secret_spans(docs: DataFrame, repository: str = "doc_id", owner: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -35,3 +35,15 @@ def test_redact(spark):
 
 def test_empty_table(spark):
     assert secret_scan(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
+def test_private_keys_are_told_apart_and_go_whole(spark):
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = lambda i: "\n".join([f"MIIE{i:02d}" + "aB3+" * 14, "Zz9/" * 15, "Qk==" ])
+    rows = [(i, f"see {head}\n{body(i)}\n{end} done {i}", f"s{i}") for i in range(25)]
+    rows += [(30, f"{head}\n{body(30)}", "s30"), (31, f"a {head} is a header, {head}\n{body(31)}\n{end}.", "s31"), (32, f"{head}\r\n" + body(0).replace("\n", "\r\n") + f"\r\n{end}", "s0")]
+    rows += [(40, head + "\n" + "-x" * 200000, "s40")]
+    got = {r.doc_id: r for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=("text",)).select("*", redact(F.col("text"), F.filter("found", lambda s: s["live"])).alias("safe")).collect()}
+    assert all(got[i].n_live == 1 and got[i].safe == f"see [secret] done {i}" for i in range(25))
+    assert got[30].safe == "[secret]" and got[31].safe.endswith(" is a header, [secret].") and got[32].safe == "[secret]"
+    assert {s["n_repositories"] for s in got[0].found} == {2} and got[40].spans == f"pem:0:{len(head)}"
