@@ -31,7 +31,8 @@ PEM = (
 )
 #: What isn't the body of a key; keys are told apart by their bodies.
 PEM_FRAME = r"-----[A-Z ]*-----|\s+|\\[nr]"
-#: A value found with this many owners, or in this many repositories, is taken for a widely copied example.
+#: A value found with this many owners, or with more than one in this many repositories, is taken for a widely copied
+#: example. (secret_sql takes the repositories alone as well.)
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOSITORIES = 20
 SPAN = "struct<start:int,kind:int,stop:int,value:string>"
@@ -82,14 +83,14 @@ def secret_scan(docs: DataFrame, repository: str = "doc_id", owner: str = "sourc
     n_spans, n_live, live_spans and found (the spans with their value's digest, owners, repositories
     and whether it looks live).
 
-    A value is a widely copied example if example_owners owners or example_repositories repositories
-    have it, else it looks live. Columns in keep are carried. A null text counts as empty: counts 0, no spans, the digest of the
+    A value is a widely copied example if example_owners owners have it, or more than one owner in
+    example_repositories repositories, else it looks live. Columns in keep are carried. A null text counts as empty: counts 0, no spans, the digest of the
     empty string. A null owner or repository is one of its own. Repeated rows keep a row each and
     count as one repository. Other columns are ignored; an empty table gives an empty result."""
     found = stage(secret_spans(docs, repository, owner, keep).withColumn("row", F.monotonically_increasing_id()), "secrets")
     owners = value_owners(found)
     each = found.select("row", F.explode("spans").alias("s")).select("row", "s", F.sha2("s.value", 256).alias("digest"))
-    live = (F.col("n_owners") < example_owners) & (F.col("n_repositories") < example_repositories)
+    live = (F.col("n_owners") < example_owners) & ((F.col("n_owners") == 1) | (F.col("n_repositories") < example_repositories))
     judged = each.join(owners, "digest").groupBy("row").agg(
         F.array_sort(
             F.collect_list(F.struct("s.start", "s.kind", "s.stop", "digest", "n_owners", "n_repositories", live.alias("live")))

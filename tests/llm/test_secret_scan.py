@@ -47,3 +47,9 @@ def test_private_keys_are_told_apart_and_go_whole(spark):
     assert all(got[i].n_live == 1 and got[i].safe == f"see [secret] done {i}" for i in range(25))
     assert got[30].safe == "[secret]" and got[31].safe.endswith(" is a header, [secret].") and got[32].safe == "[secret]"
     assert {s["n_repositories"] for s in got[0].found} == {2} and got[40].spans == f"pem:0:{len(head)}"
+
+
+def test_one_owners_credential_is_live_in_any_number_of_documents(spark):
+    rows = [(i, "token=onlyowner1", "s0") for i in range(60)] + [(100 + i, "token=twoowners2", f"s{i % 2}") for i in range(20)] + [(200 + i, "token=threeown3", f"s{i}") for i in range(3)]
+    got = secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in got if r.n_live} == set(range(60))
