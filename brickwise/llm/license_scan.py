@@ -81,11 +81,35 @@ def _blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return lines.select("doc_id", "block", words.alias("words")).select("doc_id", "block", F.array_intersect("words", known).alias("hits"), F.size("words").alias("n_distinct")).where(F.size("hits") > 0)
 
 
+def _windows(docs: DataFrame, vocabulary: list[str], longest: int, least: int) -> DataFrame:
+    """Of each line with a template word what could meet a template that begins there: doc_id, block, hits (the line's
+    distinct template words), following (struct of the hits of a later line and the words between, for lines with fewer
+    than longest - 1 words between) and every (all hits, least of them at least). Lines without words don't count."""
+    known = F.array(*map(F.lit, vocabulary))
+
+    def line(text, i):
+        words = words_of(text)
+        return F.transform(F.array(words), lambda w: F.struct(i.cast("int").alias("block"), F.size(w).alias("n"), F.array_intersect(w, known).alias("hits")))[0]
+
+    lines = docs.select("doc_id", F.filter(F.transform(F.split(text_or_empty(), "\n"), line), lambda x: x["n"] > 0).alias("lines"))
+    near = F.transform("lines", lambda x, i: F.struct(x["block"].alias("block"), x["hits"].alias("hits"), F.slice("lines", i + 2, longest - 1).alias("near")))
+    near = lines.select("doc_id", F.explode(F.filter(near, lambda x: F.size(x["hits"]) > 0)).alias("w")).select("doc_id", "w.block", "w.hits", "w.near")
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<before:int,hits:array<string>>>").alias("out"))
+
+    def step(acc, x):
+        add = (acc["n"] < longest - 1) & (F.size(x["hits"]) > 0)
+        return F.struct((acc["n"] + x["n"]).alias("n"), F.when(add, F.concat(acc["out"], F.array(F.struct(acc["n"].alias("before"), x["hits"].alias("hits"))))).otherwise(acc["out"]).alias("out"))
+
+    found = near.select("doc_id", "block", "hits", F.aggregate("near", start, step, lambda acc: acc["out"]).alias("following"))
+    return found.select("*", F.array_union("hits", F.flatten("following.hits")).alias("every")).where(F.size("every") >= least)
+
+
 def template_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, block, label, containment) of every line that holds at least threshold of a template's
-    distinct words. Exact: a match shares a word of the template's prefix (its rarest words, one more
-    than may be missing), has as many words as are needed, and what is left behind the first common
-    word on either side can still reach the need. Only rows that pass are verified."""
+    """(doc_id, block, label, containment) of every line that holds, alone or with the lines behind it over which a
+    template that begins in it can be wrapped, at least threshold of the template's distinct words. A template of n
+    words takes lines until there are n - 1 behind the first. Exact: a match shares a word of the template's prefix
+    (its rarest words, one more than may be missing), and what is left behind the first common word on either side
+    can still reach the need. Only rows that pass are verified."""
     templates = TEMPLATES if templates is None else templates
     order = template_order(docs, templates)
     rank = {w: k for k, w in enumerate(order)}
@@ -93,17 +117,26 @@ def template_matches(docs: DataFrame, templates: dict[str, str] | None = None, t
     for label, text in sorted(templates.items()):
         ranks = sorted({rank[w] for w in text.split()})
         need = math.ceil(threshold * len(ranks) - 1e-9)
-        entries += [(r, label, p, len(ranks), need, ranks) for p, r in enumerate(ranks[: len(ranks) - need + 1])]
+        entries += [(r, label, p, len(ranks), need, ranks, len(text.split())) for p, r in enumerate(ranks[: len(ranks) - need + 1])]
     spark = docs.sparkSession
     # The prefix table has a row for each prefix word of the given templates: bounded by the parameter.
-    prefixes = spark.createDataFrame(entries, "rank int, label string, at int, size int, need int, template array<int>")
+    prefixes = spark.createDataFrame(entries, "rank int, label string, at int, size int, need int, template array<int>, length int")
     ranks = F.create_map(*[x for w, k in rank.items() for x in (F.lit(w), F.lit(k))])
-    ordered = _blocks(docs, order).select("doc_id", "block", "n_distinct", F.array_sort(F.transform("hits", lambda w: ranks[w])).alias("ranks"))
+    longest, least = max((e[6] for e in entries), default=1), min((e[4] for e in entries), default=1)
+    ranked = lambda words: F.transform(words, lambda w: ranks[w])
+    ordered = _windows(docs, order, longest, max(least, 1)).select(
+        "doc_id",
+        "block",
+        ranked(F.col("hits")).alias("own"),
+        F.transform("following", lambda x: F.struct(x["before"].alias("before"), ranked(x["hits"]).alias("hits"))).alias("following"),
+        F.array_sort(ranked(F.col("every"))).alias("ranks"),
+    )
     cand = ordered.select("*", F.posexplode("ranks").alias("place", "rank")).join(F.broadcast(prefixes), "rank")
-    cand = cand.where(F.col("n_distinct") >= F.col("need"))
     rest = F.least(F.col("size") - F.col("at"), F.size("ranks") - F.col("place"))
-    cand = cand.where(rest >= F.col("need"))
-    shared = F.size(F.array_intersect("ranks", "template"))
+    cand = cand.where(rest >= F.col("need")).where(F.size(F.array_intersect("ranks", "template")) >= F.col("need"))
+    reach = F.filter("following", lambda x: x["before"] < F.col("length") - 1)
+    held = F.array_union("own", F.flatten(F.transform(reach, lambda x: x["hits"])))
+    shared = F.size(F.array_intersect(held, F.col("template")))
     return cand.where(shared >= F.col("need")).select("doc_id", "block", "label", (shared / F.col("size")).alias("containment")).distinct()
 
 
@@ -112,7 +145,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     base_labels, labels, score.
 
     Phrase places are counted over the whole text, whatever separates their words; labels join those
-    of the phrases and of the templates that a line meets. score is 1 where a phrase stands, else
+    of the phrases and of the templates that a line meets, or lines over which they are wrapped (license_sql has
+    single lines only). score is 1 where a phrase stands, else
     the largest containment met, else 0. A null text counts as empty: no words, empty labels, null
     places. Repeated rows keep a row each; rows of one doc_id share the template labels. A null
     doc_id keeps its row. Other columns are ignored; an empty table gives an empty result."""

@@ -35,3 +35,13 @@ def test_other_thresholds(spark):
 
 def test_empty_table(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_wrapped_templates(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions\r\n\r\nare met:"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"
+    far = "released under\n" + "x y z w v\n" * 5 + "the mit license"
+    docs = spark.createDataFrame([(1, mit), (2, bsd), (3, mpl), (4, far), (5, "released under"), (5, "the mit")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.labels, r.score) for r in license_scan(docs).collect())
+    assert got == [(1, "mit-text", 1.0), (2, "bsd-3-clause", 1.0), (3, "mpl-2", 1.0), (4, "", 0.0), (5, "", 0.0), (5, "", 0.0)]
