@@ -30,20 +30,29 @@ class Shard:
         self.exact = _unit(vectors)
         self.graph = Graph(self.exact.astype(np.float32))
 
-    def pairs(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, queries: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(query, member) places of all links found: beams are doubled for queries whose beams are full of
-        links, and for all until the audited queries have enough of theirs."""
+        links, and for all until the audited queries have enough of theirs, by the mean of their shares without the
+        members of their own ids. What the full beam still misses is found by exact products."""
         exact = _unit(queries)
         audit = np.arange(0, len(queries), AUDIT_EVERY)
         truth = [np.flatnonzero(row >= self.cosine) for row in exact[audit] @ self.exact.T]
+        if ids is not None:
+            truth = [t[self.ids[t] != ids[a]] for a, t in zip(audit.tolist(), truth, strict=True)]
         while True:
             q, m = self._search(exact)
             found = set(zip(q.tolist(), m.tolist(), strict=True))
-            hits = sum((a, b) in found for a, t in zip(audit.tolist(), truth, strict=True) for b in t.tolist())
-            if hits >= RECALL * sum(map(len, truth)) or self.beam >= len(self.ids):
+            shares = [np.mean([(a, b) in found for b in t.tolist()]) for a, t in zip(audit.tolist(), truth, strict=True) if len(t)]
+            if not shares or np.mean(shares) >= RECALL:
                 return q, m
+            if self.beam >= len(self.ids):
+                return self._products(exact)
             self.beam *= 2
 
+    def _products(self, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [(q, m + at) for at in range(0, len(self.ids), QUERIES) for q, m in [np.nonzero(exact @ self.exact[at : at + QUERIES].T >= self.cosine)]]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
     def _search(self, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out_q, out_m = [], []
         todo, beam = np.arange(len(exact)), self.beam
@@ -69,7 +78,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _links(shard: Shard, ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
     """For each query its number of links, copies of members counted; and a spanning forest of the links."""
-    q, m = shard.pairs(vectors)
+    q, m = shard.pairs(vectors, ids)
     other = shard.ids[m] != ids[q]
     q, m = q[other], m[other]
     counts = np.bincount(q, shard.sizes[m], len(ids)).astype(np.int64)

@@ -67,3 +67,15 @@ def test_graph_recall():
 
 def test_empty_table(spark):
     assert embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_small_groups_count_in_audits_and_failed_ones_end_exactly():
+    rng = np.random.default_rng(3)
+    hot, pair = rng.normal(size=16), rng.normal(size=(16, 16))
+    x = np.concatenate([hot + 0.01 * rng.normal(size=(200, 16)), *[p + 0.01 * rng.normal(size=(2, 16)) for p in pair]])
+    shard = embedding_dedup.Shard(np.arange(len(x)), np.ones(len(x), dtype=np.int64), x, 0.9)
+    truth = set(zip(*(k.tolist() for k in shard._products(shard.exact)), strict=True))
+    shard.beam = len(x)
+    shard._search = lambda exact: tuple(np.array(k) for k in zip(*[(q, m) for q, m in truth if q < 200 or q == m], strict=True))
+    q, m = shard.pairs(x, np.arange(len(x)))
+    assert set(zip(q.tolist(), m.tolist(), strict=True)) == truth and len(q) > 200**2
