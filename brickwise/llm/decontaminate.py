@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickwise.llm.common import stage, text_or_empty
@@ -14,53 +14,70 @@ SIMILARITY = 0.8
 #: Fingerprints within so many bits are verified. Windows of similarity 0.8 differ in 10 bits on average, 19 is
 #: over three standard deviations more; random ones differ in 32.
 RADIUS = 19
-BLOCKS = 8
-#: Benchmark shingles that one pass over the documents looks for; a larger benchmark takes more passes.
-SHINGLES_PER_PASS = 40_000
-LANES = 16
-LANE_MASK = 0x0001000100010001
+#: Blocks of a fingerprint; one of them differs in RADIUS // BLOCKS bits at most if the whole is within the radius.
+BLOCKS = 5
+#: A lane is a long that counts two bits, 32 of its own bits for each: room for more hashes than an array has.
+LANES = 32
+LANE_MASK = 0x0000000100000001
+#: Windows whose fingerprints are made by one slide: as many as the window is long, but between these.
+SLIDE = (64, 2048)
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingle_at(words: Column, i: Column) -> Column:
-    """The hash of five words by place; slices would copy the whole array each time."""
-    return F.xxhash64(*[F.get(words, i + k) for k in range(WORDS_PER_SHINGLE)])
+def bound(value: Column, use) -> Column:
+    """use(value) with the value made once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def window_at(hashes: Column, start: Column, size: Column) -> Column:
-    """So many hashes from a place, fewer where they end."""
-    last = F.least(size, F.size(hashes) - start) - 1
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.get(hashes, start + k))
+def gram_at(words: Column, i: Column, size: int = WORDS_PER_SHINGLE) -> Column:
+    """The hash of so many words by place; slices would copy the whole array each time."""
+    return F.xxhash64(*[F.get(words, i + k) for k in range(size)])
 
 
-def shingles(words: Column) -> Column:
-    """Hashes of all runs of five words, repeats included; fewer words have none."""
-    last = F.size(words) - WORDS_PER_SHINGLE
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: shingle_at(words, i))).otherwise(F.array().cast("array<bigint>"))
+def grams(words: Column, size: int = WORDS_PER_SHINGLE) -> Column:
+    """Hashes of all runs of so many words, repeats included; fewer words have none. words must be a name or bound."""
+    last = F.size(words) - size
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: gram_at(words, i, size))).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(hashes: Column) -> Column:
-    """The 64-bit fingerprint of an array of hashes: a bit is set if over half of them have it. Sixteen long
-    counters of four 16-bit lanes each count all bits, in rounds of at most 2^15 hashes' room."""
+def _spread(h: Column) -> Column:
+    return F.array(*[F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANE_MASK)) for k in range(LANES)])
+
+
+def _counts(hashes: Column) -> Column:
+    """How many of the hashes have each bit, in lanes."""
     zero = F.array(*[F.lit(0).cast("long")] * LANES)
-    spread = lambda h: F.array(*[F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANE_MASK)) for k in range(LANES)])
+    return F.aggregate(hashes, zero, lambda acc, x: F.zip_with(acc, _spread(x), lambda a, b: a + b))
+
+
+def _majority(counts: Column, n: Column) -> Column:
+    """The fingerprint: a bit is set if over half of n hashes have it. counts must be a name or bound."""
+    out = F.lit(0).cast("long")
+    for b in range(64):
+        count = F.shiftrightunsigned(F.get(counts, F.lit(b % LANES)), 32 * (b // LANES)).bitwiseAND(F.lit(0xFFFFFFFF))
+        out = out.bitwiseOR(F.when(count * 2 > n, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+    return out
+
+
+def simhash(hashes: Column) -> Column:
+    """The 64-bit fingerprint of an array of hashes."""
+    return bound(hashes, lambda h: bound(_counts(h), lambda c: _majority(c, F.size(h))))
 
-    def counted(h: Column) -> Column:
-        sums = F.aggregate(h, zero, lambda acc, x: F.zip_with(acc, spread(x), lambda a, b: a + b))
-        return F.struct(sums.alias("sums"), F.size(h).alias("n"))
 
-    def combined(c: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for b in range(64):
-            count = F.shiftrightunsigned(F.get(c["sums"], F.lit(b % LANES)), 16 * (b // LANES)).bitwiseAND(F.lit(0xFFFF))
-            out = out.bitwiseOR(F.when(count * 2 > c["n"], F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-        return out
+def sliding_simhash(hashes: Column, size: Column, lo: Column, hi: Column) -> Column:
+    """The fingerprints of the windows of so many hashes that start at lo, lo + 1 .. hi: the first is counted, each next
+    one drops a hash and takes one, so a window costs the same whatever its size."""
+    first = F.array(_counts(F.slice(hashes, lo + 1, size)))
 
-    # Hashes and counts are bound to variables: they are read many times and made once.
-    return F.get(F.transform(F.transform(F.array(hashes), counted), combined), F.lit(0))
+    def step(done: Column, s: Column) -> Column:
+        wider = F.zip_with(F.element_at(done, -1), _spread(F.get(hashes, s + size - 1)), lambda a, b: a + b)
+        return F.concat(done, F.array(F.zip_with(wider, _spread(F.get(hashes, s - 1)), lambda a, b: a - b)))
+
+    rest = F.when(hi > lo, F.sequence(lo + 1, hi)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.aggregate(rest, first, step), lambda c: _majority(c, size))
 
 
 def needed_stride(sizes: list[int], similarity: float) -> int:
@@ -77,99 +94,131 @@ def needed_stride(sizes: list[int], similarity: float) -> int:
     return max(1, least)
 
 
-def _probes(radius: int) -> list[int]:
-    """What to flip in an 8-bit block so that BLOCKS blocks find all fingerprints within the radius."""
-    flips = radius // BLOCKS
-    return [sum(1 << b for b in some) for k in range(flips + 1) for some in combinations(range(64 // BLOCKS), k)]
-
-
-def _block(fp: Column, k: int) -> Column:
-    width = 64 // BLOCKS
-    return F.shiftrightunsigned(fp, width * k).bitwiseAND(F.lit((1 << width) - 1))
+def _blocks(fp: Column) -> Column:
+    edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+    return F.array(*[F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)])
 
 
-def _one_pass(docs: DataFrame, items: DataFrame, known: list[int], stride: int, similarity: float, radius: int) -> DataFrame:
-    """The leaks of items (item_id, hashes, m) into docs; known are their distinct shingles, few enough to be
-    part of the plan."""
-    words = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(text_or_empty()).alias("words"))
-    looked = F.filter(F.sequence(F.lit(0), F.size("words") - WORDS_PER_SHINGLE, F.lit(stride)), lambda i: shingle_at(F.col("words"), i).isin(known))
-    looked = F.when(F.size("words") >= WORDS_PER_SHINGLE, looked).otherwise(F.array().cast("array<int>"))
-    met = words.withColumn("places", looked).where(F.size("places") > 0)
-    met = stage(met.select("row", "doc_id", "places", shingles(F.col("words")).alias("hashes")), "leaks")
-
-    # Sizes of windows at each place: the items that hold the shingle there. The table is bounded by the pass.
-    by_shingle = items.select("m", F.explode(F.array_distinct("hashes")).alias("h")).distinct()
-    places = met.select("row", F.explode(F.transform("places", lambda p: F.struct(p.alias("p"), F.get("hashes", p).alias("h")))).alias("x")).select("row", "x.p", "x.h")
-    sized = places.join(F.broadcast(by_shingle), "h").groupBy("row", "m").agg(F.collect_set("p").alias("ps"))
-
-    n = F.size("hashes")
-    last = F.greatest(n - F.col("m"), F.lit(0))
-    starts = F.array_distinct(F.flatten(F.transform("ps", lambda p: F.sequence(F.least(F.greatest(p - F.col("m") + 1, F.lit(0)), last), F.least(p, last)))))
-    windows = met.select("row", "hashes").join(sized, "row").select("row", "m", F.explode(F.transform(starts, lambda s: F.struct(s.alias("s"), simhash(window_at(F.col("hashes"), s, F.col("m"))).alias("fp")))).alias("w"))
-    windows = windows.select("row", "m", "w.s", "w.fp")
-
-    prints = items.select("item_id", "m", simhash(F.col("hashes")).alias("item_fp"))
-    probes = F.array(*map(F.lit, _probes(radius)))
-    index = prints.select("item_id", "m", "item_fp", F.posexplode(F.array(*[_block(F.col("item_fp"), k) for k in range(BLOCKS)])).alias("block", "own"), probes.alias("probes"))
-    index = index.select("item_id", "m", "item_fp", "block", F.explode(F.transform("probes", lambda f: F.col("own").bitwiseXOR(f.cast("long")))).alias("value"))
-    keyed = windows.select("row", "m", "s", "fp", F.posexplode(F.array(*[_block(F.col("fp"), k) for k in range(BLOCKS)])).alias("block", "value"))
-    near = keyed.join(F.broadcast(index), ["m", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    cand = near.groupBy("row", "item_id").agg(F.collect_set(F.struct("s", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("bits"))).alias("found"))
-
-    each = F.transform(F.array_distinct("hashes"), lambda x: F.struct(x.alias("h"), F.size(F.filter("hashes", lambda h: h == x)).alias("n")))
-    grams = items.select("item_id", "m", F.col("hashes").alias("item"), each.alias("distinct"))
-    full = cand.join(F.broadcast(grams), "item_id").join(met, "row")
-    count = lambda array, x: F.size(F.filter(array, lambda h: h == x))
-
-    def taken(w: Column) -> Column:
-        return F.struct(w["s"].alias("s"), w["bits"].alias("bits"), window_at(F.col("hashes"), w["s"], F.col("m")).alias("window"))
-
-    def rated(w: Column) -> Column:
-        both = F.aggregate("distinct", F.lit(0), lambda acc, x: acc + F.least(x["n"], count(w["window"], x["h"])))
-        return F.struct(both.alias("both"), F.size(w["window"]).alias("n"), (-w["s"]).alias("back"), w["bits"].alias("bits"))
-
-    def scored(r: Column) -> Column:
-        return F.struct((r["both"] / (F.size("item") + r["n"] - r["both"])).alias("similarity"), r["back"].alias("back"), r["bits"].alias("bits"))
-
-    tried = F.transform(F.transform(F.transform("found", taken), rated), scored)
-    best = full.select("doc_id", "item_id", "m", "hashes", F.array_max(tried).alias("best"))
-    return best.where(F.col("best.similarity") >= similarity - 1e-12).select(
-        "doc_id",
-        "item_id",
-        F.col("best.similarity").alias("similarity"),
-        F.col("best.bits").cast("int").alias("differing_bits"),
-        (-F.col("best.back")).cast("long").alias("first_word"),
-        (F.least(F.col("m"), F.size("hashes")) + WORDS_PER_SHINGLE - 1).cast("long").alias("n_words"),
+def _probes(radius: int) -> list[int]:
+    """What to flip in a block so that BLOCKS blocks find all fingerprints within the radius."""
+    width, flips = -(-64 // BLOCKS), radius // BLOCKS
+    return [sum(1 << b for b in some) for k in range(flips + 1) for some in combinations(range(width), k)]
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, g, hashes, m): the shingles of every item with a word; one of fewer words than a shingle is a
+    single shingle of its g words."""
+    words = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(text_or_empty()).alias("words"))
+    g = F.least(F.size("words"), F.lit(WORDS_PER_SHINGLE))
+    short = F.array(F.xxhash64(F.col("words")))
+    for size in range(1, WORDS_PER_SHINGLE):
+        short = F.when(g == size, F.array(gram_at(F.col("words"), F.lit(0), size))).otherwise(short)
+    hashes = bound(F.col("words"), lambda w: F.when(F.size(w) >= WORDS_PER_SHINGLE, grams(w)))
+    found = words.where(F.size("words") > 0).select("item_id", g.alias("g"), F.coalesce(hashes, short).alias("hashes"))
+    return stage(found.select(F.monotonically_increasing_id().alias("item"), "item_id", "g", "hashes", F.size("hashes").alias("m")), "items")
+
+
+def _met(docs: DataFrame, items: DataFrame, similarity: float, keep: tuple[str, ...]) -> tuple[DataFrame, list[int]]:
+    """The rows of docs that hold a known shingle: row, doc_id, keep, hashes (arrays by shingle size), and jobs: which
+    windows, of which size, could be similar to which items."""
+    sizes = [(r["g"], r["m"]) for r in items.select("g", "m").distinct().collect()]
+    present = sorted({g for g, _ in sizes})
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *keep)
+    docs = docs.select("*", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
+    split = docs.select("k1", "k2", words_of(F.col("text")).alias("words"))
+
+    def looked(words: Column, g: int) -> Column:
+        stride = needed_stride([m for k, m in sizes if k == g], similarity) if g == WORDS_PER_SHINGLE else 1
+        at = F.sequence(F.lit(0), F.size(words) - g, F.lit(stride))
+        found = F.transform(at, lambda p: F.struct(F.lit(g).alias("g"), p.alias("p"), gram_at(words, p, g).alias("h"), (F.size(words) - g + 1).alias("n")))
+        return F.when(F.size(words) >= g, found).otherwise(F.array().cast("array<struct<g:int,p:int,h:bigint,n:int>>"))
+
+    none = F.array().cast("array<struct<g:int,p:int,h:bigint,n:int>>")
+    seen = bound(F.col("words"), lambda w: F.concat(none, *[looked(w, g) for g in present]))
+    places = split.select("k1", "k2", F.explode(seen).alias("x")).select("k1", "k2", "x.*")
+    known = items.select("item", "g", "m", F.explode(F.array_distinct("hashes")).alias("h"))
+    last = F.greatest(F.col("n") - F.col("m"), F.lit(0))
+    width = F.least(F.greatest(F.col("m"), F.lit(SLIDE[0])), F.lit(SLIDE[1]))
+    spans = places.join(known, ["g", "h"]).select(
+        "k1", "k2", "g", "m", "item", width.alias("width"), F.least(F.greatest(F.col("p") - F.col("m") + 1, F.lit(0)), last).alias("lo"), F.least(F.col("p"), last).alias("hi")
     )
-
-
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, per_pass: int = SHINGLES_PER_PASS) -> DataFrame:
+    part = F.explode(F.sequence((F.col("lo") / F.col("width")).cast("int"), (F.col("hi") / F.col("width")).cast("int")))
+    spans = spans.select("*", part.alias("part"))
+    lo, hi = F.greatest("lo", F.col("part") * F.col("width")), F.least(F.col("hi"), (F.col("part") + 1) * F.col("width") - 1)
+    jobs = spans.groupBy("k1", "k2", "g", "m", "part").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.collect_set("item").alias("items"))
+    jobs = stage(jobs.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "m", "lo", "hi", "items")).alias("jobs")), "places")
+    met = docs.join(jobs, ["k1", "k2"]).select(F.monotonically_increasing_id().alias("row"), "doc_id", *keep, "jobs", words_of(F.col("text")).alias("words"))
+    empty = F.array().cast("array<bigint>")
+    by_size = bound(F.col("words"), lambda w: F.array(*[grams(w, g) if g in present else empty for g in range(1, WORDS_PER_SHINGLE + 1)]))
+    return stage(met.select("row", "doc_id", *keep, "jobs", by_size.alias("hashes")), "leaks"), present
+
+
+def _candidates(met: DataFrame, items: DataFrame, radius: int) -> DataFrame:
+    """(row, item, s, bits): the windows whose fingerprints are within the radius of an item's with which they share a
+    looked-up shingle, by an index of all values of a block that are near enough."""
+
+    def made(j: Column) -> Column:
+        return bound(F.get("hashes", j["g"] - 1), lambda h: sliding_simhash(h, F.least(j["m"], F.size(h)), j["lo"], j["hi"]))
+
+    slides = met.select("row", F.explode(F.transform("jobs", lambda j: F.struct(j["lo"].alias("lo"), j["items"].alias("items"), made(j).alias("fps")))).alias("j"))
+    windows = slides.select("row", "j.lo", "j.items", F.posexplode("j.fps").alias("k", "fp")).select("row", (F.col("lo") + F.col("k")).alias("s"), "fp", F.explode("items").alias("item"))
+    prints = items.select("item", simhash(F.col("hashes")).alias("item_fp"))
+    probes = F.array(*map(F.lit, _probes(radius)))
+    index = prints.select("item", "item_fp", F.posexplode(_blocks(F.col("item_fp"))).alias("block", "own"), probes.alias("probes"))
+    index = index.select("item", "item_fp", "block", F.explode(F.transform("probes", lambda f: F.col("own").bitwiseXOR(f.cast("long")))).alias("value"))
+    keyed = windows.select("row", "item", "s", "fp", F.posexplode(_blocks(F.col("fp"))).alias("block", "value"))
+    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
+    near = keyed.join(index, ["item", "block", "value"]).where(bits <= radius)
+    return near.groupBy("row", "item", "s").agg(F.min(bits).alias("bits"))
+
+
+def _rated(met: DataFrame, items: DataFrame, cand: DataFrame) -> DataFrame:
+    """(row, item, m, size, s, bits, both): what each candidate window shares with its item, by one sweep over the
+    document. The i-th place p of a shingle that the item has c times counts in the windows that start behind the place
+    c before it and within m of p; the number of such spans over a start is what its window shares."""
+    pairs = cand.select("row", "item").distinct()
+    counts = items.select("item", "g", "m", F.explode("hashes").alias("h")).groupBy("item", "g", "m", "h").agg(F.count("*").alias("c"))
+    each = F.explode(F.transform("hashes", lambda h, k: F.struct((k + 1).alias("g"), F.size(h).alias("n"), h.alias("h")))).alias("x")
+    own = met.select("row", each).select("row", "x.g", "x.n", F.posexplode("x.h").alias("p", "h"))
+    places = own.join(counts, ["g", "h"]).join(pairs, ["row", "item"])
+    lists = places.groupBy("row", "item", "h").agg(F.sort_array(F.collect_list("p")).alias("ps"), F.first("c").cast("int").alias("c"), F.first("m").alias("m"))
+    span = F.transform("ps", lambda p, i: F.struct(F.greatest(p - F.col("m") + 1, F.coalesce(F.get("ps", i - F.col("c")), F.lit(-1)) + 1, F.lit(0)).alias("lo"), p.alias("hi")))
+    ends = lists.select("row", "item", F.explode(span).alias("x")).select("row", "item", F.explode(F.array(F.struct(F.col("x.lo").alias("s"), F.lit(1).alias("d")), F.struct((F.col("x.hi") + 1).alias("s"), F.lit(-1).alias("d")))).alias("e"))
+    steps = ends.groupBy("row", "item", F.col("e.s").alias("s")).agg(F.sum("e.d").alias("d")).withColumn("bits", F.lit(None).cast("int"))
+    every = steps.unionByName(cand.select("row", "item", "s", F.lit(0).cast("long").alias("d"), F.col("bits").cast("int").alias("bits")))
+    both = F.sum("d").over(Window.partitionBy("row", "item").orderBy("s"))
+    found = every.withColumn("both", both).where("bits is not null")
+    sizes = met.select("row", *[F.size(F.get("hashes", F.lit(g))).alias(f"n{g + 1}") for g in range(WORDS_PER_SHINGLE)])
+    n = F.get(F.array(*[F.col(f"n{g + 1}") for g in range(WORDS_PER_SHINGLE)]), F.col("g") - 1)
+    joined = found.join(items.select("item", "item_id", "g", "m"), "item").join(sizes, "row")
+    return joined.select("row", "item", "item_id", "g", "m", F.least("m", n).alias("size"), "s", "bits", "both")
+
+
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, item_id, similarity, differing_bits, first_word, n_words): a row for each row of docs(doc_id,
-    text) and item of benchmark(item_id, text) of which the document has a passage: the item-sized
+    text) and row of benchmark(item_id, text) of which the document has a passage: the item-sized
     window of words that is most similar, the first of equals, if its similarity is enough.
 
     Words are runs of letters and digits in lower case. Similarity is that of the multisets of five-word
     shingles: the sum of smaller counts by the sum of larger ones. Windows at every word that could
     reach it are fingerprinted; a fingerprint within the radius of the item's is surely found and
-    then verified. A document shorter than the item is one window. Items of fewer than five words
-    and null texts on either side have no shingle and never match; repeated rows have a result each;
-    a null id is carried. Other columns are ignored; an empty table gives an empty result."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), shingles(words_of(text_or_empty())).alias("hashes")).where(F.size("hashes") > 0)
-    # The benchmark is the stated query set; it is read on the driver item by item and dealt into passes.
-    parts: list[list[tuple]] = [[]]
-    room = per_pass
-    for r in items.toLocalIterator():
-        if room < len(r["hashes"]) and parts[-1]:
-            parts.append([])
-            room = per_pass
-        parts[-1].append((r["item_id"], r["hashes"], len(r["hashes"])))
-        room -= len(r["hashes"])
-    out = None
-    for part in parts:
-        known = sorted({h for _, hashes, _ in part for h in hashes})
-        stride = needed_stride([m for _, _, m in part], similarity)
-        table = docs.sparkSession.createDataFrame(part, "item_id long, hashes array<bigint>, m int")
-        leaks = _one_pass(docs, table, known or [0], stride, similarity, radius)
-        out = leaks if out is None else out.union(leaks)
-    return out
+    then verified. A document shorter than the item is one window. An item of fewer than five words is one
+    shingle of all its words and is found where they stand; items without words, and documents of fewer words than the
+    item's shingle, never match. Null texts count as empty; repeated rows have a result each;
+    a null id is carried, and so are the columns in keep. Other columns are ignored; an empty table gives an empty
+    result. The documents are read twice, whatever the benchmark's size."""
+    items = _items(benchmark)
+    met, _ = _met(docs, items, similarity, keep)
+    rated = _rated(met, items, stage(_candidates(met, items, radius), "windows"))
+    value = F.col("both") / (F.col("m") + F.col("size") - F.col("both"))
+    best = rated.groupBy("row", "item", "item_id", "g", "size").agg(F.max(F.struct(value.alias("similarity"), (-F.col("s")).alias("back"), "bits")).alias("best"))
+    best = best.where(F.col("best.similarity") >= similarity - 1e-12)
+    return best.join(met.select("row", "doc_id", *keep), "row").select(
+        "doc_id",
+        "item_id",
+        F.col("best.similarity").alias("similarity"),
+        F.col("best.bits").cast("int").alias("differing_bits"),
+        (-F.col("best.back")).cast("long").alias("first_word"),
+        (F.col("size") + F.col("g") - 1).cast("long").alias("n_words"),
+        *keep,
+    )
