@@ -2,150 +2,159 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brickwise.llm.common import stage, text_or_empty
 
-#: Consecutive sentences in a run, and the letters and digits that it needs at least.
+#: A span is the shortest run of consecutive sentences from a place on that has so many of them and so many words.
 RUN = 3
-LEAST_CHARS = 40
-#: Fewer sentences, one even, are a run too if they have so many letters and digits, about fifty words.
-LONG_CHARS = 200
-#: A sentence ends behind its mark, where white space follows, or with the line.
-BREAK = r"(?<=[.!?])\s+|\n+"
-#: What op3_substring_dedup takes: a passage of fifty words that begins and ends inside sentences may hold one whole
-#: sentence or none. A shared sentence of about twelve words is proof enough, and so is a piece between commas.
-INNER_CHARS = 60
-INNER_BREAK = r"(?<=[,;:])\s+"
-
-
-def _row():
-    """What tells rows apart wherever they are computed: rows of one id and text are one document."""
-    return F.xxhash64("doc_id", text_or_empty())
-
-
-def _sentences():
-    return F.filter(F.split(text_or_empty(), BREAK), lambda s: s.rlike(r"[\p{L}\p{N}]"))
-
-
-def _pieces(s):
-    return F.filter(F.split(s, INNER_BREAK), lambda p: p.rlike(r"[\p{L}\p{N}]"))
-
-
-def _plain(s):
-    return F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", "")
-
-
-def _inner(least: int):
-    """The pieces between commas of so many letters at least, as runs of the size -1 for a sentence's first piece, -2 for
-    its second; a piece has the digest that it would have as a sentence."""
-
-    def one(s, i):
-        keyed = F.transform(F.transform(_pieces(s), _plain), lambda p, j: F.struct(i.alias("at"), (-1 - j).alias("size"), F.xxhash64(F.lit(1), F.xxhash64(p)).alias("digest"), F.length(p).alias("n")))
-        enough = F.transform(F.filter(keyed, lambda x: x["n"] >= least), lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"), x["digest"].alias("digest")))
-        return F.when(s.rlike(INNER_BREAK) & (F.get("k", i)["n"] > least), enough).otherwise(F.array().cast("array<struct<at:int,size:int,digest:bigint>>"))
-
-    return F.flatten(F.transform("sentences", one))
-
-
-def _grown(run: int, least_chars: int):
-    """Runs of more than run sentences, where run of them are too short: those that start at each sentence and those that
-    end at each, with as many as are needed. A repeated stretch of enough letters then has a run over each of its
-    sentences. A sentence has a letter at least, so no run has more than least_chars sentences."""
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"))
-    most = max(run, least_chars)
-
-    def step(acc, n):
-        done = (acc["size"] >= run) & (acc["n"] >= least_chars)
-        return F.struct(F.when(done, acc["size"]).otherwise(acc["size"] + 1).alias("size"), F.when(done, acc["n"]).otherwise(acc["n"] + n).alias("n"))
-
-    def place(at, size):
-        return F.struct(at.alias("at"), size.alias("size"))
-
-    def reached(got, at):
-        return F.when((got["size"] > run) & (got["n"] >= least_chars), place(at, got["size"]))
-
-    def short(i):
-        return sum((F.get("k", i + j)["n"] for j in range(1, run)), F.get("k", i)["n"]) < least_chars
-
-    lengths = F.col("lengths")
-    onward = lambda i: F.aggregate(F.slice(lengths, i + 1, most), start, step, lambda got: reached(got, i))
-
-    def back(i):
-        end = i + run
-        first = F.greatest(end - most, F.lit(0))
-        return F.aggregate(F.reverse(F.slice(lengths, first + 1, end - first)), start, step, lambda got: reached(got, end - got["size"]))
-
-    starts = F.filter(F.sequence(F.lit(0), F.size("k") - run), short)
-    places = F.array_distinct(F.filter(F.flatten(F.transform(starts, lambda i: F.array(onward(i), back(i)))), lambda p: p.isNotNull()))
-    found = F.transform(places, lambda p: F.struct(p["at"].alias("at"), p["size"].alias("size"), F.xxhash64(p["size"], F.slice("hashes", p["at"] + 1, p["size"])).alias("digest")))
-    return F.when(F.size("k") > run, found).otherwise(F.array().cast("array<struct<at:int,size:int,digest:bigint>>"))
-
-
-def sentence_runs(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, long_chars: int = LONG_CHARS, grow: bool = False, inner: bool = False) -> DataFrame:
-    """(row, doc_id, at, size, digest): every run of sentences of every row, by the hashes of its sentences, which don't
-    tell case, punctuation or white space apart; and the shorter runs of long sentences. With grow, runs of short
-    sentences are as long as they need to be; with inner, long pieces of sentences are runs of a negative size."""
-    plain = F.transform("sentences", _plain)
-    keyed = F.transform(plain, lambda p: F.struct(F.xxhash64(p).alias("h"), F.length(p).alias("n")))
-    rows = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _sentences().alias("sentences"))
-    rows = rows.select("row", "doc_id", keyed.alias("k"), "sentences")
-    if grow:
-        rows = rows.select("*", F.col("k.n").alias("lengths"), F.col("k.h").alias("hashes"))
-
-    def of(size: int):
-        least = least_chars if size == run else long_chars
-
-        def enough(i):
-            return sum((F.get("k", i + j)["n"] for j in range(1, size)), F.get("k", i)["n"]) >= least
-
-        def one(i):
-            return F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.lit(size), *[F.get("k", i + j)["h"] for j in range(size)]).alias("digest"))
-
-        found = F.transform(F.filter(F.sequence(F.lit(0), F.size("k") - size), enough), one)
-        return F.when(F.size("k") >= size, found).otherwise(F.array().cast("array<struct<at:int,size:int,digest:bigint>>"))
-
-    runs = F.concat(*[of(size) for size in range(1, run + 1)], *([_grown(run, least_chars)] if grow else []), *([_inner(long_chars)] if inner else []))
-    return rows.select("row", "doc_id", F.explode(runs).alias("r")).select("row", "doc_id", "r.at", "r.size", "r.digest")
-
-
-def repeated_sentences(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, grow: bool = False, long_chars: int = LONG_CHARS, inner: bool = False) -> DataFrame:
-    """(row, removed, cut, first_docs) of every row that has a repeated run which is not the first one: sorted indices
-    of its covered sentences, its repeated pieces, and the documents that hold the first copies. First is the smallest doc_id,
-    then row, then place. Counting is summed before its shuffle; hot digests meet only rows that Spark
-    can split between tasks."""
-    runs = sentence_runs(docs, run, least_chars, long_chars, grow, inner)
-    here = F.struct("doc_id", "row", "at", (-F.col("size")).alias("part"))
-    firsts = runs.groupBy("digest").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+LEAST_WORDS = 16
+#: A sentence ends behind its mark, where white space follows, or with the line; and behind every word whose hash is a
+#: multiple of CUT. Such cuts depend on nothing but the word, so they are the same in every copy of a passage, also in
+#: one that begins and ends inside sentences, or has no marks at all.
+BREAK = re.compile(r"[.!?]\s|\n").search
+CUT = 6
+WORDS = re.compile(r"([^\W_]+)").split
+#: Words that a worker remembers.
+ROOM = 500_000
+
+
+class Words(dict):
+    """By word: its lower case, and whether it cuts."""
+
+    def __missing__(self, word: str) -> tuple[str, bool]:
+        if len(self) >= ROOM:
+            self.clear()
+        low = word.lower()
+        found = self[word] = (low, xxhash.xxh32_intdigest(low) % CUT == 0)
+        return found
+
+
+class Gaps(dict):
+    """By what stands between two words: whether a sentence ends there."""
+
+    def __missing__(self, gap: str) -> bool:
+        if len(self) >= ROOM:
+            self.clear()
+        found = self[gap] = BREAK(gap) is not None
+        return found
+
+
+class Cutter:
+    def __init__(self):
+        self.words, self.gaps = Words(), Gaps()
+
+    def parts(self, text: str) -> tuple[list[str], list[str], np.ndarray]:
+        """The gaps and words of a text in turn, its words in lower case, and the number of words up to the end of each
+        sentence."""
+        parts = WORDS(text)
+        known = [self.words[w] for w in parts[1::2]]
+        ends = [i for i, (w, gap) in enumerate(zip(known, parts[2::2], strict=True), 1) if w[1] or (gap != " " and self.gaps[gap])]
+        if known and (not ends or ends[-1] != len(known)):
+            ends.append(len(known))
+        return parts, [w[0] for w in known], np.array(ends, dtype=np.int64)
+
+
+def spans(ends: np.ndarray, run: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last sentence of every span: from each sentence on, as far as is needed; and one that ends with the
+    text, so that its last sentences are in a span too."""
+    n = len(ends)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.arange(n)
+    starts = np.r_[0, ends[:-1]]
+    last = np.maximum(np.searchsorted(ends, starts + least_words), first + run - 1)
+    first, last = first[last < n], last[last < n]
+    back = min(np.searchsorted(starts, ends[-1] - least_words, side="right") - 1, n - run)
+    if back >= 0 and (not len(first) or first[-1] != back or last[-1] != n - 1):
+        first, last = np.r_[first, back], np.r_[last, n - 1]
+    return first, last
+
+
+def _measure(run: int, least_words: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter()
+        for batch in batches:
+            firsts, sizes, digests, counts = [], [], [], [0]
+            for text in batch.column("text").to_pylist():
+                _, low, ends = cutter.parts(text)
+                first, last = spans(ends, run, least_words)
+                joined = " ".join(low)
+                at = np.r_[0, np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + 1)]
+                begin = at[np.r_[0, ends][first]].tolist() if len(ends) else []
+                stop = (at[ends[last]] - 1).tolist() if len(ends) else []
+                digests += [xxhash.xxh3_128_digest(joined[a:b].encode()) for a, b in zip(begin, stop, strict=True)]
+                firsts.append(first)
+                sizes.append(last - first + 1)
+                counts.append(len(first))
+            both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+            edges = pa.array(np.cumsum(counts), pa.int32())
+            flat = [np.concatenate([np.zeros(0, np.int64), *firsts]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int32), both[:, 0].copy(), both[:, 1].copy()]
+            lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in flat]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["row", "doc_id", "text", "at", "size", "h1", "h2"])
+
+    return work
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, first_docs, text, at, size) -> what is left of each text without the sentences of its repeated spans."""
+    cutter = Cutter()
+    for batch in batches:
+        doc_ids, first_docs, texts, ats, sizes = (batch.column(k) for k in range(5))
+        counts, gone, left = [], [], []
+        for text, at, size in zip(texts.to_pylist(), ats.to_pylist(), sizes.to_pylist(), strict=True):
+            parts, _, ends = cutter.parts(text)
+            edge = np.zeros(len(ends) + 1, dtype=np.int64)
+            np.add.at(edge, at, 1)
+            np.add.at(edge, np.add(at, size), -1)
+            removed = np.cumsum(edge)[:-1] > 0
+            starts = np.r_[0, ends[:-1]]
+            kept = [parts[2 * s + (s > 0) : 2 * e + 1] for s, e in zip(starts[~removed].tolist(), ends[~removed].tolist(), strict=True)]
+            counts.append(len(ends))
+            gone.append(np.flatnonzero(removed).tolist())
+            left.append("".join(x for k in kept for x in k).strip())
+        yield pa.RecordBatch.from_arrays(
+            [doc_ids, pa.array(counts, pa.int32()), pa.array([len(g) for g in gone], pa.int32()), pa.array(gone, pa.list_(pa.int32())), first_docs, pa.array(left, pa.string())],
+            names=["doc_id", "n_sentences", "n_removed", "removed", "first_docs", "text"],
+        )
+
+
+def repeated_spans(measured: DataFrame) -> DataFrame:
+    """(row, at, size, first_docs) of every row with a span that is not the first of its digest: the places and sizes of
+    those spans, and the documents that hold the first ones. First is the smallest doc_id, then row, then place. The
+    digest has 128 bits. Counting is summed before its shuffle; a hot digest meets only rows that Spark can split
+    between tasks."""
+    zipped = F.arrays_zip("at", "size", "h1", "h2")
+    each = measured.select("row", "doc_id", F.explode(zipped).alias("s")).select("row", "doc_id", "s.at", "s.size", "s.h1", "s.h2")
+    here = F.struct("doc_id", "row", "at")
+    firsts = each.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     firsts = stage(firsts, "repeats")
-    later = runs.join(firsts, "digest").where(~here.eqNullSafe(F.col("first")))
-    covered = later.groupBy("row").agg(F.collect_set(F.struct("at", "size")).alias("ats"), F.array_sort(F.collect_set("first.doc_id")).alias("first_docs"))
-    whole = F.filter("ats", lambda a: a["size"] > 0)
-    spread = F.array_sort(F.array_distinct(F.flatten(F.transform(whole, lambda a: F.sequence(a["at"], a["at"] + a["size"] - 1)))))
-    return covered.select("row", spread.alias("removed"), F.filter("ats", lambda a: a["size"] < 0).alias("cut"), "first_docs")
+    later = each.join(firsts, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first")))
+    found = later.groupBy("row").agg(F.collect_set(F.struct("at", "size")).alias("s"), F.array_sort(F.collect_set("first.doc_id")).alias("first_docs"))
+    return found.select("row", F.col("s.at").alias("at"), F.col("s.size").alias("size"), "first_docs")
 
 
-def substring_dedup(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, grow: bool = False, long_chars: int = LONG_CHARS, inner: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, n_sentences, n_removed, removed, first_docs, text) for the rows of docs(doc_id, text) that lose a
-    sentence; text is what is left, its sentences joined by a space. Rows without a repeat aren't returned.
-
-    op3_substring_dedup runs with grow, which finds stretches of short sentences too if they have least_chars, and with
-    INNER_CHARS as long_chars and inner: of a sentence with a repeated piece between commas only the piece goes, and
-    removed lists it too.
-    A null or empty text, or one of fewer and short sentences, has no run and stays as it is. Repeated
-    rows of one id and text are one document and share its result, a row each. A null id sorts first. Other columns
-    are ignored; an empty table gives an empty result."""
-    found = repeated_sentences(docs, run, least_chars, grow, long_chars, inner)
-    rows = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _sentences().alias("sentences"))
-    both = rows.join(found, "row")
-    empty = F.array().cast("array<string>")
-
-    def left(s, i):
-        gone = F.filter("cut", lambda c: c["at"] == i)
-        kept = F.filter(_pieces(s), lambda p, j: ~F.exists(gone, lambda c: c["size"] == -1 - j))
-        return F.when(F.array_contains("removed", i), empty).when(F.size(gone) > 0, kept).otherwise(F.array(s))
-
-    every = F.array_sort(F.array_union("removed", F.col("cut.at")))
-    text = F.array_join(F.flatten(F.transform("sentences", left)), " ") if inner else F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("sentences") - 1), F.col("removed")), lambda i: F.get("sentences", i)), " ")
-    return both.select("doc_id", F.size("sentences").alias("n_sentences"), F.size(every).alias("n_removed"), every.alias("removed"), "first_docs", text.alias("text"))
+    sentence; text is what is left. Rows without a repeat aren't returned. Words are runs of letters and digits, in
+    either case; what stands between them doesn't count, and stays with the word before it. Long sentences are cut (see
+    CUT), so removed may list a part of what a reader takes for one sentence.
+
+    A span goes if the same words stand in a span before it: that of a smaller doc_id, of another row, or further up in
+    the same text. A repeat of fewer than least_words words, or of fewer than run sentences, is no span and stays, and so
+    may the last words of a longer one, fewer than least_words, if the text goes on otherwise behind them.
+    A null or empty text, or a short one, has no span and stays as it is. Repeated rows are copies like any others. A
+    null id sorts first. Other columns are ignored; an empty table gives an empty result."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    kinds = "row long, doc_id long, text string, at array<int>, size array<int>, h1 array<long>, h2 array<long>"
+    measured = stage(rows.mapInArrow(_measure(run, least_words), kinds), "spans")
+    found = repeated_spans(measured)
+    both = measured.select("row", "doc_id", "text").join(found, "row").select("doc_id", "first_docs", "text", "at", "size")
+    return both.mapInArrow(_cut_out, "doc_id long, n_sentences int, n_removed int, removed array<int>, first_docs array<long>, text string")
