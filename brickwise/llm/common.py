@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brickwise.operators.graph import connected_components, shared_dir, stage
 
-__all__ = ["Forest", "connected_components", "shared_dir", "stage", "table", "text_or_empty"]
+__all__ = ["Forest", "columns_of", "connected_components", "fresh", "shared_dir", "stage", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,19 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever stands in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 class Forest:
     """Union-find over 0..n-1."""
 

@@ -16,10 +16,11 @@ def fold(doc_id: str, folds: int):
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: tuple[int, ...], most: int) -> DataFrame:
     """(pick, y, text) of at most `most` labelled documents outside the held folds: those whose ids have the
     smallest hashes. The sample is bounded by the parameter, so its ids may be broadcast. Rows with a null
-    id or label teach nothing; of several labels of one document the largest counts."""
+    id or label teach nothing; of several labels of one document the largest counts, of several texts the smallest."""
     known = labels.select(F.col("doc_id").cast("long").alias("pick"), F.col(label).cast("int").alias("y")).dropna()
     known = known.where(~fold("pick", folds).isin(*held))
     known = known.groupBy("pick").agg(F.max("y").alias("y"))
     sample = known.orderBy(F.xxhash64("pick"), "pick").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return texts.join(F.broadcast(sample), texts.doc_id == sample.pick).select("pick", "y", "text")
+    found = texts.join(F.broadcast(sample), texts.doc_id == sample.pick)
+    return found.groupBy("pick").agg(F.max("y").alias("y"), F.min("text").alias("text"))

@@ -21,18 +21,20 @@ KINDS = (
 BASE = ("assign", "access", "hex")
 #: What says quickly that a text has no match of the kind that could be long enough.
 LIKELY = {"assign": KINDS[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
-#: The query's own pattern of a private key: the header and what is behind it up to its end, or, where the end is
-#: missing, the lines of base64. secret_sql has the header alone, which is all there is in the texts that it is held against.
+#: The pattern of a private key: the header and what is behind it up to its end, or, where the end is
+#: missing, the lines of base64.
 PEM_HEAD = KINDS[5][1]
 PEM = (
     PEM_HEAD
     + r"(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----"
     + r"|(?:\s*(?:Proc-Type|DEK-Info):[^\n]*)*(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{40,}+={0,2})++(?:\s*[\r\n]+[A-Za-z0-9+/]++={0,2}(?=\s*(?:[\r\n]|$)))?)?"
 )
+#: The same for SQL, whose pattern engine can't look ahead: it takes a key up to its end, or its header alone.
+PEM_SQL = PEM_HEAD + r"(?:(?:[^-]|-{1,4}[^-])*-----END [A-Z ]*PRIVATE KEY-----)?"
 #: What isn't the body of a key; keys are told apart by their bodies.
 PEM_FRAME = r"-----[A-Z ]*-----|\s+|\\[nr]"
 #: A value found with this many owners, or with more than one in this many repositories, is taken for a widely copied
-#: example. (secret_sql takes the repositories alone as well.)
+#: example.
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOSITORIES = 20
 SPAN = "struct<start:int,kind:int,stop:int,value:string>"
@@ -71,11 +73,11 @@ def secret_spans(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
 
 
 def value_owners(found: DataFrame) -> DataFrame:
-    """(digest, n_repositories, n_owners) of every candidate value over the whole corpus. Rows of a document
-    count once; sums are made before each shuffle, so a value that a third of all rows hold is no burden."""
+    """(digest, n_repositories, n_owners) of every candidate value over the whole corpus: how many repositories and how
+    many owners hold it, each counted once. Spark counts distinct ones by partial sums, so a value that a third of all
+    rows hold is no burden."""
     each = found.select("repository", "owner", F.explode(F.array_distinct(F.transform("spans", lambda s: F.sha2(s["value"], 256)))).alias("digest"))
-    by_owner = each.distinct().groupBy("digest", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("digest").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
+    return each.groupBy("digest").agg(F.count_distinct("repository").alias("n_repositories"), F.count_distinct("owner").alias("n_owners"))
 
 
 def secret_scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -84,20 +86,25 @@ def secret_scan(docs: DataFrame, repository: str = "doc_id", owner: str = "sourc
     and whether it looks live).
 
     A value is a widely copied example if example_owners owners have it, or more than one owner in
-    example_repositories repositories, else it looks live. Columns in keep are carried. A null text counts as empty: counts 0, no spans, the digest of the
-    empty string. A null owner or repository is one of its own. Repeated rows keep a row each and
-    count as one repository. Other columns are ignored; an empty table gives an empty result."""
+    example_repositories repositories, else it looks live. Columns in keep are carried (their names must differ from
+    the others). A null text counts as empty: counts 0, no spans, the digest of the
+    empty string. A null owner or repository is none and isn't counted. Repeated rows keep a row each and
+    count as one repository, under however many owners they stand. Other columns are ignored; an empty table gives an
+    empty result."""
     found = stage(secret_spans(docs, repository, owner, keep).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    owners = value_owners(found)
-    each = found.select("row", F.explode("spans").alias("s")).select("row", "s", F.sha2("s.value", 256).alias("digest"))
-    live = (F.col("n_owners") < example_owners) & ((F.col("n_owners") == 1) | (F.col("n_repositories") < example_repositories))
+    some = found.where(F.size("spans") > 0)
+    owners = value_owners(some)
+    each = some.select("row", F.explode("spans").alias("s")).select("row", "s", F.sha2("s.value", 256).alias("digest"))
+    live = (F.col("n_owners") < example_owners) & ((F.col("n_owners") <= 1) | (F.col("n_repositories") < example_repositories))
     judged = each.join(owners, "digest").groupBy("row").agg(
         F.array_sort(
             F.collect_list(F.struct("s.start", "s.kind", "s.stop", "digest", "n_owners", "n_repositories", live.alias("live")))
         ).alias("found")
     )
     none = F.array().cast("array<struct<start:int,kind:int,stop:int,digest:string,n_owners:bigint,n_repositories:bigint,live:boolean>>")
-    rows = found.join(judged, "row", "left").withColumn("found", F.coalesce("found", none))
+    # Rows without a span have nothing to be joined with.
+    clear = found.where(F.size("spans") == 0).withColumn("found", none)
+    rows = some.join(judged, "row").select(*found.columns, "found").unionByName(clear)
     names = F.array(*[F.lit(k[0]) for k in KINDS])
     write = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
@@ -136,6 +143,7 @@ def secret_sql(example_owners: int = EXAMPLE_OWNERS, example_repositories: int =
     parts = []
     for k, (name, pattern, group, least) in enumerate(KINDS):
         pattern = pattern.replace("(?i:password|passwd|secret|token|api_?key)", "(?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")")
+        pattern = PEM_SQL if name == "pem" else pattern
         p = "'" + pattern.replace("'", "''") + "'"
         parts.append(f"""SELECT r, {k} AS kind, '{name}' AS name, {least} AS least, regexp_extract_all({text}, {p}) AS m, regexp_extract_all({text}, {p}, {group}) AS v, string_split_regex({text}, {p}) AS b FROM d""")
     return f"""
@@ -143,10 +151,10 @@ WITH d AS (SELECT row_number() OVER () AS r, * FROM documents),
 raw AS ({' UNION ALL '.join(parts)}),
 places AS (SELECT r, kind, name, least, m, v, b, unnest(range(1, len(m) + 1)) AS i FROM raw),
 spans AS (
-  SELECT r, kind, name, v[i] AS value, coalesce(list_sum(list_transform(b[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start, length(m[i]) AS n
+  SELECT r, kind, name, CASE WHEN name = 'pem' THEN coalesce(nullif(regexp_replace(m[i], '{PEM_FRAME}', '', 'g'), ''), m[i]) ELSE v[i] END AS value, coalesce(list_sum(list_transform(b[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start, length(m[i]) AS n
   FROM places WHERE length(v[i]) >= least),
 owners AS (SELECT value, count(DISTINCT doc_id) AS repos, count(DISTINCT source) AS owners FROM spans JOIN d USING (r) GROUP BY value),
-judged AS (SELECT spans.*, name || ':' || start::BIGINT || ':' || (start + n)::BIGINT AS s, repos < {example_repositories} AND owners < {example_owners} AS live FROM spans JOIN owners USING (value)),
+judged AS (SELECT spans.*, name || ':' || start::BIGINT || ':' || (start + n)::BIGINT AS s, owners < {example_owners} AND (owners <= 1 OR repos < {example_repositories}) AS live FROM spans JOIN owners USING (value)),
 agg AS (
   SELECT r, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, count(*) AS n, count(*) FILTER (live) AS nl,
     string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(s, ',' ORDER BY start, kind) AS spans, string_agg(s, ',' ORDER BY start, kind) FILTER (live) AS live_spans

@@ -16,8 +16,9 @@ from brickwise.llm.common import Forest, connected_components, stage, text_or_em
 WORDS_PER_SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: Bits of a fingerprint are cut into RADIUS + PAIRED blocks, so that PAIRED of them agree in every link.
-PAIRED = 2
+#: Bits of a fingerprint are cut into radius + paired blocks, so that paired of them agree in every link; so few that
+#: random fingerprints fill buckets by FILL at most on average.
+FILL = 64
 #: A bucket of more fingerprints than this is compared in tiles of about this size by several tasks.
 TILE = 1024
 #: Lanes whose distances are counted together, in words of 64 lanes.
@@ -48,7 +49,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         raw = batch.column(1).to_pylist()
         found = np.array([fingerprint(x) for x in raw], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
 def _lanes(flags: np.ndarray) -> np.ndarray:
@@ -146,7 +147,15 @@ def _forest_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield edges(held_unit, held_fp)
 
 
-def block_keys(fp: str, radius: int = RADIUS, paired: int = PAIRED):
+def paired_blocks(n: int, radius: int = RADIUS) -> int:
+    """How many of the blocks make a key for n fingerprints: at least two, more where buckets would grow with n."""
+    paired = 2
+    while n > FILL << (64 * paired // (radius + paired)) and paired < 6:
+        paired += 1
+    return paired
+
+
+def block_keys(fp: str, radius: int = RADIUS, paired: int = 2):
     """An array of bucket keys: for each choice of `paired` of radius + paired blocks, their bits. Two
     fingerprints within the radius differ in radius blocks at most, so they share one key at least."""
     count = radius + paired
@@ -155,18 +164,20 @@ def block_keys(fp: str, radius: int = RADIUS, paired: int = PAIRED):
     return F.array(*[F.xxhash64(F.lit(k), *[block[x] for x in chosen]) for k, chosen in enumerate(combinations(range(count), paired))])
 
 
-def simhash_components(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text).
+def simhash_components(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text), and the columns in keep, whose names
+    must differ from those.
 
     A null text counts as empty; texts without words have fingerprint zero and are linked like any
     other. Repeated rows keep a row each. A null doc_id keeps its row and is never a component's
     name unless no other id is there (then null). Other columns are ignored; an empty table gives
     an empty result. Links are exact: no bucket is capped, large ones are compared in tiles."""
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("raw"))
-    prints = stage(raw.mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc"))
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("raw"), *keep)
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    prints = stage(raw.mapInArrow(_fingerprints, f"doc_id long, fp long{kept}"), "simhash")
+    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "simhash-distinct")
 
-    keyed = distinct.select("fp", F.explode(block_keys("fp", radius)).alias("key"))
+    keyed = distinct.select("fp", F.explode(block_keys("fp", radius, paired_blocks(distinct.count(), radius))).alias("key"))
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("fp", F.lit("tile")), F.col("tiles")).cast("int")
     pairs = F.when(F.col("tiles").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: j != F.col("own")))
@@ -185,4 +196,4 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, tile: int = TILE)
     moved = linked.join(named, "root").select("fp", "component_id")
     # Staged, so that the last join's both sides are plain exchanges and a fingerprint of very many rows can be split.
     ids = stage(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least_doc").alias("component_id")), "simhash-ids")
-    return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *keep)

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from brickwise.llm.boosting import Trees, isotonic
 from brickwise.llm.common import text_or_empty
@@ -20,8 +21,6 @@ FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Labelled documents from which lexicon and trees are learned, at most.
 TRAINING_ROWS = 12_000
-#: Entries of the learned lexicon, at most.
-LEXICON = 5_000
 #: An entry needs so many toxic documents, and such a log ratio of its shares in either class.
 LEAST_DOCS, LEAST_RATIO = 4, 1.2
 #: Beginnings of words that may become entries, in letters.
@@ -91,7 +90,7 @@ def _grams(text: str):
 def learn_lexicons(rows: DataFrame) -> tuple[dict[str, float], list[dict[str, float]]]:
     """The lexicon of all training rows, and those of either half for the other half's features, so that trees
     aren't fitted on words that were picked by the same labels. Counted in one aggregation; what comes
-    to the driver is bounded by LEXICON."""
+    to the driver are the entries with enough toxic documents in the bounded sample."""
     half = F.pmod(F.xxhash64("pick", F.lit("half")), F.lit(2))
     rows = rows.withColumn("half", half)
     totals = [[0, 0], [0, 0]]
@@ -107,7 +106,7 @@ def learn_lexicons(rows: DataFrame) -> tuple[dict[str, float], list[dict[str, fl
     whole = [totals[0][y] + totals[1][y] for y in (0, 1)]
     neg, pos = F.col("c00") + F.col("c10"), F.col("c01") + F.col("c11")
     ratios = counts.select("gram", pos.alias("pos"), ratio(neg, pos, whole).alias("all"), *[F.when(F.col(f"c{h}1") * 2 >= LEAST_DOCS, ratio(F.col(f"c{h}0"), F.col(f"c{h}1"), totals[h])).otherwise(0.0).alias(f"h{h}") for h in (0, 1)])
-    best = ratios.where(F.greatest("all", "h0", "h1") >= LEAST_RATIO).orderBy(F.desc(F.col("all") * F.sqrt("pos")), "gram").limit(LEXICON).collect()
+    best = ratios.where(F.greatest("all", "h0", "h1") >= LEAST_RATIO).collect()
     pick = lambda name: {r["gram"]: r[name] for r in best if r[name] >= LEAST_RATIO}
     return pick("all"), [pick("h1"), pick("h0")]
 
@@ -157,10 +156,11 @@ def score(docs: DataFrame, model: Model, name: str = "score", with_text: bool =
     """All columns of docs, text only if asked for, with a score column of the given name, in one pass without a
     shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("text", text_or_empty()) if not with_text else docs
-    at_text = rows.columns.index("text")
-    kept = [c for c in rows.columns if with_text or c != "text"]
-    schema = rows.select(*kept).schema.add(name, "double")
+    # Names go by place, as those of docs may be any.
+    at_text = docs.columns.index("text")
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    kept = [k for k in range(len(docs.columns)) if with_text or k != at_text]
+    schema = StructType([rows.schema[k] for k in kept]).add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(sent.value.lexicon)
@@ -169,10 +169,10 @@ def score(docs: DataFrame, model: Model, name: str = "score", with_text: bool =
             for at in range(0, batch.num_rows, 512):
                 x = np.array([features(t or "", weights) for t in batch.column(at_text).slice(at, 512).to_pylist()])
                 found.append(sent.value.score(x))
-            columns = [batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found), pa.float64())], names=[*kept, name])
+            columns = [batch.column(k) for k in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found), pa.float64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*[docs.columns[k] for k in kept], name)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

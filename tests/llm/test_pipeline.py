@@ -86,3 +86,33 @@ def test_empty_table(spark, tmp_path):
     for _, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, folder)
         assert docs.collect() == []
+
+
+def test_extra_columns_with_clashing_names(spark, tmp_path):
+    folder = str(tmp_path)
+    corpus(spark, folder)
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["toxic", "mark", "gone_id", "gone_mark", "whole", "found", "row", "spans", "fp", "Score", "a.b", "repository", "owner", "k1"]
+    wide = plain.selectExpr("*", *[f"doc_id + {k} as `{n}`" for k, n in enumerate(names)])
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        got = step(spark, wide, folder)
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert rows and all(r["doc_id"] is None or r[n] == r["doc_id"] + k for r in rows for k, n in enumerate(names)), name
+        assert sorted(map(str, step(spark, plain, folder).collect())) == sorted(str(type(r)(**{c: r[c] for c in plain.columns})) for r in rows)
+
+
+def test_rows_of_one_id_are_told_apart(spark, tmp_path):
+    folder = str(tmp_path)
+    rnd = random.Random(5)
+    some = lambda k: " ".join("".join(rnd.choices("abcdefghij", k=5)) for _ in range(k))
+    item, a, b = some(30), some(60), some(60)
+    rows = [(3, a, "en", "s", 0), (5, a, "en", "s", 0), (5, b, "en", "s", 0), (7, f"{some(20)} {item} {some(20)}", "en", "s", 0), (7, some(50), "en", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    write(spark, folder, "documents", rows, schema)
+    write(spark, folder, "benchmark", [(1, item)], "item_id long, text string")
+    docs, steps = spark.read.parquet(f"{folder}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    left = sorted(r.text for r in steps["near duplicates"](spark, docs, folder).collect())
+    assert left == sorted(r[1] for k, r in enumerate(rows) if k != 1)
+    left = sorted(r.text for r in steps["decontamination"](spark, docs, folder).collect())
+    assert left == sorted(r[1] for k, r in enumerate(rows) if k != 3)

@@ -19,11 +19,17 @@ TEXTS = [
 
 def test_against_sql(spark):
     rows = [(i, t, f"s{i % 2}", 1) for i, t in enumerate(TEXTS)] + [(20 + i, f"copied token={HEX} ok", f"s{i}", 2) for i in range(6)] + [(None, "token=aaaaaaa", "s0", None), (1, "", "s1", 3)]
+    rows += [(40, "token=bbbbbbb", "s0", 1), (40, "token=bbbbbbb", "s1", 1), (41, "token=bbbbbbb", None, 1)]
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIE+/==\n-----END RSA PRIVATE KEY----- and after"
+    rows += [(50 + i, f"{i} {key}", f"s{i}", 1) for i in range(3)] + [(60, key.replace("MIIE", "MIIF"), "s1", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, start int").repartition(3)
     got = secret_scan(docs).drop("found")
-    same_as_sql(got.where("doc_id is not null"), secret_sql(), documents=docs.where("doc_id is not null"))
-    assert {r.n_live for r in got.where("doc_id >= 20").collect()} == {0}
+    same_as_sql(got, secret_sql(), documents=docs)
+    assert {r.n_live for r in got.where("doc_id >= 20 and doc_id < 40").collect()} == {0}
     assert {r.n_live for r in got.where("doc_id = 3").collect()} == {2}
+    (pair,) = {tuple(r.found[0])[4:6] for r in secret_scan(docs).where("doc_id = 40").collect()}
+    assert pair == (2, 2) and {r.n_live for r in got.where("doc_id >= 50 and doc_id < 60").collect()} == {0}
+    assert {r.n_live for r in got.where("doc_id = 60").collect()} == {1}
 
 
 def test_redact(spark):
@@ -51,5 +57,6 @@ def test_private_keys_are_told_apart_and_go_whole(spark):
 
 def test_one_owners_credential_is_live_in_any_number_of_documents(spark):
     rows = [(i, "token=onlyowner1", "s0") for i in range(60)] + [(100 + i, "token=twoowners2", f"s{i % 2}") for i in range(20)] + [(200 + i, "token=threeown3", f"s{i}") for i in range(3)]
+    rows += [(300, "token=twosource", f"s{i % 2}") for i in range(30)]
     got = secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    assert {r.doc_id for r in got if r.n_live} == set(range(60))
+    assert {r.doc_id for r in got if r.n_live} == {*range(60), 300}
