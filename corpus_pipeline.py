@@ -9,39 +9,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brickwise.llm import decontaminate, secret_scan, sentencepiece_scan, simhash_dedup, toxicity
-from brickwise.llm.common import stage, table
+from brickwise.llm.common import columns_of, fresh, stage, table
+
+
+def _mark():
+    """With doc_id, what tells rows of a table apart; rows that agree in both are the same document."""
+    return F.xxhash64("text")
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id and mark stand in gone(doc_id, mark), a narrow table. Rows without an id stay."""
+    mark, gone_id, gone_mark = (fresh(docs, n) for n in ("mark", "gone_id", "gone_mark"))
+    gone = gone.select(F.col("doc_id").alias(gone_id), F.col("mark").alias(gone_mark)).distinct()
+    same = (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.col(mark) == F.col(gone_mark))
+    return docs.withColumn(mark, _mark()).join(gone, same, "left_anti").select(*columns_of(docs))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score THRESHOLD or more go. Null and empty texts are scored like any other."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "__toxic", with_text=True).where(F.col("__toxic") < toxicity.THRESHOLD).select(*docs.columns)
+    name = fresh(docs, "toxic")
+    return toxicity.score(docs, model, name, with_text=True).where(F.col(name) < toxicity.THRESHOLD).select(*columns_of(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays. Rows without an id stay."""
-    gone = simhash_dedup.simhash_components(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = simhash_dedup.simhash_components(docs.select("doc_id", "text", _mark().alias("mark")), keep=("mark",))
+    return _without(docs, found.where("doc_id != component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go. Rows without an id stay."""
-    gone = decontaminate.benchmark_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = decontaminate.benchmark_leaks(docs.select("doc_id", "text", _mark().alias("mark")), table(spark, sf_dir, "benchmark"), keep=("mark",))
+    return _without(docs, found)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets that look live are replaced in the texts by a mark; widely copied examples stay, and so does every
-    document. n_chars follows the text. Rows of one id and text share their spans."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    found = secret_scan.secret_scan(keyed, keep=("__key",)).where("n_live > 0")
-    live = found.select("__key", F.filter("found", lambda s: s["live"]).alias("__spans")).dropDuplicates(["__key"])
-    both = keyed.join(live, "__key", "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col("__spans")))
-    new = {"text": text}
+    document. n_chars follows the text."""
+    found = secret_scan.secret_scan(docs.select("doc_id", "text", "source", F.struct(*columns_of(docs)).alias("whole")), keep=("whole",))
+    live = F.filter("found", lambda s: s["live"])
+    own = F.col("whole")
+    safe = secret_scan.redact(own["text"], live)
+    new = {"text": F.when(F.col("n_live") > 0, safe).otherwise(own["text"])}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
-    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("n_live") > 0, F.length(safe).cast("long")).otherwise(own["n_chars"].cast("long"))
+    return found.select(*[new.get(c, own[c]).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
