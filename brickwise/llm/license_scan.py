@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brickwise.llm.common import text_or_empty
+from brickwise.llm.common import stage, text_or_empty
 
 #: What separates words, once the text is in lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -17,18 +17,28 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Templates of the method: a text block that contains this share of a template's distinct words matches it.
+#: Templates of the method by label, or label/variant; a text block that contains the needed share of a
+#: template's distinct words matches it.
 TEMPLATES = {
     "agpl-3": "licensed under the gnu affero general public license version 3",
     "apache-2": "licensed under the apache license version 2 0",
+    "apache-2/notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "bsd-2-clause/whole": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-3-clause/third": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsl-1/whole": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
     "cc-by-nc": "licensed under cc by nc 4 0",
     "cc-by-sa": "licensed under a creative commons attribution sharealike 4 0 international license",
     "gpl-3": "this work is licensed under the gnu general public license version 3",
+    "gpl-3/notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses",
+    "isc/whole": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
     "lgpl-3": "licensed under the gnu lesser general public license version 3",
     "mit": "released under the mit license",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "mit/whole": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "unlicense/whole": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law",
+    "zlib/whole": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution",
 }
 CONTAINMENT = 0.8
 
@@ -37,13 +47,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != "")
 
 
-def _count_words(text: Column) -> Column:
-    """How many words, from the pieces between separators: an empty first or last piece is none."""
-    pieces = F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    n = F.size(pieces)
-    return (n - (F.get(pieces, F.lit(0)) == "").cast("int") - ((n > 1) & (F.get(pieces, n - 1) == "")).cast("int")).cast("long")
-
-
 def _starts(words: Column, phrase: str) -> Column:
     parts = phrase.split()
     at = F.sequence(F.lit(0), F.size(words) - len(parts))
@@ -51,10 +54,10 @@ def _starts(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), F.filter(at, lambda i: (F.get(words, i) == parts[0]) & same(i))).otherwise(F.array().cast("array<int>"))
 
 
-def likely_words(text: Column) -> Column:
-    """The words of a text in which a phrase can stand, told by one regular expression; else null."""
+def _likely(text: Column) -> Column:
+    """Whether a phrase can stand in a text, told by one regular expression."""
     loose = "|".join(SEPARATORS.join(p.split()) for p in PHRASES).replace("\\x60", "\\x40\\x5B-\\x60")
-    return F.when(text.rlike(f"(?i)(?:{loose})"), words_of(text))
+    return text.rlike(f"(?i)(?:{loose})")
 
 
 def phrase_places(words: str) -> Column:
@@ -63,81 +66,74 @@ def phrase_places(words: str) -> Column:
     return F.struct(*[F.coalesce(_starts(F.col(words), p), none).alias(f"p{k}") for k, p in enumerate(PHRASES)])
 
 
-def template_order(docs: DataFrame, templates: dict[str, str]) -> list[str]:
-    """The words of the templates, rarest first by the number of text blocks of the whole corpus that hold
-    them. The result has a row for each template word at most, so it is small whatever the corpus."""
-    vocabulary = sorted({w for t in templates.values() for w in t.split()})
-    blocks = _blocks(docs, vocabulary)
-    counts = {r["word"]: r["n"] for r in blocks.select(F.explode("hits").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
-    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+def _shapes(templates: dict[str, str], threshold: float) -> list[tuple[str, set[str], int, int]]:
+    """Of each template its label, distinct words, how many of them are needed, and its length in words."""
+    out = []
+    for name, text in sorted(templates.items()):
+        words = set(text.split())
+        out.append((name.split("/")[0], words, max(1, math.ceil(threshold * len(words) - 1e-9)), len(text.split())))
+    return out
 
 
-def _blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Lines of each text with at least one template word: doc_id, block, hits (distinct template words) and
-    n_distinct."""
-    lines = docs.select("doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("block", "line"))
-    words = F.array_distinct(words_of(F.col("line")))
+def scan_texts(docs: DataFrame, shapes: list) -> DataFrame:
+    """What one pass over docs(doc_id, text) tells: row, doc_id, n_words, the phrases' places p, hits (the distinct
+    template words of the text), and the lines with words (block, n, hits) of each text whose hits could meet a template
+    together."""
+    vocabulary = sorted({w for _, words, _, _ in shapes for w in words})
     known = F.array(*map(F.lit, vocabulary))
-    return lines.select("doc_id", "block", words.alias("words")).select("doc_id", "block", F.array_intersect("words", known).alias("hits"), F.size("words").alias("n_distinct")).where(F.size("hits") > 0)
-
-
-def _windows(docs: DataFrame, vocabulary: list[str], longest: int, least: int) -> DataFrame:
-    """Of each line with a template word what could meet a template that begins there: doc_id, block, hits (the line's
-    distinct template words), following (struct of the hits of a later line and the words between, for lines with fewer
-    than longest - 1 words between) and every (all hits, least of them at least). Lines without words don't count."""
-    known = F.array(*map(F.lit, vocabulary))
-
-    def line(text, i):
-        words = words_of(text)
-        return F.transform(F.array(words), lambda w: F.struct(i.cast("int").alias("block"), F.size(w).alias("n"), F.array_intersect(w, known).alias("hits")))[0]
-
-    lines = docs.select("doc_id", F.filter(F.transform(F.split(text_or_empty(), "\n"), line), lambda x: x["n"] > 0).alias("lines"))
-    near = F.transform("lines", lambda x, i: F.struct(x["block"].alias("block"), x["hits"].alias("hits"), F.slice("lines", i + 2, longest - 1).alias("near")))
-    near = lines.select("doc_id", F.explode(F.filter(near, lambda x: F.size(x["hits"]) > 0)).alias("w")).select("doc_id", "w.block", "w.hits", "w.near")
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<before:int,hits:array<string>>>").alias("out"))
-
-    def step(acc, x):
-        add = (acc["n"] < longest - 1) & (F.size(x["hits"]) > 0)
-        return F.struct((acc["n"] + x["n"]).alias("n"), F.when(add, F.concat(acc["out"], F.array(F.struct(acc["n"].alias("before"), x["hits"].alias("hits"))))).otherwise(acc["out"]).alias("out"))
-
-    found = near.select("doc_id", "block", "hits", F.aggregate("near", start, step, lambda acc: acc["out"]).alias("following"))
-    return found.select("*", F.array_union("hits", F.flatten("following.hits")).alias("every")).where(F.size("every") >= least)
-
-
-def template_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, block, label, containment) of every line that holds, alone or with the lines behind it over which a
-    template that begins in it can be wrapped, at least threshold of the template's distinct words. A template of n
-    words takes lines until there are n - 1 behind the first. Exact: a match shares a word of the template's prefix
-    (its rarest words, one more than may be missing), and what is left behind the first common word on either side
-    can still reach the need. Only rows that pass are verified."""
-    templates = TEMPLATES if templates is None else templates
-    order = template_order(docs, templates)
+    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    read = read.select("*", words_of(F.col("text")).alias("words"))
+    read = read.select("row", "doc_id", "text", F.size("words").cast("long").alias("n_words"), F.when(_likely(F.col("text")), F.col("words")).alias("words"), F.array_intersect("words", known).alias("hits"))
+
+    def line(text: Column, i: Column) -> Column:
+        return F.get(F.transform(F.array(words_of(text)), lambda w: F.struct(i.cast("int").alias("block"), F.size(w).alias("n"), F.array_intersect(w, known).alias("hits"))), F.lit(0))
+
+    meets = F.lit(False)
+    for _, words, need, _ in shapes:
+        meets = meets | (F.size(F.array_intersect("hits", F.array(*map(F.lit, sorted(words))))) >= need)
+    meets = (F.size("hits") >= min((x[2] for x in shapes), default=1)) & meets
+    lines = F.when(meets, F.filter(F.transform(F.split("text", "\n"), line), lambda x: x["n"] > 0))
+    return stage(read.select("row", "doc_id", "n_words", phrase_places("words").alias("p"), "hits", lines.alias("lines")), "licenses")
+
+
+def template_order(scanned: DataFrame, shapes: list) -> list[str]:
+    """The words of the templates, rarest first by the number of texts of the whole corpus that hold them. The result
+    has a row for each template word at most, so it is small whatever the corpus."""
+    counts = {r["word"]: r["n"] for r in scanned.select(F.explode("hits").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    return sorted({w for _, words, _, _ in shapes for w in words}, key=lambda w: (counts.get(w, 0), w))
+
+
+def template_matches(scanned: DataFrame, shapes: list) -> DataFrame:
+    """(row, block, label, containment) of every line that holds, alone or with the lines behind it over which a
+    template that begins in it can be wrapped, enough of the template's distinct words. A template of n words takes
+    lines until there are n - 1 words behind the first line; lines without words don't count. Exact: a match shares a
+    word of the template's prefix (its rarest words, one more than may be missing), and what is left behind the first
+    common word on either side can still reach the need. Only blocks that pass are verified."""
+    order = template_order(scanned, shapes)
     rank = {w: k for k, w in enumerate(order)}
-    entries = []
-    for label, text in sorted(templates.items()):
-        ranks = sorted({rank[w] for w in text.split()})
-        need = math.ceil(threshold * len(ranks) - 1e-9)
-        entries += [(r, label, p, len(ranks), need, ranks, len(text.split())) for p, r in enumerate(ranks[: len(ranks) - need + 1])]
-    spark = docs.sparkSession
+    entries, longest, least = [], max((x[3] for x in shapes), default=1), min((x[2] for x in shapes), default=1)
+    for label, words, need, length in shapes:
+        ranks = sorted(rank[w] for w in words)
+        entries += [(r, label, p, len(ranks), need, ranks, length) for p, r in enumerate(ranks[: len(ranks) - need + 1])]
     # The prefix table has a row for each prefix word of the given templates: bounded by the parameter.
-    prefixes = spark.createDataFrame(entries, "rank int, label string, at int, size int, need int, template array<int>, length int")
-    ranks = F.create_map(*[x for w, k in rank.items() for x in (F.lit(w), F.lit(k))])
-    longest, least = max((e[6] for e in entries), default=1), min((e[4] for e in entries), default=1)
-    ranked = lambda words: F.transform(words, lambda w: ranks[w])
-    ordered = _windows(docs, order, longest, max(least, 1)).select(
-        "doc_id",
-        "block",
-        ranked(F.col("hits")).alias("own"),
-        F.transform("following", lambda x: F.struct(x["before"].alias("before"), ranked(x["hits"]).alias("hits"))).alias("following"),
-        F.array_sort(ranked(F.col("every"))).alias("ranks"),
-    )
-    cand = ordered.select("*", F.posexplode("ranks").alias("place", "rank")).join(F.broadcast(prefixes), "rank")
+    prefixes = scanned.sparkSession.createDataFrame(entries, "rank int, label string, at int, size int, need int, template array<int>, length int")
+    to_rank = F.create_map(*[x for w, k in rank.items() for x in (F.lit(w), F.lit(k))]) if rank else F.lit(None).cast("map<string,int>")
+    ranked = F.transform("l.hits", lambda w: to_rank[w])
+    lines = scanned.where("lines is not null").select("row", F.posexplode("lines").alias("k", "l")).select("row", "k", "l.block", "l.n", ranked.alias("own"))
+    by_row = Window.partitionBy("row").orderBy("k")
+    placed = lines.withColumn("s", F.sum("n").over(by_row) - F.col("n")).where(F.size("own") > 0)
+    # A document's lines with hits; a line can be followed by so many at most, as each has a word.
+    near = placed.withColumn("near", F.collect_list(F.struct("s", "own")).over(by_row.rowsBetween(1, longest - 1)))
+    near = near.select("row", "block", "own", F.transform("near", lambda x: F.struct((x["s"] - F.col("s") - F.col("n")).alias("before"), x["own"].alias("hits"))).alias("near"))
+    near = near.withColumn("following", F.filter("near", lambda x: x["before"] < longest - 1))
+    blocks = near.select("row", "block", "own", "following", F.array_sort(F.array_union("own", F.flatten("following.hits"))).alias("ranks")).where(F.size("ranks") >= least)
+    cand = blocks.select("*", F.posexplode("ranks").alias("place", "rank")).join(F.broadcast(prefixes), "rank")
     rest = F.least(F.col("size") - F.col("at"), F.size("ranks") - F.col("place"))
     cand = cand.where(rest >= F.col("need")).where(F.size(F.array_intersect("ranks", "template")) >= F.col("need"))
     reach = F.filter("following", lambda x: x["before"] < F.col("length") - 1)
     held = F.array_union("own", F.flatten(F.transform(reach, lambda x: x["hits"])))
     shared = F.size(F.array_intersect(held, F.col("template")))
-    return cand.where(shared >= F.col("need")).select("doc_id", "block", "label", (shared / F.col("size")).alias("containment")).distinct()
+    return cand.where(shared >= F.col("need")).select("row", "block", "label", (shared / F.col("size")).alias("containment")).distinct()
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = CONTAINMENT) -> DataFrame:
@@ -145,18 +141,18 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     base_labels, labels, score.
 
     Phrase places are counted over the whole text, whatever separates their words; labels join those
-    of the phrases and of the templates that a line meets, or lines over which they are wrapped (license_sql has
-    single lines only). score is 1 where a phrase stands, else
-    the largest containment met, else 0. A null text counts as empty: no words, empty labels, null
-    places. Repeated rows keep a row each; rows of one doc_id share the template labels. A null
+    of the phrases and of the templates that a line meets, or lines over which they are wrapped. score is 1 where a
+    phrase stands, else the largest containment met, else 0. A null text counts as empty: no words, empty labels, null
+    places. Repeated rows keep a row each, and rows of one doc_id are judged by their own texts. A null
     doc_id keeps its row. Other columns are ignored; an empty table gives an empty result."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    text = text_or_empty()
-    rows = docs.select("doc_id", _count_words(text).alias("n_words"), likely_words(text).alias("words")).select("doc_id", "n_words", phrase_places("words").alias("p"))
+    shapes = _shapes(TEMPLATES if templates is None else templates, threshold)
+    rows = scan_texts(docs, shapes)
+    found = template_matches(rows, shapes).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     names = list(PHRASES.values())
     every = F.concat(*[F.col(f"p.p{k}") for k in range(len(names))])
     base = F.concat(*[F.when(F.size(f"p.p{k}") > 0, F.array(F.lit(n))).otherwise(F.array().cast("array<string>")) for k, n in enumerate(names)])
     rows = rows.select(
+        "row",
         "doc_id",
         "n_words",
         F.size(every).cast("long").alias("n_base"),
@@ -164,9 +160,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
         F.array_max(every).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(base)).alias("base"),
     )
-    found = template_matches(docs, templates, threshold).groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    both = rows.join(found, rows.doc_id.eqNullSafe(found.found_id), "left")
-    return both.select(
+    return rows.join(found, "row", "left").select(
         "doc_id",
         "n_words",
         "n_base",
@@ -179,11 +173,11 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
 
 
 def license_sql(templates: dict[str, str] | None = None, threshold: float = CONTAINMENT) -> str:
-    """The same by brute force in DuckDB SQL: every line against every template."""
+    """The same by brute force in DuckDB SQL: every block against every template."""
     templates = TEMPLATES if templates is None else templates
     split = r"list_filter(string_split_regex(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
     values = ", ".join(f"('{p}', '{n}')" for p, n in PHRASES.items())
-    shapes = ", ".join(f"('{n}', list_distinct(string_split('{t}', ' ')))" for n, t in templates.items())
+    shapes = ", ".join(f"('{n}', '{n.split('/')[0]}', string_split('{t}', ' '))" for n, t in templates.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {split.format('text')} AS w FROM documents),
 phrases(phrase, label) AS (VALUES {values}),
@@ -191,12 +185,19 @@ places AS (
   SELECT r, label, i FROM (SELECT r, w, phrase, label, unnest(range(len(w))) AS i FROM d, phrases)
   WHERE w[i + 1] = split_part(phrase, ' ', 1) AND w[i + 1 : i + len(string_split(phrase, ' '))] = string_split(phrase, ' ')),
 base AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS l FROM places GROUP BY r),
-shapes(label, t) AS (VALUES {shapes}),
-lines AS (SELECT r, list_distinct({split.format('line')}) AS w FROM (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d)),
+shapes(name, label, t) AS (VALUES {shapes}),
+entries AS (SELECT DISTINCT name, label, len(t) AS length, len(list_distinct(t)) AS size, unnest(t) AS word FROM shapes),
+cut AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM d),
+lines AS (SELECT r, i, w, len(w) AS n FROM (SELECT r, i, {split.format('line')} AS w FROM cut) WHERE len(w) > 0),
+placed AS (SELECT *, sum(n) OVER (PARTITION BY r ORDER BY i) AS stop FROM lines),
+met AS (SELECT DISTINCT r, i, stop - n AS start, stop, word FROM (SELECT *, unnest(w) AS word FROM placed) WHERE word IN (SELECT word FROM entries)),
+firsts AS (SELECT DISTINCT r, i, stop FROM met),
 hits AS (
-  SELECT r, label, len(list_intersect(t, w)) / len(t)::DOUBLE AS c FROM lines, shapes
-  WHERE len(list_intersect(t, w)) >= {threshold} * len(t) - 1e-9),
-more AS (SELECT r, list(DISTINCT label) AS l, max(c) AS c FROM hits GROUP BY r)
+  SELECT f.r, f.i, e.name, e.label, e.size, count(DISTINCT m.word) AS k
+  FROM firsts f JOIN met m ON m.r = f.r AND m.i >= f.i AND (m.i = f.i OR m.start - f.stop < {max((len(t.split()) for t in templates.values()), default=1)} - 1)
+  JOIN entries e ON e.word = m.word AND (m.i = f.i OR m.start - f.stop < e.length - 1)
+  GROUP BY ALL HAVING count(DISTINCT m.word) >= {threshold} * e.size - 1e-9),
+more AS (SELECT r, list(DISTINCT label) AS l, max(k / size::DOUBLE) AS c FROM hits GROUP BY r)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.l), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(base.l, more.l))), ','), '') AS labels,

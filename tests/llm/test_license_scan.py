@@ -1,4 +1,6 @@
-from brickwise.llm.license_scan import license_scan, license_sql
+import random
+
+from brickwise.llm.license_scan import TEMPLATES, license_scan, license_sql
 from tests.llm.sql import same_as_sql
 
 TEXTS = [
@@ -22,9 +24,9 @@ def test_against_sql(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(3)
     got = license_scan(docs)
     assert [r.asDict()["labels"] for r in got.where("doc_id = 7").collect()] == ["gpl-3"]
-    same_as_sql(got.where("doc_id != 3 or doc_id is null"), license_sql(), documents=docs.where("doc_id != 3 or doc_id is null"))
-    shared = {(r.n_words, r.labels) for r in got.where("doc_id = 3").collect()}
-    assert shared == {(5, "mit"), (1, "mit")}
+    same_as_sql(got, license_sql(), documents=docs)
+    shared = sorted((r.n_words, r.labels, r.score) for r in got.where("doc_id = 3").collect())
+    assert shared == [(1, "", 0.0), (5, "mit", 1.0), (5, "mit", 1.0)]
 
 
 def test_other_thresholds(spark):
@@ -44,4 +46,23 @@ def test_wrapped_templates(spark):
     far = "released under\n" + "x y z w v\n" * 5 + "the mit license"
     docs = spark.createDataFrame([(1, mit), (2, bsd), (3, mpl), (4, far), (5, "released under"), (5, "the mit")], "doc_id long, text string")
     got = sorted((r.doc_id, r.labels, r.score) for r in license_scan(docs).collect())
+    same_as_sql(license_scan(docs), license_sql(), documents=docs)
     assert got == [(1, "mit-text", 1.0), (2, "bsd-3-clause", 1.0), (3, "mpl-2", 1.0), (4, "", 0.0), (5, "", 0.0), (5, "", 0.0)]
+
+
+def test_whole_texts_over_many_lines(spark):
+    rnd = random.Random(1)
+    rows = []
+    for k, (name, text) in enumerate(TEMPLATES.items()):
+        words = text.split()
+        for share in (0.0, 0.1, 0.5):
+            some = [w for w in words if rnd.random() >= share]
+            lines = [" ".join(some[i : i + 9]).capitalize() + "," for i in range(0, len(some), 9)]
+            rows.append((k, "Copyright someone\n\n" + "\n * \n// ".join(lines) + "\nint main;"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan(docs)
+    same_as_sql(got, license_sql(), documents=docs)
+    labels = {}
+    for r in got.collect():
+        labels.setdefault(r.doc_id, []).append(set(r.labels.split(",")))
+    assert all(any(name.split("/")[0] in s for s in labels[k]) for k, name in enumerate(TEMPLATES))
