@@ -23,6 +23,13 @@ class Graph:
             members = np.flatnonzero(level >= k)
             self.layers.append(self._layer(members, 2 * links if k == 0 else links, beam))
 
+    @classmethod
+    def of(cls, vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> Graph:
+        """A graph whose layers are known."""
+        out = cls.__new__(cls)
+        out.x, out.layers = np.ascontiguousarray(vectors, dtype=np.float32), layers
+        return out
+
     def _layer(self, members: np.ndarray, width: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """One level, its members inserted in growing batches. Links are kept by place among the members."""
         n = len(members)
