@@ -18,8 +18,8 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 #: Labelled documents that are broadcast as vectors, at most.
 TRAINING_ROWS = 4_000
-#: Terms of the latent space, at most, and its dimensions.
-TERMS, DIMENSIONS = 3_000, 48
+#: A term of the latent space stands in so many of the labelled documents at least; the space has so many dimensions.
+LEAST_DOCS, DIMENSIONS = 3, 48
 NEIGHBOURS = 15
 #: Documents whose products with all labelled vectors are computed together.
 BLOCK = 512
@@ -41,7 +41,7 @@ class Shapes(dict):
         out = [word] if word.isalpha() else []
         outline = DIGITS.sub("0", LETTERS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", token.rstrip(".,")))
         if outline != "a":
-            out.append("\x02" + outline[:12])
+            out.append("\x02" + outline)
         found = self[token] = tuple(out)
         return found
 
@@ -96,28 +96,55 @@ class Space:
         return ((weight * self.labels[top]).sum(axis=1) + 0.01 * self.labels.mean()) / (weight.sum(axis=1) + 0.01)
 
 
+class Sparse:
+    """A sparse matrix by rows, and its products with narrow dense ones from either side."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
+        self.shape = (len(rows), width)
+        self.row = np.repeat(np.arange(len(rows)), [len(at) for at, _ in rows])
+        self.at = np.concatenate([np.zeros(0, np.int64), *[at for at, _ in rows]])
+        self.value = np.concatenate([np.zeros(0), *[w for _, w in rows]]).astype(np.float32)
+
+    @staticmethod
+    def _summed(keys: np.ndarray, from_: np.ndarray, value: np.ndarray, dense: np.ndarray, count: int) -> np.ndarray:
+        out = np.zeros((count, dense.shape[1]), dtype=np.float32)
+        by = np.argsort(keys, kind="stable")
+        for lo in range(0, len(by), 1 << 18):
+            some = by[lo : lo + (1 << 18)]
+            k = keys[some]
+            heads = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            out[k[heads]] += np.add.reduceat(value[some, None] * dense[from_[some]], heads, axis=0)
+        return out
+
+    def times(self, dense: np.ndarray) -> np.ndarray:
+        return self._summed(self.row, self.at, self.value, dense, self.shape[0])
+
+    def turned_times(self, dense: np.ndarray) -> np.ndarray:
+        return self._summed(self.at, self.row, self.value, dense, self.shape[1])
+
+
 def _latent(rows: list[tuple[np.ndarray, np.ndarray]], width: int, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     """idf and the leading right singular vectors of the weighted term matrix, by subspace iteration."""
     df = np.zeros(width)
     for at, _ in rows:
         df[at] += 1
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
-    matrix = np.zeros((len(rows), width), dtype=np.float32)
-    for k, (at, n) in enumerate(rows):
+    weighted = []
+    for at, n in rows:
         w = (1 + np.log(n)) * idf[at]
-        if len(w):
-            matrix[k, at] = w / np.linalg.norm(w)
+        weighted.append((at, w / np.linalg.norm(w) if len(w) else w))
+    matrix = Sparse(weighted, width)
     rng = np.random.default_rng(0)
     basis = np.linalg.qr(rng.normal(size=(width, min(dimensions + 16, width))))[0].astype(np.float32)
     for _ in range(6):
-        basis = np.linalg.qr(matrix.T @ (matrix @ basis))[0]
-    _, _, turn = np.linalg.svd(matrix @ basis, full_matrices=False)
+        basis = np.linalg.qr(matrix.turned_times(matrix.times(basis)))[0]
+    _, _, turn = np.linalg.svd(matrix.times(basis), full_matrices=False)
     return idf, (basis @ turn.T)[:, :dimensions].astype(np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: tuple[int, ...] = (HELD_OUT,), most: int = TRAINING_ROWS) -> Space:
     """The space of at most `most` labelled rows outside the held folds. Executors count terms; the driver
-    gets the TERMS most common ones, then a few hundred numbers for each row of the bounded sample."""
+    gets those that LEAST_DOCS rows of the bounded sample have, then a few hundred numbers for each row."""
     rows = training_rows(docs, labels, "quality", folds, held, most)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: tuple[in
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 
     common = rows.select("text").mapInArrow(seen, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    words = [r["term"] for r in common.where("n >= 3").orderBy(F.desc("n"), "term").limit(TERMS).collect()]
+    words = sorted(r["term"] for r in common.where(F.col("n") >= LEAST_DOCS).select("term").toLocalIterator())
     vocabulary = {t: k for k, t in enumerate(words)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from brickwise.llm.quality import Shapes, Space, quality, terms
+from brickwise.llm.quality import Shapes, Space, Sparse, _latent, quality, terms
 
 
 def corpus(spark):
@@ -42,6 +42,24 @@ def test_votes_are_exact():
         assert abs(s - (sum(a * y for a, (_, y) in zip(w, near, strict=True)) + 0.01 * labels.mean()) / (sum(w) + 0.01)) < 1e-5
 
 
+def test_latent_space_by_dense_singular_vectors():
+    rng = np.random.default_rng(7)
+    rows = [(np.sort(rng.choice(60, 12, replace=False)), rng.integers(1, 9, 12).astype(float)) for _ in range(80)] + [(np.zeros(0, np.int64), np.zeros(0))]
+    idf, basis = _latent(rows, 60, 5)
+    dense = np.zeros((81, 60))
+    df = np.array([sum(t in at for at, _ in rows) for t in range(60)])
+    assert np.allclose(idf, np.log(82 / (1 + df)) + 1)
+    for k, (at, n) in enumerate(rows[:-1]):
+        dense[k, at] = (1 + np.log(n)) * idf[at]
+        dense[k] /= np.linalg.norm(dense[k])
+    want = np.linalg.svd(dense)[2][:5]
+    assert np.allclose(np.abs(basis.T @ want.T).max(axis=1), 1, atol=0.05)
+    some = rng.normal(size=(60, 3)).astype(np.float32)
+    matrix = Sparse([(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in dense], 60)
+    assert np.allclose(matrix.times(some), dense @ some, atol=1e-4)
+    assert np.allclose(matrix.turned_times(dense[:, :3].astype(np.float32)), dense.T @ dense[:, :3], atol=1e-4)
+
+
 def test_terms():
     assert terms("", Shapes()) == Counter({"\x01length0": 1})
     found = terms("Word word, x### | 12-34", Shapes())
