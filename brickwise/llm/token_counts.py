@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 UNSURE = r"[\x1c-\x1f\x85᠎​﻿]"
 
 
+def is_byte_level(tokenizer_json: str) -> bool:
+    """Whether the file is what the lookup assumes: byte-level BPE that splits by PATTERN, without a normalizer, a blank
+    put before the text, dropout, or added tokens that match in other ways than as plain strings."""
+    spec = json.loads(tokenizer_json)
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in spec.get("added_tokens") or [])
+    split = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
+    return split and plain and spec.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout")
+
+
 class Lengths(dict):
     """Lengths in tokens by pre-token: the broadcast tier, and what this worker has met since."""
 
@@ -42,6 +53,9 @@ class Counter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.plain = is_byte_level(tokenizer_json)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.marks = special
@@ -49,7 +63,7 @@ class Counter:
         self.lengths = Lengths(frequent, self.tokenizer.encode, cache)
 
     def __call__(self, text: str) -> int:
-        if self.unsure(text):
+        if not self.plain or self.unsure(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         get = self.lengths.__getitem__
         if self.special and any(mark in text for mark in self.marks):
@@ -63,6 +77,8 @@ def frequent_lengths(tokenizer_json: str) -> dict[str, int]:
     vocabulary is the list of the pieces most frequent where it was trained, and its size bounds the table."""
     from tokenizers import Tokenizer
 
+    if not is_byte_level(tokenizer_json):
+        return {}
     tokenizer = Tokenizer.from_str(tokenizer_json)
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     whole = regex.compile(PATTERN).fullmatch
@@ -76,7 +92,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, cache
 
     A null text counts as empty: no bytes, no tokens. Special strings inside a text count as the
     library has them by default. Repeated rows and null ids keep a row each; other columns are
-    ignored; an empty table gives an empty result. The tokenizer file is read on the driver and
+    ignored; an empty table gives an empty result. A file of another kind than is_byte_level tells has no first tier
+    and every text is one call of the library. The tokenizer file is read on the driver and
     sent, with the table, as a broadcast of its own fixed size."""
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()

@@ -1,3 +1,5 @@
+import json
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -17,5 +19,19 @@ def test_counts_equal_the_library(spark, cache):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}}])
+def test_files_of_another_kind(spark, tmp_path, change):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f) | change
+    path = f"{tmp_path}/other.json"
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    rows = [(i, t) for i, t in enumerate([*TEXTS, "ONE Two three FOUR"])]
+    got = {r.doc_id: r.n_tokens for r in token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    assert got == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+
+
 def test_empty_table(spark):
     assert token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
