@@ -17,11 +17,23 @@ CHUNK = 1 << 16
 #: Chunk matrices that one task combines; their products are combined likewise.
 FAN = 256
 SPACE = "▁"
-#: A boundary state is 64 * s + e: the token over the last character before the boundary starts s characters
-#: before it and ends e characters behind it. Before the first chunk there is no token.
+#: A boundary state is edge * s + e: the token over the last character before the boundary starts s characters
+#: before it and ends e characters behind it, and no piece has edge characters. Before the first chunk there is no token.
 START = 0
 STATES = "array<struct<i:int,o:int,w:double>>"
-EDGE = 64
+
+
+def is_scannable(model: bytes) -> bool:
+    """Whether the scan knows what the model does: BPE without user-defined pieces, of texts that are left as they are but
+    for a blank before them and U+2581 in place of blanks."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    spec = sentencepiece_model_pb2.ModelProto()
+    spec.ParseFromString(model)
+    norm, kinds = spec.normalizer_spec, spec.trainer_spec
+    same = not norm.precompiled_charsmap and norm.add_dummy_prefix and not norm.remove_extra_whitespaces and norm.escape_whitespaces
+    plain = not any(p.type == spec.SentencePiece.USER_DEFINED for p in spec.pieces)
+    return bool(same and plain and kinds.model_type == kinds.BPE and kinds.byte_fallback and not kinds.treat_whitespace_as_suffix)
 
 
 class Pieces:
@@ -40,7 +52,8 @@ class Pieces:
         plain = [i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
         self.score = {m.id_to_piece(i): m.get_score(i) for i in plain}
         self.ids = {m.id_to_piece(i): i for i in plain}
-        self.longest = min(EDGE - 1, max(map(len, self.score), default=1))
+        self.longest = max(map(len, self.score), default=1)
+        self.edge = self.longest + 1
         self.bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.fits = lru_cache(1 << 18)(self._fits)
 
@@ -111,16 +124,16 @@ def _begins(p: Pieces, text: str, left: int, first: bool) -> dict[int, list[tupl
         return {0: [("", START)]}
     begin: dict[int, list[tuple[str, int]]] = {}
     for s, e, piece in _states(p, text, left):
-        begin.setdefault(left + e, []).append((piece, EDGE * s + e))
+        begin.setdefault(left + e, []).append((piece, p.edge * s + e))
     return begin
 
 
-def _ends(reach: list[dict], right: int) -> Iterator[tuple[int, tuple, int]]:
+def _ends(p: Pieces, reach: list[dict], right: int) -> Iterator[tuple[int, tuple, int]]:
     """(out state, token, end) of all tokens over the character before a place."""
-    for end in range(right, min(len(reach), right + EDGE)):
+    for end in range(right, min(len(reach), right + p.edge)):
         for start, piece in reach[end]:
             if start < right:
-                yield EDGE * (right - start) + end - right, (start, piece), end
+                yield p.edge * (right - start) + end - right, (start, piece), end
 
 
 def transfer(p: Pieces, text: str, left: int, right: int, first: bool) -> list[tuple[int, int, float]]:
@@ -129,7 +142,7 @@ def transfer(p: Pieces, text: str, left: int, right: int, first: bool) -> list[t
     cuts = _cuts(text, left + p.longest, right - p.longest) if right - left > 2 * p.longest else []
     if not cuts:
         reach = _lattice(p, text, begin, right)
-        return [(i, o, w[0]) for o, token, end in _ends(reach, right) for i, w in reach[end][token].items()]
+        return [(i, o, w[0]) for o, token, end in _ends(p, reach, right) for i, w in reach[end][token].items()]
     # Words between two cuts are the library's; the matrix is the product of its outer parts.
     head = _lattice(p, text[: cuts[0]], begin, cuts[0])
     heads: dict[int, float] = {}
@@ -137,7 +150,7 @@ def transfer(p: Pieces, text: str, left: int, right: int, first: bool) -> list[t
         for i, (w, _) in labels.items():
             heads[i] = max(heads.get(i, w), w)
     tail = _lattice(p, text[cuts[1] :], {0: [("", START)]}, right - cuts[1])
-    tails = {o: tail[end][token][START][0] for o, token, end in _ends(tail, right - cuts[1])}
+    tails = {o: tail[end][token][START][0] for o, token, end in _ends(p, tail, right - cuts[1])}
     return [(i, o, a + b) for i, a in heads.items() for o, b in tails.items()]
 
 
@@ -173,9 +186,9 @@ def best_states(matrices: list[list], start: int, end: int | None) -> list[int]:
 
 def backtrace(p: Pieces, text: str, left: int, right: int, first: bool, enter: int, leave: int) -> list[int]:
     """The ids of the tokens of a chunk, those that start in it, between two known boundary states."""
-    at = 0 if first else left + enter % EDGE
-    before = "" if first else text[left - enter // EDGE : at]
-    end, start = right + leave % EDGE, right - leave // EDGE
+    at = 0 if first else left + enter % p.edge
+    before = "" if first else text[left - enter // p.edge : at]
+    end, start = right + leave % p.edge, right - leave // p.edge
     cuts = _cuts(text, left + p.longest, right - p.longest) if right - left > 2 * p.longest else []
 
     def path(reach: list[dict], end: int, token: tuple, label: int) -> list[int]:
@@ -221,10 +234,13 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> Da
     weights between the tokens over its two boundaries, products of neighbouring matrices are combined
     in groups of FAN, and with the best states known each chunk is encoded and decoded on its own.
     Repeated rows and null ids keep a row each; other columns are ignored; an empty table gives an
-    empty result. The model file is read on the driver and broadcast."""
-    chunk = max(chunk, 2 * EDGE)
+    empty result. The model file is read on the driver and broadcast. With a model of another kind than is_scannable
+    tells, long texts are one call of the library too."""
     with open(model_path, "rb") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+        model = f.read()
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    scannable, edge = is_scannable(model), Pieces(model).edge
+    chunk = max(chunk, 2 * edge)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     out = "doc_id long, n_tokens int, ids array<int>, lossless boolean"
 
@@ -238,14 +254,16 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> Da
                 same = [a == b for a, b in zip(model.decode(ids, num_threads=1), texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, ids)), pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=["doc_id", "n_tokens", "ids", "lossless"])
 
+    if not scannable:
+        return rows.select("doc_id", "text").mapInArrow(whole, out)
     small = rows.where(F.length("text") <= chunk).select("doc_id", "text").mapInArrow(whole, out)
 
     # Chunks carry so much of their neighbours as a piece can reach.
     text = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
     giant = rows.where(F.length("text") > chunk).select("row", "doc_id", F.col("text").contains(SPACE).alias("marked"), text.alias("text"))
     n = F.ceil(F.length("text") / chunk).cast("int")
-    lo = lambda k: F.greatest(k * chunk - EDGE, F.lit(0))
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("k"), (k * chunk - lo(k)).alias("left"), F.least(F.lit(chunk), F.length("text") - k * chunk).alias("size"), F.substring(F.col("text"), lo(k) + 1, F.lit(chunk) + 2 * EDGE).alias("part")))
+    lo = lambda k: F.greatest(k * chunk - edge, F.lit(0))
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("k"), (k * chunk - lo(k)).alias("left"), F.least(F.lit(chunk), F.length("text") - k * chunk).alias("size"), F.substring(F.col("text"), lo(k) + 1, F.lit(chunk) + 2 * edge).alias("part")))
     chunks = giant.select("row", "doc_id", "marked", F.explode(each).alias("c")).select("row", "doc_id", "marked", "c.*")
     chunks = stage(chunks.repartition("row", "k"), "chunks")
 
@@ -289,7 +307,7 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> Da
             ids, same = [], []
             for k, a, s, t, i, o in zip(r["k"], r["left"], r["size"], r["part"], r["enter"], r["leave"], strict=True):
                 found = backtrace(p, t, a, a + s, k == 0, i, o)
-                body = t[(0 if k == 0 else a + i % EDGE) : a + s + o % EDGE]
+                body = t[(0 if k == 0 else a + i % p.edge) : a + s + o % p.edge]
                 ids.append(found)
                 # Decoding drops the blank that was put before the text; here it is put before every chunk.
                 same.append(p.model.decode([p.ids[SPACE], *found]) == body.replace(SPACE, " "))

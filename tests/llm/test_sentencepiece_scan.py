@@ -65,3 +65,31 @@ def test_decode_is_the_inverse(spark):
 
 def test_empty_table(spark):
     assert scan.encode_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_long_pieces_and_other_models(spark, tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(PATH, "rb") as f:
+        raw = f.read()
+    assert scan.is_scannable(raw)
+    spec = sentencepiece_model_pb2.ModelProto()
+    spec.ParseFromString(raw)
+    # "a" joined up to 96 characters, pieces that are longer than those of the file.
+    known = {p.piece for p in spec.pieces}
+    for size in (2, 3, 6, 12, 24, 48, 96):
+        if "q" * size not in known:
+            spec.pieces.add(piece="q" * size, score=-40000.0 - size)
+    path = f"{tmp_path}/long.model"
+    with open(path, "wb") as f:
+        f.write(spec.SerializeToString())
+    model = SentencePieceProcessor(model_file=path)
+    rows = [(1, "q" * 1000), (2, "the " + "q" * 700 + " end " * 200), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in scan.encode_documents(df, path, 256).collect()} == {i: model.encode(t) for i, t in rows}
+    spec.normalizer_spec.remove_extra_whitespaces = True
+    with open(path, "wb") as f:
+        f.write(spec.SerializeToString())
+    model = SentencePieceProcessor(model_file=path)
+    rows = [(1, "a   b " * 300)]
+    assert [r.ids for r in scan.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), path, 256).collect()] == [model.encode(rows[0][1])]
