@@ -23,6 +23,59 @@ def test_isotonic_rises():
     assert (np.diff(values) >= 0).all() and (np.diff(knots) >= 0).all() and 0 < values[0] < values[-1] <= 1
 
 
+def plain_tree(x, grad, hess, cuts, depth, ridge, least):
+    """The best tree by trying every cut of every feature at every node: (feature, cut, left, right) or (grad, hess)."""
+    if not depth:
+        return grad.sum(), hess.sum()
+    best, place = 1e-9, None
+    for f, some in enumerate(cuts):
+        for c in some:
+            left = x[:, f] <= c
+            hl, hr = hess[left].sum(), hess[~left].sum()
+            if hl < least or hr < least:
+                continue
+            gain = grad[left].sum() ** 2 / (hl + ridge) + grad[~left].sum() ** 2 / (hr + ridge) - grad.sum() ** 2 / (hess.sum() + ridge)
+            if gain > best + 1e-9:
+                best, place = gain, (f, c)
+    if place is None:
+        return plain_tree(x, grad, hess, cuts, 0, ridge, least)
+    left = x[:, place[0]] <= place[1]
+    return (*place, *(plain_tree(x[s], grad[s], hess[s], cuts, depth - 1, ridge, least) for s in (left, ~left)))
+
+
+def plain_value(tree, row, ridge, rate):
+    while len(tree) == 4:
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return rate * tree[0] / (tree[1] + ridge)
+
+
+def test_trees_by_brute_force():
+    rng = np.random.default_rng(4)
+    x = np.c_[rng.normal(size=160), rng.integers(0, 4, 160), rng.normal(size=160).round(1), np.zeros(160)]
+    y = (rng.random(160) < 1 / (1 + np.exp(-2 * x[:, 0] * (x[:, 1] - 1)))).astype(float)
+    model = Trees(rounds=6, bins=12)
+    got = model.fit(x, y).raw(x)
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 12)[1:-1])) for f in range(4)]
+    raw = np.full(160, np.log(y.mean() / (1 - y.mean())))
+    for _ in range(6):
+        p = 1 / (1 + np.exp(-raw))
+        tree = plain_tree(x, y - p, p * (1 - p), cuts, 3, 1.0, 2.0)
+        raw = raw + [plain_value(tree, row, 1.0, 0.1) for row in x]
+    assert np.allclose(got, raw, atol=1e-9)
+
+
+def test_isotonic_by_least_squares():
+    rng = np.random.default_rng(8)
+    x, y = np.sort(rng.normal(size=60)), (rng.random(60) < 0.5).astype(float)
+    knots, values = isotonic(x, y)
+    # The pooled means are max over starts of min over ends of the mean between.
+    want = [max(min(y[a : b + 1].mean() for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]
+    edges = [0] + [i for i in range(1, 60) if want[i] != want[i - 1]] + [60]
+    sums = [(y[a:b].sum() + 0.5 * y.mean()) / (b - a + 0.5) for a, b in zip(edges, edges[1:])]
+    assert np.allclose(knots, [x[a:b].mean() for a, b in zip(edges, edges[1:])])
+    assert np.allclose(values, np.maximum.accumulate(sums))
+
+
 def test_trees_learn_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 4))
