@@ -48,18 +48,25 @@ def _drop(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
-def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) of the undirected edges, root the smallest node reachable, by hooking and pointer jumping."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    up = np.arange(len(nodes))
-    while True:
-        hi, lo = np.maximum(up[i], up[j]), np.minimum(up[i], up[j])
-        if (hi == lo).all():
-            return nodes, nodes[up]
-        np.minimum.at(up, hi, lo)
+def dense_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of 0..n-1 the smallest number reachable over the undirected edges, by hooking and pointer jumping."""
+    up = np.arange(n)
+    while len(i):
+        a, b = up[i], up[j]
+        apart = a != b
+        if not apart.any():
+            break
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
         while (up[up] != up).any():
             up = up[up]
+    return up
+
+
+def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the undirected edges, root the smallest node reachable."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return nodes, nodes[dense_roots(len(nodes), at[: len(a)], at[len(a) :])]
 
 
 def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
