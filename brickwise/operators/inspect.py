@@ -120,7 +120,7 @@ def material_reference(voxels: DataFrame, labels: DataFrame, size: int = blocks.
     """(bx, by, bz, n, reference): what a block's mean would be without voids, its materials' levels weighted by their
     voxels. A material's level is the mean of the blocks that hold only it, but for a sixteenth; a material without such
     a block has the mean of its own voxels."""
-    tagged = voxels.join(labels.select("x", "y", "z", "material"), ["x", "y", "z"]).where("material > 0")
+    tagged = voxels.select("x", "y", "z", "grey").join(labels.select("x", "y", "z", "material"), ["x", "y", "z"]).where("material > 0")
     by = tagged.groupBy(*blocks.block_columns(size), "material").agg(F.count("*").alias("n"), F.sum(F.col("grey").cast("long")).alias("s"))
     by = stage(by.withColumn("total", F.sum("n").over(Window.partitionBy(*BX))), "material-blocks")
     pure = F.col("n") >= F.col("total") - F.floor(F.col("total") / 16)
