@@ -92,3 +92,63 @@ def battery_report(samples: DataFrame, limits: dict) -> DataFrame:
     m = edges.agg(F.min("lo").alias("min_overhang_mm"), F.max("hi").alias("max_overhang_mm"), F.max(F.col("hi") - F.col("lo")).alias("max_edge_spread_mm"))
     rows = F.array(*[F.struct(F.lit(k).alias("criterion"), F.col(k).alias("measured"), F.lit(float(v)).alias("bound"), (~(F.col(k) < v) if k.startswith("min") else ~(F.col(k) > v)).alias("ok")) for k, v in sorted(limits.items())])
     return m.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def statistics(rows: DataFrame, value: str, weight: str | None = None) -> DataFrame:
+    """One row of (n, mean, deviation, least, most) of a value, weighted if a weight is given."""
+    v, w = F.col(value), F.lit(1.0) if weight is None else F.col(weight)
+    some = rows.where(v.isNotNull())
+    mean = F.sum(v * w) / F.sum(w)
+    return some.agg(F.count("*").alias("n"), mean.alias("mean"), F.sqrt(F.greatest(F.sum(v * v * w) / F.sum(w) - mean * mean, F.lit(0.0))).alias("deviation"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+def sections(dataset: DataFrame, pores: DataFrame | None = None, compared: DataFrame | None = None, labels: DataFrame | None = None, fibres: DataFrame | None = None, thickness: DataFrame | None = None, tolerance: float = 0.1, min_wall: float = 0.0) -> DataFrame:
+    """(section, json) of a report: the volume, and porosity, comparison, materials, fibres and wall thickness as far as
+    they are there. Every section is an aggregate."""
+    row = lambda name, df: df.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("json"))
+    out = row("volume", dataset.agg(F.count("*").alias("voxels"), *[F.min(c).alias(f"min_{c}") for c in "xyz"], *[F.max(c).alias(f"max_{c}") for c in "xyz"], F.min("grey").alias("least"), F.max("grey").alias("most")))
+    if pores is not None:
+        size = "equivalent_diameter" if "equivalent_diameter" in pores.columns else "n"
+        out = out.union(row("porosity", pores.agg(F.count("*").alias("pores"), F.sum("n").alias("voxels"), F.max(size).alias("largest"), F.max_by("component", F.struct(size, -F.col("component"))).alias("largest_id"))))
+    if compared is not None:
+        within = compared.agg(F.avg((F.abs(F.col("distance")) <= tolerance).cast("double")).alias("within"))
+        out = out.union(row("comparison", statistics(compared, "distance", "area" if "area" in compared.columns else None).join(within)))
+    if labels is not None:
+        out = out.union(row("materials", labels.groupBy("material").agg(F.count("*").alias("voxels"))))
+    if fibres is not None:
+        from brickwise.operators.filters import orientation_tensor
+
+        out = out.union(row("fibres", orientation_tensor(fibres)))
+    if thickness is not None:
+        thin = thickness.agg(F.avg((F.col("thickness") < min_wall).cast("double")).alias("thin"))
+        out = out.union(row("wall_thickness", statistics(thickness, "thickness").join(thin)))
+    return out
+
+
+class Telemetry:
+    """Times and Spark metrics of the phases of a run: (phase, seconds, jobs, tasks, hint), from Spark's own counts."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.rows = spark, []
+
+    def measure(self, phase: str, work):
+        """Run work() as a phase and keep its result; its jobs are named after the phase."""
+        import time
+
+        context = self.spark.sparkContext
+        tracker, group = context.statusTracker(), f"phase-{len(self.rows)}-{phase}"
+        context.setJobGroup(group, phase)
+        began = time.perf_counter()
+        try:
+            return work()
+        finally:
+            took = time.perf_counter() - began
+            jobs = [j for j in map(tracker.getJobInfo, tracker.getJobIdsForGroup(group)) if j is not None]
+            stages = [s for s in (tracker.getStageInfo(k) for j in jobs for k in j.stageIds) if s is not None]
+            tasks, failed = sum(s.numTasks for s in stages), sum(s.numFailedTasks for s in stages)
+            hint = "tasks failed and were repeated" if failed else "one task did the work" if took > 5 and tasks <= len(stages) else ""
+            self.rows.append((phase, took, len(jobs), tasks, hint))
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    def table(self) -> DataFrame:
+        return self.spark.createDataFrame(self.rows, "phase string, seconds double, jobs int, tasks int, hint string")

@@ -26,6 +26,7 @@ class Operation:
     inputs: tuple[str, ...]
     output: str
     run: Callable[..., DataFrame]
+    optional: tuple[str, ...] = ()
 
     def check(self, given: dict) -> dict:
         """The parameters with defaults filled in; unknown names, wrong types, values out of range and missing ones raise."""
@@ -53,9 +54,11 @@ class Operation:
 OPERATIONS: dict[str, Operation] = {}
 
 
-def operation(name: str, inputs: tuple[str, ...], output: str, **parameters: dict):
+def operation(name: str, inputs: tuple[str, ...], output: str, optional: tuple[str, ...] = (), **parameters: dict):
+    """Register a function of (spark, inputs, optional inputs or None, parameters)."""
+
     def add(f):
-        OPERATIONS[name] = Operation(name, parameters, inputs, output, f)
+        OPERATIONS[name] = Operation(name, parameters, inputs, output, f, optional)
         return f
 
     return add
@@ -101,9 +104,13 @@ def _threshold(dataset: DataFrame, threshold: float) -> float:
     return float(histogram.otsu(histogram.grey_histogram(dataset)).first()["threshold"])
 
 
-@operation("sieve", ("dataset",), "dataset", size={"type": "integer", "minimum": 1}, threshold=NUMBER | {"default": 0}, margin={"type": "integer", "minimum": 0, "maximum": 64, "default": 3})
-def _sieve(spark: SparkSession, dataset: DataFrame, size: int, threshold: float, margin: int) -> DataFrame:
-    return blocks.sieve(dataset, _threshold(dataset, threshold), (size,) * 3, margin)
+@operation("sieve", ("dataset",), "dataset", size={"type": "integer", "minimum": 0, "default": 0}, dims={"type": "array", "default": []}, threshold=NUMBER | {"default": 0}, margin={"type": "integer", "minimum": 0, "maximum": 64, "default": 3})
+def _sieve(spark: SparkSession, dataset: DataFrame, size: int, dims: list, threshold: float, margin: int) -> DataFrame:
+    """dims are the volume's sizes along its axes, or size that of a cube; else they are read from the voxels."""
+    if len(dims) not in (0, 3):
+        raise ValueError("sieve: dims are three numbers")
+    sizes = tuple(dims) or ((size,) * 3 if size else tuple(dataset.agg(*[F.max(c) + 1 for c in "xyz"]).first()))
+    return blocks.sieve(dataset, _threshold(dataset, threshold), sizes, margin)
 
 
 @operation("porosity", ("dataset",), "porosity", threshold=NUMBER | {"default": 0}, min_pore_voxels={"type": "integer", "minimum": 1, "default": 3})
@@ -199,6 +206,11 @@ class Project:
             if step is None:
                 raise ValueError(f"{name}: no {kind} to work on")
             wired[kind] = step
+        for kind in op.optional:
+            asked = (inputs or {}).get(kind)
+            step = self.latest(kind) if asked is None else next((s for s in self.steps[: self.cursor] if s["id"] == asked and s["output"] == kind and s["status"] == "done"), None)
+            if step is not None:
+                wired[kind] = step
         del self.steps[self.cursor :]
         number = 1 + max((s["id"] for s in self.steps), default=0)
         step = {"id": number, "operation": name, "parameters": checked, "inputs": {k: s["id"] for k, s in wired.items()}, "output": op.output, "status": "running", "started": datetime.now(UTC).isoformat(timespec="seconds")}
@@ -206,7 +218,8 @@ class Project:
         self.cursor = len(self.steps)
         self.save()
         try:
-            df = op.run(self.spark, *[self.result(s) for s in wired.values()], **checked)
+            given = [self.result(wired[k]) if k in wired else None for k in (*op.inputs, *op.optional)]
+            df = op.run(self.spark, *given, **checked)
             df.write.mode("overwrite").parquet(os.path.join(self.folder, f"step{number}"))
             step["status"] = "done"
         except Exception as e:
@@ -223,3 +236,6 @@ class Project:
     def redo(self) -> None:
         self.cursor = min(len(self.steps), self.cursor + 1)
         self.save()
+
+
+from brickwise.plans import operations  # noqa: E402, F401  (registers the rest)

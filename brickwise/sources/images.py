@@ -201,7 +201,8 @@ def read_stack(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def read_dicom(spark: SparkSession, path: str) -> DataFrame:
-    """(x, y, z, grey) of the largest series of a folder, its slices sorted along their normal."""
+    """(x, y, z, grey) of the largest series of a folder, its slices sorted along their normal. Grey values are stored
+    ones; metadata.read_inspection tells the slope and intercept that make values of them."""
     files = _files(spark, path, "*.dcm")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
