@@ -15,8 +15,13 @@ from pyspark.sql import types as T
 MOST_TRIANGLES = 2_000_000
 
 
+#: Points whose coarse alignments are ranked, and point and triangle pairs that are computed together.
+RANKED, PAIRS = 2000, 1 << 19
+
+
 class Mesh:
-    """Triangles in a uniform grid of cells; the closest one to a point is found ring by ring."""
+    """Triangles with their centres and radii. Points are answered by grid cell: a triangle can be the nearest of a cell's
+    points only if it could be nearer to the cell's centre than the nearest centre of all, by the sizes of both."""
 
     def __init__(self, triangles: np.ndarray):
         if not 0 < len(triangles) <= MOST_TRIANGLES:
@@ -25,63 +30,57 @@ class Mesh:
         n = np.cross(triangles[:, 1] - triangles[:, 0], triangles[:, 2] - triangles[:, 0])
         self.area = np.linalg.norm(n, axis=1) / 2
         self.normal = n / np.maximum(2 * self.area, 1e-300)[:, None]
-        self.low, high = triangles.min((0, 1)), triangles.max((0, 1))
-        self.cell = max(float((high - self.low).max()) / 24, 1e-9)
-        self.count = np.maximum(np.ceil((high - self.low) / self.cell).astype(int), 1)
-        self.grid: dict[tuple[int, int, int], list[int]] = {}
-        a, b = (np.clip(((f(triangles, 1) - self.low) / self.cell).astype(int), 0, self.count - 1) for f in (np.min, np.max))
-        for k in range(len(triangles)):
-            for c in product(*(range(a[k, d], b[k, d] + 1) for d in range(3))):
-                self.grid.setdefault(c, []).append(k)
-
-    def closest(self, p: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """(signed distance, nearest point, normal there): negative behind the triangle's front."""
-        base = np.clip(((p - self.low) / self.cell).astype(int), 0, self.count - 1)
-        inside = np.minimum(np.maximum(p, self.low), self.low + self.count * self.cell)
-        away = float(np.linalg.norm(p - inside))
-        best, found = np.inf, None
-        for ring in range(int(self.count.max()) + 1):
-            if (ring - 1) * self.cell + away > best and ring:
-                break
-            ids = {k for c in self._ring(base, ring) for k in self.grid.get(c, ())}
-            if ids:
-                ids = np.fromiter(ids, int)
-                q = closest_on_triangles(p, self.t[ids])
-                d = np.linalg.norm(q - p, axis=1)
-                at = d.argmin()
-                ties = np.flatnonzero(d <= d[at] + 1e-9)
-                if d[at] < best:
-                    side = ((p - q[ties]) * self.normal[ids[ties]]).sum(1)
-                    pick = ties[np.abs(side).argmax()]
-                    best, found = float(d[at]), (q[pick], self.normal[ids[pick]])
-        q, n = found
-        return (best if (p - q) @ n >= 0 else -best), q, n
-
-    def _ring(self, base: np.ndarray, ring: int) -> Iterator[tuple]:
-        r = range(-ring, ring + 1)
-        for o in product(r, r, r):
-            if max(map(abs, o)) == ring:
-                c = base + o
-                if (c >= 0).all() and (c < self.count).all():
-                    yield tuple(c)
+        self.centre = triangles.mean(1)
+        self.radius = np.linalg.norm(triangles - self.centre[:, None], axis=2).max(1)
+        extent = float((triangles.max((0, 1)) - triangles.min((0, 1))).max())
+        self.cell = max(extent / 32, 1e-9)
+
+    def closest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(signed distances, nearest places, normals there) of points (n, 3): negative behind the triangle's front. Of
+        equally near triangles the one that the point is most in front of or behind tells the side."""
+        d, q, n = np.zeros(len(points)), np.zeros((len(points), 3)), np.zeros((len(points), 3))
+        cell = np.floor(points / self.cell).astype(np.int64)
+        by = np.lexsort(cell.T)
+        edges = np.flatnonzero(np.r_[True, (cell[by][1:] != cell[by][:-1]).any(1)]) if len(by) else []
+        for lo, hi in zip(edges, [*edges[1:], len(by)], strict=True):
+            rows = by[lo:hi]
+            middle = (cell[rows[0]] + 0.5) * self.cell
+            half = float(np.linalg.norm(points[rows] - middle, axis=1).max())
+            away = np.linalg.norm(self.centre - middle, axis=1)
+            some = np.flatnonzero(away - self.radius <= (away + self.radius).min() + 2 * half + 1e-9)
+            step = max(1, PAIRS // len(some))
+            for at in range(0, len(rows), step):
+                k = rows[at : at + step]
+                near = closest_on_triangles(points[k], self.t[some])
+                gap = points[k][:, None] - near
+                away2 = np.linalg.norm(gap, axis=2)
+                best = away2.min(1)
+                side = (gap * self.normal[some][None]).sum(2)
+                pick = np.where(away2 <= best[:, None] + 1e-9, np.abs(side), -1.0).argmax(1)
+                each = np.arange(len(k))
+                q[k], n[k] = near[each, pick], self.normal[some[pick]]
+                d[k] = np.where(side[each, pick] >= 0, best, -best)
+        return d, q, n
 
 
 def closest_on_triangles(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The nearest point of each triangle: inside its face, or on the nearest of its edges."""
-    a, b, c = t[:, 0], t[:, 1], t[:, 2]
-    best, out = np.full(len(t), np.inf), a.copy()
+    """The nearest place (n, m, 3) on each of m triangles to each of n points: inside its face, or on the nearest of its
+    edges."""
+    p = p[:, None]
+    a, b, c = (t[None, :, k] for k in range(3))
     n = np.cross(b - a, c - a)
-    size = np.maximum((n * n).sum(1), 1e-300)
-    foot = p - (((p - a) * n).sum(1) / size)[:, None] * n
-    within = np.ones(len(t), dtype=bool)
+    size = np.maximum((n * n).sum(-1), 1e-300)
+    foot = p - (((p - a) * n).sum(-1) / size)[..., None] * n
+    within = np.ones(foot.shape[:2], dtype=bool)
+    best, out = np.full(foot.shape[:2], np.inf), np.broadcast_to(a, foot.shape)
     for u, v in ((a, b), (b, c), (c, a)):
-        within &= (np.cross(v - u, foot - u) * n).sum(1) >= 0
         e = v - u
-        s = np.clip(((p - u) * e).sum(1) / np.maximum((e * e).sum(1), 1e-300), 0, 1)
-        q = u + s[:, None] * e
-        d = ((q - p) ** 2).sum(1)
-        out, best = np.where((d < best)[:, None], q, out), np.minimum(d, best)
-    return np.where(within[:, None], foot, out)
+        within &= (np.cross(e, foot - u) * n).sum(-1) >= 0
+        s = np.clip(((p - u) * e).sum(-1) / np.maximum((e * e).sum(-1), 1e-300), 0, 1)
+        q = u + s[..., None] * e
+        d = ((q - p) ** 2).sum(-1)
+        out, best = np.where((d < best)[..., None], q, out), np.minimum(d, best)
+    return np.where(within[..., None], foot, out)
 
 
 def nominal_mesh(triangles: DataFrame) -> Mesh:
@@ -101,9 +100,7 @@ def mesh_distance(points: DataFrame, mesh: Mesh) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = np.stack([b.column(c).to_numpy() for c in "xyz"], 1).astype(float)
-            found = [sent.value.closest(q) for q in p]
-            d = np.array([f[0] for f in found])
-            n = np.array([f[2] for f in found]).reshape(-1, 3)
+            d, _, n = sent.value.closest(p)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d), *[pa.array(np.ascontiguousarray(n[:, k])) for k in range(3)]], names=[*b.schema.names, "distance", "nx", "ny", "nz"])
 
     return points.mapInArrow(run, schema)
@@ -159,11 +156,14 @@ def coarse_alignments(points: DataFrame, mesh: Mesh) -> list[np.ndarray]:
 
 
 def best_alignment(points: DataFrame, mesh: Mesh, tried: int = 4) -> np.ndarray:
-    """Coarse alignments ranked by their mean absolute distance in one pass, the best few refined."""
+    """Coarse alignments ranked by the mean absolute distance of RANKED points, those with the smallest hashes; the best
+    few are refined with all."""
     starts = coarse_alignments(points, mesh)
+    some = points.select("x", "y", "z").orderBy(F.xxhash64("x", "y", "z")).limit(RANKED)
+    some = points.sparkSession.createDataFrame([tuple(map(float, r)) for r in some.collect()], "x double, y double, z double")
     cases = None
     for k, m in enumerate(starts):
-        part = moved(points.select("x", "y", "z"), m).withColumn("case", F.lit(k))
+        part = moved(some, m).withColumn("case", F.lit(k))
         cases = part if cases is None else cases.union(part)
     rank = mesh_distance(cases, mesh).groupBy("case").agg(F.avg(F.abs("distance")).alias("d")).orderBy("d", "case").limit(tried).collect()
     found = []

@@ -21,10 +21,11 @@ SIZE = np.array([6.0, 4.0, 2.0])
 
 def test_signed_distance_to_a_box():
     mesh = compare.Mesh(box_mesh(SIZE))
-    for p in np.random.default_rng(0).uniform(-3, 8, (300, 3)):
-        q = np.abs(p - SIZE / 2) - SIZE / 2
-        want = np.linalg.norm(np.maximum(q, 0)) + min(q.max(), 0)
-        assert mesh.closest(p)[0] == pytest.approx(want, abs=1e-9)
+    p = np.random.default_rng(0).uniform(-3, 8, (300, 3))
+    d, near, _ = mesh.closest(p)
+    q = np.abs(p - SIZE / 2) - SIZE / 2
+    assert d == pytest.approx(np.linalg.norm(np.maximum(q, 0), axis=1) + np.minimum(q.max(1), 0), abs=1e-9)
+    assert np.linalg.norm(p - near, axis=1) == pytest.approx(np.abs(d), abs=1e-9)
     with pytest.raises(ValueError):
         compare.Mesh(np.zeros((0, 3, 3)))
 
