@@ -18,8 +18,8 @@ from brickwise.operators.volume import lattice
 class Phantom:
     """A hollow box with spherical pores; lengths in mm, coordinates from the centre of the volume."""
 
-    size: int = 96
-    pitch: float = 0.125
+    size: int = 128
+    pitch: float = 0.1
     outer: float = 8.0
     wall: float = 1.5
     air: int = 1000

@@ -87,18 +87,27 @@ def multi_otsu_3(hist: DataFrame, bins: int) -> DataFrame:
 
 def weighted_percentiles(values: DataFrame, value: str, weight: str, shares: list[float]) -> DataFrame:
     """(share, value): the first value in rising order whose cumulative weight reaches the share of the total.
-    Values are summed by value first, and cumulated over ranges so that no task sorts the whole table."""
+    Values are summed by value first and dealt by range; a part's own sums are added to those of the parts before it, of
+    which there is a row each, so that no task sorts the whole table."""
+    from brickwise.operators.graph import stage
+
     by = values.groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
-    total = by.agg(F.sum("w").alias("total"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    c = by.select("v", F.sum("w").over(w).alias("c")).join(F.broadcast(total))
+    dealt = stage(by.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "percentiles")
+    sums = dealt.groupBy("part").agg(F.sum("w").alias("s"))
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    before = sums.select("part", (F.sum("s").over(every) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy()).alias("total"))
+    w = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    c = dealt.join(F.broadcast(before), "part").select("v", (F.sum("w").over(w) + F.col("before")).alias("c"), "total")
     wanted = F.array(*[F.lit(float(s)) for s in shares])
     each = c.select("v", "c", "total", F.explode(wanted).alias("share")).where(F.col("c") >= F.col("share") * F.col("total"))
     return each.groupBy("share").agg(F.min("v").alias("value"))
 
 
 def upper_median(values: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """The upper middle element, sorted[n / 2], of each group, by rank instead of collected lists."""
-    w = Window.partitionBy(*by).orderBy(value)
-    c = values.select(*by, F.col(value).alias("median"), (F.row_number().over(w) - 1).alias("k"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    return c.where(F.col("k") == F.floor(F.col("n") / 2)).select(*by, "median")
+    """The upper middle element, sorted[n / 2], of each group: equal values are counted first, and ranks come from the
+    counts, so a group's window has a row for each distinct value only."""
+    counted = values.groupBy(*by, F.col(value).alias("median")).agg(F.count("*").alias("m"))
+    w = Window.partitionBy(*by).orderBy("median").rowsBetween(Window.unboundedPreceding, 0)
+    c = counted.select(*by, "median", F.sum("m").over(w).alias("up"), "m", F.sum("m").over(Window.partitionBy(*by)).alias("n"))
+    at = F.floor(F.col("n") / 2)
+    return c.where((F.col("up") > at) & (F.col("up") - F.col("m") <= at)).select(*by, "median")

@@ -87,22 +87,29 @@ def rigid_fit(pairs: DataFrame) -> list[float]:
     return out.ravel().tolist()
 
 
-def nearest(points: DataFrame, among: DataFrame, cell: float = 0.1, rings: int = 12) -> DataFrame:
-    """(id, nearest, d2) of each point: the nearest other one. Rings of grid cells around the point are searched from the
-    inside out; a point leaves when its best find is nearer than the next ring can hold. Points still open after
-    the last ring (far outliers) are held against all, in blocks."""
-    grid = lambda df, p: df.select(F.col("id").alias(f"{p}id"), *[F.col(c).alias(p + c) for c in "xyz"], *[F.floor(F.col(c) / cell).cast("int").alias(f"{p}g{c}") for c in "xyz"])
-    a, b = grid(points, "a"), grid(among, "b")
-    d2 = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 + (F.col("az") - F.col("bz")) ** 2
-    k = rings // 4
-    span = F.sequence(F.lit(-k), F.lit(k))
-    around = a.select("*", F.explode(span).alias("i")).select("*", F.explode(span).alias("j")).select("*", F.explode(span).alias("l"))
-    around = around.withColumns({"bgx": F.col("agx") + F.col("i"), "bgy": F.col("agy") + F.col("j"), "bgz": F.col("agz") + F.col("l")})
-    found = around.join(b, ["bgx", "bgy", "bgz"]).where("aid != bid").groupBy("aid").agg(F.min(F.struct(d2.alias("d2"), F.col("bid").alias("nearest"))).alias("m"))
-    sure = found.where(F.col("m.d2") <= (k * cell) ** 2).select(F.col("aid").alias("id"), "m.nearest", "m.d2")
-    rest = a.join(sure.select(F.col("id").alias("aid")), "aid", "left_anti")
-    far = rest.join(b, F.col("aid") != F.col("bid")).groupBy("aid").agg(F.min(F.struct(d2.alias("d2"), F.col("bid").alias("nearest"))).alias("m"))
-    return sure.union(far.select(F.col("aid").alias("id"), "m.nearest", "m.d2"))
+def nearest(points: DataFrame, among: DataFrame, cell: float = 0.1, levels: int = 40) -> DataFrame:
+    """(id, nearest, d2) of each point: the nearest other one, the smaller id of equals. The 27 grid cells around a point
+    are searched; it leaves when its best find is no farther than a cell, else the cells are made twice as wide for
+    those that are left, until none is. Cells are counted first: a point meets what is in them, not all points."""
+    from brickwise.operators.graph import stage
+
+    rest = stage(points.select("id", "x", "y", "z"), "nearest")
+    done = None
+    d2 = sum(((F.col(c) - F.col(f"b{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("bx")) ** 2)
+    span = F.sequence(F.lit(-1), F.lit(1))
+    for _ in range(levels):
+        at = {f"g{c}": F.floor(F.col(c) / cell) for c in "xyz"}
+        own = among.select(F.col("id").alias("bid"), *[F.col(c).alias(f"b{c}") for c in "xyz"], *[v.alias(k) for k, v in at.items()])
+        around = rest.select("id", "x", "y", "z", F.explode(span).alias("i")).select("*", F.explode(span).alias("j")).select("*", F.explode(span).alias("k"))
+        around = around.select("id", "x", "y", "z", *[(at[f"g{c}"] + F.col(o)).alias(f"g{c}") for c, o in zip("xyz", "ijk", strict=True)])
+        near = around.join(own, ["gx", "gy", "gz"]).where("id != bid").groupBy("id").agg(F.min(F.struct(d2.alias("d2"), F.col("bid").alias("nearest"))).alias("m"))
+        sure = stage(near.where(F.col("m.d2") <= cell * cell).select("id", "m.nearest", "m.d2"), "nearest-found")
+        done = sure if done is None else done.union(sure)
+        rest = stage(rest.join(sure, "id", "left_anti"), "nearest-open")
+        if not rest.head(1):
+            break
+        cell *= 2
+    return done
 
 
 def icp_sums(matches: DataFrame, floor: float) -> DataFrame:

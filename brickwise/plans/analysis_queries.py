@@ -94,13 +94,13 @@ def depth_levels(spark, sf_dir):
 
 @query(
     """WITH l AS (SELECT floor(p_size / 2)::INT AS bin, list_sort(list(p_retailprice))[count(*) // 2 + 1]::DOUBLE AS v FROM part GROUP BY 1 HAVING count(*) >= 4), c AS (SELECT (bin + 0.5) * 2.0 AS d, v FROM l),
-p AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS q FROM lineitem WHERE l_orderkey % 50 = 0),
-j AS (SELECT p.*, (SELECT max(d) FROM c WHERE d <= q) AS lo, (SELECT min(d) FROM c WHERE d > q) AS hi FROM p)
+p AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS q FROM lineitem), v AS (SELECT DISTINCT q FROM p),
+e AS (SELECT q, max(d) FILTER (d <= q) AS lo, min(d) FILTER (d > q) AS hi FROM v, c GROUP BY 1), j AS (SELECT * FROM p JOIN e USING (q))
 SELECT l_orderkey, l_linenumber, round(CASE WHEN lo IS NULL THEN b.v WHEN hi IS NULL THEN a.v ELSE a.v + (b.v - a.v) * (q - lo) / (hi - lo) END, 5) AS level FROM j LEFT JOIN c a ON a.d = lo LEFT JOIN c b ON b.d = hi"""
 )
 def level_at_depth(spark, sf_dir):
     levels = porosity.depth_levels(table(spark, sf_dir, "part"), "p_retailprice", "p_size")
-    points = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", "l_quantity")
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return porosity.level_at_depth(points, "l_quantity", levels).select("l_orderkey", "l_linenumber", F.round("level", 5).alias("level"))
 
 
@@ -316,9 +316,9 @@ def edge_overhang_summary(spark, sf_dir):
     return got.select("edge", "n", "least", "most", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "worst")
 
 
-@query(f"WITH RECURSIVE {PARTS}, m AS (SELECT * FROM vox WHERE grey > 90), {reach(6)} SELECT component, count(*)::BIGINT AS n, round(pow(6 * count(*) / pi(), 1 / 3.0), 6) AS equivalent_diameter FROM cc GROUP BY 1 HAVING count(*) >= 2")
+@query(f"WITH RECURSIVE {PARTS}, m AS (SELECT * FROM vox WHERE grey > 70), {reach(6)} SELECT component, count(*)::BIGINT AS n, round(pow(6 * count(*) / pi(), 1 / 3.0), 6) AS equivalent_diameter FROM cc GROUP BY 1 HAVING count(*) >= 2")
 def particles_and_voids(spark, sf_dir):
-    return battery.particles(parts(spark, sf_dir).where("grey > 90"), 2).select("component", "n", F.round("equivalent_diameter", 6).alias("equivalent_diameter"))
+    return battery.particles(parts(spark, sf_dir).where("grey > 70"), 2).select("component", "n", F.round("equivalent_diameter", 6).alias("equivalent_diameter"))
 
 
 @query("WITH p AS (SELECT s_suppkey AS id, (s_suppkey % 50)::DOUBLE AS x, (s_nationkey * 2)::DOUBLE AS y, abs(s_acctbal)::DOUBLE / 1000 AS size FROM supplier) SELECT s.id FROM p s WHERE s.size < 3 AND EXISTS (SELECT 1 FROM p l WHERE l.size >= 8 AND sqrt((s.x - l.x) * (s.x - l.x) + (s.y - l.y) * (s.y - l.y)) < 0.5 * l.size)")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brickwise.plans import analysis_queries, grid_queries, kernel_queries
+from brickwise.plans import analysis_queries, grid_queries, inspection_queries, kernel_queries
 
-MODULES = (grid_queries, analysis_queries, kernel_queries)
+MODULES = (grid_queries, analysis_queries, kernel_queries, inspection_queries)
 
 
 def queries() -> dict:

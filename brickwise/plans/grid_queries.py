@@ -7,9 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from brickwise.functions.keys import morton, natural_key, offsets
-from brickwise.operators import blocks, histogram, volume
+from brickwise.operators import blocks, bricks, histogram, volume
 from brickwise.operators.components import component_statistics, components, faces, keep_largest
-from brickwise.operators.generate import box_phantom, phantom_volume
+from brickwise.operators.generate import phantom_volume
 from brickwise.operators.graph import stage
 from brickwise.plans.volumes import BOX, FLAGSHIP, PARTS, SMALL, parts, phantom_sql, small_phantom, table
 
@@ -264,12 +264,12 @@ def concat_volumes(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PARTS}, g AS (SELECT (i % 32)::INT AS x, (i // 32 % 32)::INT AS y, (i // 1024)::INT AS z FROM range(32768) r(i)), f AS (SELECT x, y, z, coalesce(grey, 0) AS g FROM g LEFT JOIN vox USING (x, y, z)),
+    f"""WITH {PARTS}, g AS (SELECT (i % 64)::INT AS x, (i // 64 % 64)::INT AS y, (i // 4096)::INT AS z FROM range(262144) r(i)), f AS (SELECT x, y, z, coalesce(grey, 0) AS g FROM g LEFT JOIN vox USING (x, y, z)),
 a AS (SELECT x, y, z, sum(g) OVER (PARTITION BY y, z ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS g FROM f), b AS (SELECT x, y, z, sum(g) OVER (PARTITION BY x, z ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS g FROM a)
 SELECT x, y, z, (sum(g) OVER (PARTITION BY x, y ORDER BY z ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))::BIGINT AS grey FROM b"""
 )
 def box_filter(spark, sf_dir):
-    return volume.box_filter(parts(spark, sf_dir), 1, ((0, 0, 0), (32, 32, 32)), 0)
+    return volume.box_filter(parts(spark, sf_dir), 1, BOX, 0)
 
 
 @query(f"WITH {PARTS} SELECT y, z, sum(CASE WHEN grey >= 40 THEN 40 ELSE grey END)::BIGINT AS value FROM vox GROUP BY 1, 2")
@@ -284,11 +284,11 @@ def morton_order(spark, sf_dir):
     return cells.select("s_suppkey", morton(bits=8).alias("code"))
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY regexp_replace(p_brand, '[0-9]+', ''), lpad(p_partkey::VARCHAR, 12, '0'))::INT AS place FROM part WHERE p_partkey % 7 = 0")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY regexp_replace(p_brand, '[0-9]+', ''), lpad(p_partkey::VARCHAR, 12, '0'))::INT AS place FROM part")
 def natural_order(spark, sf_dir):
     from pyspark.sql import Window
 
-    p = table(spark, sf_dir, "part").where("p_partkey % 7 = 0")
+    p = table(spark, sf_dir, "part")
     name = F.concat(F.regexp_replace("p_brand", "[0-9]+", ""), F.lit("-"), F.col("p_partkey").cast("string"))
     return p.select("p_partkey", F.row_number().over(Window.orderBy(natural_key(name))).alias("place"))
 
@@ -341,10 +341,6 @@ def block_depth(spark, sf_dir):
 def flagship_porosity_phantom(spark, sf_dir):
     """The pores of the noise-free phantom: histogram, threshold, outside air, candidates and their components; those
     that touch removed voxels are outside air."""
-    from brickwise.operators.porosity import find_pores
-
-    v = box_phantom(spark, FLAGSHIP)
-    threshold = histogram.otsu(histogram.grey_histogram(v)).first()["threshold"]
-    kept = stage(blocks.sieve(v, threshold, (FLAGSHIP.size,) * 3), "sieved")
-    pores = find_pores(kept, threshold, least=3)
-    return pores.groupBy("component").agg(F.count("*").alias("voxels")).select("voxels")
+    v = stage(bricks.phantom_bricks(spark, FLAGSHIP), "phantom")
+    threshold = histogram.otsu(bricks.histogram(v)).first()["threshold"]
+    return bricks.find_pores(v, (FLAGSHIP.size,) * 3, threshold).select("voxels")

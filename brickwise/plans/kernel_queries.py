@@ -32,7 +32,7 @@ def noisy_phantom(spark, sf_dir):
 @query
 def non_local_means(spark, sf_dir):
     noisy = add_noise(small_phantom(spark, sf_dir), SMALL.size, SMALL.size, 500.0, 42)
-    return filters.non_local_means(noisy, 500.0, search=1, brick=16)
+    return filters.non_local_means(noisy, 500.0, search=3, brick=32)
 
 
 @query
@@ -57,7 +57,7 @@ def surface_points(spark, sf_dir):
 
 @query
 def fibre_families(spark, sf_dir):
-    return filters.fibre_directions(filters.structure_tensors(parts(spark, sf_dir), 16), 8)
+    return filters.fibre_directions(filters.structure_tensors(small_phantom(spark, sf_dir), 8), 8)
 
 
 @query
@@ -67,13 +67,13 @@ def orientation_tensor(spark, sf_dir):
 
 @query
 def reprojection(spark, sf_dir):
-    return filters.reproject(box_phantom(spark, SMALL).where("z = 16 or z = 8"), SMALL.size)
+    return filters.reproject(box_phantom(spark, SMALL), SMALL.size)
 
 
 @query
 def rigid_fit(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    pairs = e.select(*[F.get("embedding", F.lit(k % 3)).cast("double").alias(c) for k, c in enumerate(("px", "py", "pz", "qx", "qy", "qz"))])
+    pairs = e.select(*[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(("px", "py", "pz", "qx", "qy", "qz"))])
     return spark.createDataFrame([(surface.rigid_fit(pairs),)], "matrix array<double>")
 
 
@@ -94,14 +94,14 @@ def circle_fit(spark, sf_dir):
 @query
 def wound_cell_profiles(spark, sf_dir):
     profiles = battery.radial_profiles(wound_cell(spark), (31.5, 31.5), 36, 32)
-    return battery.peaks(profiles.where("z = 0"), ["angle"], "r", "grey", 2000.0)
+    return battery.peaks(profiles, ["z", "angle"], "r", "grey", 2000.0)
 
 
 @query
 def fit_elements(spark, sf_dir):
-    s = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    s = table(spark, sf_dir, "lineitem")
     a, t = F.col("l_partkey") % 360 * (math.pi / 180), F.col("l_suppkey") % 50 / 10.0
-    kind = F.element_at(F.array(*map(F.lit, ("plane", "sphere", "cylinder"))), F.col("l_linenumber"))
+    kind = F.element_at(F.array(*map(F.lit, ("plane", "sphere", "cylinder"))), (F.col("l_linenumber") - 1) % 3 + 1)
     rows = s.select(
         F.concat(F.lit("e"), F.col("l_linenumber").cast("string")).alias("element"),
         kind.alias("kind"),
@@ -122,6 +122,6 @@ def compare_nominal(spark, sf_dir):
     from brickwise.operators import compare
 
     triangles = surface.extract_surface(small_phantom(spark, sf_dir), 10500.0, 16, 1000.0)
-    mesh = compare.nominal_mesh(triangles.where("x1 < 7"))
-    points = surface.surface_points(small_phantom(spark, sf_dir), 10500.0).where("x < 6").select("x", "y", "z")
+    mesh = compare.nominal_mesh(triangles)
+    points = surface.surface_points(small_phantom(spark, sf_dir), 10500.0).select("x", "y", "z")
     return compare.deviations(compare.mesh_distance(points, mesh), 0.1)

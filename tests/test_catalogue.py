@@ -33,4 +33,4 @@ def test_query_equals_sql(spark, con, name):
 
 def test_flagship_finds_the_planted_pores(spark):
     found = sorted(r.voxels for r in catalogue.queries()["flagship_porosity_phantom"](spark, FOLDER).collect())
-    assert found == [8, 56, 136, 64000]
+    assert found == [36, 112, 268, 125000]
