@@ -9,6 +9,7 @@ from brickwise.llm.decontaminate import benchmark_leaks
 from brickwise.llm.embedding_dedup import embedding_components
 from brickwise.llm.filter_audit import filter_audit_sql, filter_interactions
 from brickwise.llm.license_scan import license_scan, license_sql
+from brickwise.llm.packing import packed
 from brickwise.llm.quality import quality
 from brickwise.llm.secret_scan import secret_scan, secret_sql
 from brickwise.llm.sentencepiece_scan import encode_documents
@@ -64,12 +65,16 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_substring_dedup, op4_license_scan, op5_secret_scan, op6_quality, op7_token_counts, op8_embedding_dedup, op9_toxicity, op10_simhash_dedup, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_substring_dedup, op4_license_scan, op5_secret_scan, op6_quality, op7_token_counts, op8_embedding_dedup, op9_toxicity, op10_simhash_dedup, op12_best_fit_packing, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
