@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brickwise.llm.common import table
+from brickwise.llm.conversation_trie import conversation_trie, conversation_trie_sql
 from brickwise.llm.decontaminate import benchmark_leaks
 from brickwise.llm.embedding_dedup import embedding_components
 from brickwise.llm.filter_audit import filter_audit_sql, filter_interactions
@@ -65,6 +66,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -74,8 +79,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_substring_dedup, op4_license_scan, op5_secret_scan, op6_quality, op7_token_counts, op8_embedding_dedup, op9_toxicity, op10_simhash_dedup, op12_best_fit_packing, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_substring_dedup, op4_license_scan, op5_secret_scan, op6_quality, op7_token_counts, op8_embedding_dedup, op9_toxicity, op10_simhash_dedup, op11_conversation_trie, op12_best_fit_packing, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": license_sql(), "op5_secret_scan": secret_sql(), "op13_filter_audit": filter_audit_sql()}
+    return {"op4_license_scan": license_sql(), "op5_secret_scan": secret_sql(), "op11_conversation_trie": conversation_trie_sql(), "op13_filter_audit": filter_audit_sql()}
