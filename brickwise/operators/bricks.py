@@ -20,6 +20,8 @@ from brickwise.operators.graph import FEW_EDGES, connected_components, dense_roo
 
 SIDE, BLOCK = 64, 8
 CELLS = SIDE // BLOCK
+#: Beyond it a sieved brick, with the one voxel around it, would need bricks that aren't its neighbours.
+MOST_MARGIN = SIDE - 1
 KEYS = ["bx", "by", "bz"]
 SCHEMA = "bx int, by int, bz int, data binary, mask binary"
 Size = tuple[int, int, int]
@@ -247,19 +249,20 @@ def _grow(mask: np.ndarray, steps: int, count: int) -> np.ndarray:
 
 def sieved_mask(key: tuple[int, int, int], near: list[dict], size: Size, margin: int, mask: np.ndarray | None) -> np.ndarray | None:
     """The active voxels of a brick and one voxel around it after the sieve, [z, y, x]; None if there are none. Kept
-    blocks are grown by the margin over faces and edges; the neighbours' blocks are enough for margins up to 7."""
+    blocks are grown by the margin over faces and edges; the neighbours' blocks are enough for margins up to MOST_MARGIN."""
     cells = np.zeros((3 * CELLS,) * 3, dtype=bool)
     for n in near:
         at = tuple(slice((n[k] + 1) * CELLS, (n[k] + 2) * CELLS) for k in reversed(KEYS))
         cells[at] = np.frombuffer(n["kept"], dtype=np.uint8).reshape((CELLS,) * 3) > 0
-    cells = cells[CELLS - 1 : 2 * CELLS + 1, CELLS - 1 : 2 * CELLS + 1, CELLS - 1 : 2 * CELLS + 1]
+    wide = margin // BLOCK + 1
+    cells = cells[(slice(CELLS - wide, 2 * CELLS + wide),) * 3]
     if not cells.any():
         return None
     if cells.all():
         out = np.ones((SIDE + 2,) * 3, dtype=bool)
     else:
         voxels = cells.repeat(BLOCK, 0).repeat(BLOCK, 1).repeat(BLOCK, 2)
-        lo = BLOCK - 1 - margin
+        lo = wide * BLOCK - 1 - margin
         voxels = voxels[(slice(lo, voxels.shape[0] - lo),) * 3]
         out = _grow(voxels, margin, 18)
         out = out[(slice(margin, out.shape[0] - margin),) * 3]
@@ -276,6 +279,8 @@ def sieved_mask(key: tuple[int, int, int], near: list[dict], size: Size, margin:
 
 def sieve(bricks: DataFrame, size: Size, threshold: float, margin: int = 3, least: int = 1, open_axes: str = "xyz") -> DataFrame:
     """The bricks without outside air, values kept; bricks with no active voxel go."""
+    if not 0 <= margin <= MOST_MARGIN:
+        raise ValueError(f"sieve: a margin of 0 to {MOST_MARGIN}")
     around = with_kept_around(bricks, kept_blocks(bricks, size, threshold, least, open_axes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,6 +299,8 @@ def find_pores(bricks: DataFrame, size: Size, threshold: float, least: int = 3,
 
     One kernel sieves a brick, finds its candidates and labels them. What leaves it are the sums of each label and the
     rim voxels of candidates; a label with a seed is outside air, so only rims of others look for neighbours."""
+    if not 0 <= margin <= MOST_MARGIN:
+        raise ValueError(f"find_pores: a margin of 0 to {MOST_MARGIN}")
     around = with_kept_around(bricks, kept_blocks(bricks, size, threshold))
     last = SIDE - 1
 

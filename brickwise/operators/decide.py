@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brickwise.functions.keys import morton
+from brickwise.operators.graph import stage
+from brickwise.operators.ranking import ranks
 
 
 def counts_of(hist: DataFrame) -> np.ndarray:
@@ -39,75 +41,57 @@ def smoothed(n: np.ndarray, radius: int = 5, sigma: float = 1.5) -> np.ndarray:
 
 
 def air_threshold(n: np.ndarray, most_bins: int = 256, depth: float = 0.05) -> float:
-    """Where air ends: the first valley behind a clear peak below Otsu's threshold that is deep enough below the peaks on
-    both sides; else Otsu's threshold. The end bins, which hold what was clipped, don't count."""
-    n = n.copy()
-    fallback = otsu_of(n)
-    n[0] = n[-1] = 0
-    total = int(n.sum())
-    if not total:
-        return fallback
-    up = np.cumsum(n)
-    cut = total // 1000
-    lo = int(np.searchsorted(up, cut, side="right"))
-    hi = int(np.searchsorted(up, total - cut, side="left"))
+    """Where air ends: the lowest valley between two peaks below Otsu's threshold that is deep enough below both; else Otsu's
+    threshold. The end values, which hold what was clipped, and a thousandth at both ends don't count. Peaks without such a
+    valley between them are one, which stands where the highest of them does."""
+    otsu = otsu_of(n)
+    inner = n.copy()
+    inner[[0, -1]] = 0
+    up = np.cumsum(inner)
+    spare = up[-1] // 1000
+    if not up[-1]:
+        return otsu
+    lo, hi = int(np.searchsorted(up, spare, "right")), int(np.searchsorted(up, up[-1] - spare))
     width = max(1, (hi - lo + most_bins) // most_bins)
-    bins = (hi - lo + width) // width
-    if bins < 8:
-        return fallback
-    cells = np.zeros(bins * width, dtype=np.int64)
-    cells[: min(len(cells), len(n) - lo)] = n[lo : lo + len(cells)]
-    s = smoothed(cells.reshape(bins, width).sum(1))
-    centre = lo + (np.arange(bins) + 0.5) * width
-    peaks = [i for i in range(1, bins - 1) if s[i] >= s[i - 1] and s[i] > s[i + 1]]
-    kept = None
-    for i in peaks:
-        if kept is None:
-            if centre[i] < fallback:
-                kept = i
-            continue
-        valley = kept + int(np.argmin(s[kept : i + 1]))
-        if min(s[kept], s[i]) - s[valley] >= depth * s.max():
+    s = smoothed(np.bincount(np.arange(hi - lo + 1) // width, inner[lo : hi + 1]))
+    if len(s) < 8:
+        return otsu
+    centre = lo + np.arange(len(s)) * width + (width - 1) / 2
+    risen, falls = s[1:-1] >= s[:-2], s[1:-1] > s[2:]
+    peaks = 1 + np.flatnonzero(risen & falls & (centre[1:-1] < otsu))
+    for k in range(1, len(peaks)):
+        air = peaks[np.argmax(s[peaks[:k]])]
+        valley = air + np.argmin(s[air : peaks[k] + 1])
+        if min(s[air], s[peaks[k]]) - s[valley] >= depth * s.max():
             return float(centre[valley])
-        kept = i if s[i] > s[kept] and centre[i] < fallback else kept
-    return fallback
-
-
-def multi_otsu(n: np.ndarray, classes: int, most_bins: int = 256) -> list[float]:
-    """The classes - 1 cuts that maximise the sum of S^2 / W over neighbouring classes of bins, by dynamic programming;
-    the first of equals."""
-    if not 2 <= classes <= 8:
-        raise ValueError("two to eight classes")
-    there = np.flatnonzero(n)
-    first, last = int(there[0]), int(there[-1])
-    width = max(1, (last - first + most_bins) // most_bins)
-    bins = (last - first) // width + 1
-    cells = np.zeros(bins * width, dtype=np.int64)
-    some = n[first : first + len(cells)]
-    cells[: len(some)] = some
-    w = cells.reshape(bins, width).sum(1).astype(float)
-    up_w, up_s = np.r_[0, np.cumsum(w)], np.r_[0, np.cumsum(w * np.arange(bins))]
-
-    def gain(a: np.ndarray, b: int) -> np.ndarray:
-        weight, total = up_w[b] - up_w[a], up_s[b] - up_s[a]
-        return np.where(weight > 0, total**2 / np.maximum(weight, 1), 0.0)
-
-    best = gain(np.zeros(bins + 1, dtype=int), bins) * 0 + np.array([gain(np.zeros(1, dtype=int), b)[0] for b in range(bins + 1)])
-    back = []
-    for k in range(1, classes):
-        now, from_ = np.full(bins + 1, -np.inf), np.zeros(bins + 1, dtype=int)
-        for b in range(k + 1, bins + 1):
-            a = np.arange(k, b)
-            total = best[a] + gain(a, b)
-            at = int(total.argmax())
-            now[b], from_[b] = total[at], a[at]
-        best = now
-        back.append(from_)
-    cuts, b = [], bins
-    for from_ in reversed(back):
-        b = int(from_[b])
-        cuts.append(float(first + b * width))
-    return cuts[::-1]
+    return otsu
+
+
+def multi_otsu(n: np.ndarray, classes: int, bins: int = 256) -> list[float]:
+    """The classes - 1 cuts that maximise the variance between classes, of whole bins: bins of one width, a fraction where
+    the range asks for it but one value at least. The table of all stretches of bins is scored once; a class more is one product of maximum and plus with it."""
+    if not 1 <= classes <= 8:
+        raise ValueError("one to eight classes")
+    values = np.flatnonzero(n)
+    if not len(values):
+        raise ValueError("an empty histogram has no classes")
+    first, width = int(values[0]), max(1.0, (int(values[-1]) + 1 - int(values[0])) / bins)
+    at = np.minimum(((values - first) / width).astype(int), bins - 1)
+    weight, total = (np.r_[0.0, np.cumsum(np.bincount(at, w, bins))] for w in (n[values], n[values] * values.astype(float)))
+    w, t = weight - weight[:, None], total - total[:, None]
+    stretch = np.divide(t * t, w, out=np.zeros_like(t), where=w > 0)
+    stretch[np.tril_indices(bins + 1)] = -np.inf
+    best, cuts = np.full(bins + 1, -np.inf), []
+    best[0] = 0.0
+    for _ in range(classes):
+        through = best[:, None] + stretch
+        cuts.append(through.argmax(0))
+        best = through.max(0)
+    end, out = bins, []
+    for cut in cuts[:0:-1]:
+        end = int(cut[end])
+        out.append(first + end * width)
+    return out[::-1]
 
 
 def clear_peaks(n: np.ndarray, threshold: float, most_bins: int = 128, least: float = 0.005, dip: float = 0.8) -> tuple[list[float], list[float]]:
@@ -155,16 +139,15 @@ def material_cuts(n: np.ndarray, threshold: float, classes: int) -> list[float]:
 
 
 def material_level(voxels: DataFrame, threshold: float, bricks: int = 16, side: int = 64) -> float:
-    """The median of the values above a threshold in so many bricks, evenly spread along the Morton order of those that
-    have some. Bricks are a stated sample of the estimate; a histogram comes to the driver."""
-    keyed = voxels.where(F.col("grey") > threshold).select("grey", *[F.floor(F.col(c) / side).cast("int").alias(f"b{c}") for c in "xyz"]).withColumn("brick", morton("bx", "by", "bz"))
-    names = keyed.select("brick").distinct()
-    total = names.count()
-    if not total:
-        raise ValueError("no value is above the threshold")
-    step = max(1, total // bricks)
-    some = names.orderBy("brick").limit(step * bricks).withColumn("k", F.monotonically_increasing_id()) if total <= bricks else names.where(F.pmod(F.xxhash64("brick"), F.lit(step)) == 0).orderBy(F.xxhash64("brick")).limit(bricks)
-    some = some if some.head(1) else names.orderBy("brick").limit(bricks)
-    hist = keyed.join(F.broadcast(some.select("brick")), "brick", "left_semi").groupBy("grey").agg(F.count("*").alias("n")).orderBy("grey").collect()
+    """The upper median of the values above a threshold in every step-th brick along the Morton order, the step being the
+    number of bricks by `bricks`, or 1; the threshold itself if none of them has such a value. That choice of bricks is the
+    estimate, which looks for spread and not for all; a histogram comes to the driver. Bricks are ranked by counts of ranges of the order."""
+    keyed = voxels.select("grey", *[F.floor(F.col(c) / side).cast("int").alias(f"b{c}") for c in "xyz"]).withColumn("brick", morton("bx", "by", "bz")).drop("bx", "by", "bz")
+    ranked = stage(ranks(keyed.select("brick").distinct(), [F.col("brick").asc()], "rank"), "brick-ranks")
+    step = max(1, ranked.count() // bricks)
+    some = ranked.where((F.col("rank") - 1) % step == 0).select("brick")
+    hist = keyed.where(F.col("grey") > threshold).join(some, "brick", "left_semi").groupBy("grey").agg(F.count("*").alias("n")).orderBy("grey").collect()
+    if not hist:
+        return float(threshold)
     up = np.cumsum([r["n"] for r in hist])
-    return float(hist[int(np.searchsorted(up, (up[-1] + 1) // 2))]["grey"])
+    return float(hist[int(np.searchsorted(up, up[-1] // 2, "right"))]["grey"])

@@ -17,6 +17,7 @@ from brickwise.operators import blocks, decide, histogram, porosity
 from brickwise.operators.blocks import BX
 from brickwise.operators.components import components, faces
 from brickwise.operators.graph import stage
+from brickwise.operators.ranking import ranks
 
 
 def _ball_through(p: np.ndarray) -> tuple[np.ndarray, float] | None:
@@ -104,16 +105,8 @@ def numbered(rows: DataFrame, found: str, volume: str) -> DataFrame:
     """rows with id, their rank in the order in which they are met, and place, their rank by falling volume. Ranks of a
     whole result come from counts by range: rows are dealt by their order and numbered inside their part."""
 
-    def rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-        dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-        part = stage(dealt.withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id()), "ranked")
-        # A row for each part of the shuffle.
-        sizes = part.groupBy("part").agg(F.count("*").alias("size"), F.min("k").alias("first"))
-        before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size"))
-        return part.join(F.broadcast(before), "part").withColumn(name, F.col("before") + F.col("k") - F.col("first") + 1).drop("part", "k", "size", "first", "before")
-
-    first = rank(rows, [F.col(found).asc()], "id")
-    return rank(first, [F.col(volume).desc(), F.col("id").asc()], "place")
+    first = ranks(rows, [F.col(found).asc()], "id")
+    return ranks(first, [F.col(volume).desc(), F.col("id").asc()], "place")
 
 
 def material_reference(voxels: DataFrame, labels: DataFrame, size: int = blocks.BLOCK) -> DataFrame:

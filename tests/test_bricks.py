@@ -41,3 +41,19 @@ def test_sieve_and_pores_like_those_of_voxels(spark):
     assert rows(bricks.unpack(bricks.sieve(packed, (n,) * 3, t))) == rows(kept.select("x", "y", "z", "grey"))
     found = porosity.find_pores(kept, t, 3).groupBy("component").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("x", "y", "z", "grey")])
     assert rows(bricks.find_pores(packed, (n,) * 3, t).select("voxels", "sx", "sy", "sz", "sg")) == rows(found.select("n", "x", "y", "z", "grey"))
+
+
+@pytest.mark.parametrize("margin", [0, 8, 9, 17])
+def test_wide_margins(spark, margin):
+    n = 80
+    voxels = box_phantom(spark, Phantom(size=n, pitch=0.5))
+    t = 10_000.0
+    want = blocks.sieve(voxels, t, (n,) * 3, margin).select("x", "y", "z", "grey")
+    assert rows(bricks.unpack(bricks.sieve(bricks.pack(voxels), (n,) * 3, t, margin))) == rows(want)
+
+
+def test_margins_that_need_more_than_neighbours_are_refused(spark):
+    packed = bricks.phantom_bricks(spark, Phantom(size=16, pitch=0.8))
+    for f in (lambda: bricks.sieve(packed, (16,) * 3, 1.0, 64), lambda: bricks.find_pores(packed, (16,) * 3, 1.0, 3, 64)):
+        with pytest.raises(ValueError, match="margin"):
+            f()
