@@ -19,9 +19,13 @@ from brickwise.llm.token_counts import PATTERN, UNSURE, is_byte_level
 
 CAPACITY, END_ID = 2048, 0
 #: Bytes of text that a worker encodes at once; a longer text is one such block.
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 #: Words whose ids a worker remembers; twice as many at most, as the ones before the last change are kept too.
 CACHE = 250_000
+#: Marks that are no part of a letter's stretch and, alone behind one, no stretch with others.
+MARKS = frozenset(".,;:!?")
+#: Words that are encoded as lines of one text.
+LINES = 64
 #: Texts with a stretch of white space whose parts aren't each of their own, with white space other than blanks and line ends, or
 #: with characters that engines class differently. All others may be cut before every blank and around every line end.
 ENTWINED = "[ \n]{3}|[ \n]{2}\\z|[\\x00\\t\\x0b-\\x0d\\x1c-\\x1f\u0085  ᠎ -​    ⁠　﻿]"
@@ -42,8 +46,14 @@ class Encoder:
         self.entwined = "|".join([ENTWINED, *map(regex.escape, special)])
         self.pieces, self.unsure = regex.compile(PATTERN).findall, regex.compile(UNSURE).search
         self.special = regex.compile(f"({'|'.join(map(regex.escape, special))})") if special else None
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if self.plain and len(line_end) == 1 and self._stands_alone(line_end[0]) else None
         self.room, self.young, self.old = cache, {}, {}
 
+    def _stands_alone(self, token: int) -> bool:
+        """Whether a token is one byte and nothing else, so that only a line end can give it."""
+        return len(self.tokenizer.id_to_token(token)) == 1
+
     def _whole(self, text: str) -> list[str] | None:
         """The parts of a text by the tokenizer's own pattern; None if only the library can tell them."""
         if not self.plain or self.unsure(text):
@@ -53,17 +63,51 @@ class Encoder:
         parts = self.special.split(text)
         return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.pieces(part))]
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        """Ids of the parts as little-endian 32-bit numbers."""
+    def _encode(self, parts: list[str]) -> None:
+        """Remember the ids, as little-endian 32-bit numbers, of parts never met. Parts without a line end, which the tokenizer
+        parts from all around it and which is always one token, are encoded as the lines of a text."""
         young, old = self.young, self.old
-        new = [p for p in parts if p not in young]
-        unknown = [p for p in new if p not in old]
-        for p in new:
-            if p in old:
-                young[p] = old[p]
-        for p, e in zip(unknown, self.tokenizer.encode_batch(unknown, add_special_tokens=False), strict=True):
+        # A mark behind letters is a token of its own: with any mark, a word is encoded once.
+        marked = [p for p in parts if p[-1:] in MARKS and p[:-1].lstrip(" ").isalpha()] if self.plain else []
+        if marked:
+            own = set(marked)
+            stems = {*(p[:-1] for p in marked), *(p[-1] for p in marked)}
+            parts = [*(p for p in parts if p not in own), *(s for s in stems.difference(parts) if s not in young)]
+            for s in parts[-len(stems) :]:
+                if s in old:
+                    young[s] = old[s]
+            parts = [p for p in parts if p not in young]
+        lines = [p for p in parts if not p.isspace() and p and "\n" not in p] if self.line_end is not None else []
+        if lines:
+            texts = ["\n".join(lines[k : k + LINES]) + "\n" for k in range(0, len(lines), LINES)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == self.line_end) * 4
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(lines, ends.tolist(), strict=True):
+                young[p] = raw[at:end]
+                at = end + 4
+        rest = [p for p in parts if p not in young]
+        for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
             young[p] = np.array(e.ids, "<u4").tobytes()
-        found = [young[p] for p in parts]
+        for p in marked:
+            young[p] = young[p[:-1]] + young[p[-1]]
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of the parts, each of them distinct."""
+        young, old = self.young, self.old
+        found = list(map(young.get, parts))
+        lacking = [k for k, x in enumerate(found) if x is None]
+        new = []
+        for k in lacking:
+            x = old.get(parts[k])
+            if x is None:
+                new.append(parts[k])
+            else:
+                young[parts[k]] = x
+        if new:
+            self._encode(new)
+        for k in lacking:
+            found[k] = young[parts[k]]
         if len(young) >= self.room:
             self.young, self.old = {}, young
         return found
@@ -71,38 +115,34 @@ class Encoder:
     def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text begins in them, the end included."""
         n = len(texts)
-        if self.plain:
-            odd = pc.match_substring_regex(texts, self.entwined).to_numpy(zero_copy_only=False)
-        else:
-            odd = np.ones(n, bool)
-        even = texts.filter(pa.array(~odd))
-        split = pc.split_pattern(pc.replace_substring(pc.replace_substring(even, " ", "\0 "), "\n", "\0\n\0"), "\0")
-        odd_texts = texts.filter(pa.array(odd)).to_pylist()
+        odd = pc.match_substring_regex(texts, self.entwined).to_numpy(zero_copy_only=False) if self.plain else np.ones(n, bool)
+        some = bool(odd.any())
+        split = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts.filter(pa.array(~odd)) if some else texts, " ", "\0 "), "\n", "\0\n\0"), "\0")
+        odd_texts = texts.filter(pa.array(odd)).to_pylist() if some else []
         lists = [self._whole(t) for t in odd_texts]
+        alone = [t for x, t in zip(lists, odd_texts, strict=True) if x is None]
         counts = np.empty(n, np.int64)
         counts[~odd] = pc.list_value_length(split).to_numpy()
         counts[odd] = [1 if x is None else len(x) for x in lists]
-        alone = [t for x, t in zip(lists, odd_texts, strict=True) if x is None]
         coded = pa.concat_arrays([split.flatten(), pa.array([p for x in lists if x is not None for p in x], pa.string())]).dictionary_encode()
         ids = self._ids(coded.dictionary.to_pylist())
         ids += [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in alone]
-        lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-        values = np.frombuffer(b"".join(ids), "<u4")
-        # The places of the parts in the order of the texts.
-        which = np.empty(counts.sum(), np.int64)
-        of_text = np.repeat(np.arange(n), counts)
-        is_odd = odd[of_text]
-        whole = np.zeros(n, bool)
-        whole[np.flatnonzero(odd)] = [x is None for x in lists]
-        looked, single = coded.indices.to_numpy(), whole[of_text]
-        n_even = int((~is_odd).sum())
-        which[~is_odd] = looked[:n_even]
-        which[is_odd & ~single] = looked[n_even:]
-        which[single] = len(coded.dictionary) + np.arange(len(alone))
-        starts, own = np.concatenate([[0], lengths.cumsum()]), lengths[which]
-        ends = own.cumsum()
-        out = values[np.arange(own.sum()) + np.repeat(starts[which] - (ends - own), own)]
-        return out, np.concatenate([[0], ends])[np.concatenate([[0], counts.cumsum()])]
+        which = coded.indices.to_numpy()
+        if some:
+            # The parts of odd texts, and the texts that are looked up whole, go to their places between the others.
+            of_text = np.repeat(np.arange(n), counts)
+            whole = np.zeros(n, bool)
+            whole[np.flatnonzero(odd)] = [x is None for x in lists]
+            of_odd, single = odd[of_text], whole[of_text]
+            looked, n_even = which, int((~of_odd).sum())
+            which = np.empty(counts.sum(), np.int64)
+            which[~of_odd] = looked[:n_even]
+            which[of_odd & ~single] = looked[n_even:]
+            which[single] = len(coded.dictionary) + np.arange(len(alone))
+        by_part = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))] // 4, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        out = by_part.take(pa.array(which))
+        ends = out.offsets.to_numpy()
+        return out.values.to_numpy()[ends[0] : ends[-1]], (ends - ends[0])[np.r_[0, counts.cumsum()]].astype(np.int64)
 
 
 def blocks(texts: pa.StringArray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
