@@ -14,6 +14,8 @@ SIMILARITY = 0.8
 #: Fingerprints within so many bits are verified. Windows of similarity 0.8 differ in 10 bits on average, 19 is
 #: over three standard deviations more; random ones differ in 32.
 RADIUS = 19
+#: Items of up to so many shingles are too short for a fingerprint to tell: every window that shares a shingle is verified.
+SHORT = 12
 #: Blocks of a fingerprint; one of them differs in RADIUS // BLOCKS bits at most if the whole is within the radius.
 BLOCKS = 5
 #: A lane is a long that counts two bits, 32 of its own bits for each: room for more hashes than an array has.
@@ -120,7 +122,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 def _met(docs: DataFrame, items: DataFrame, similarity: float, keep: tuple[str, ...]) -> tuple[DataFrame, list[int]]:
     """The rows of docs that hold a known shingle: row, doc_id, keep, hashes (arrays by shingle size), and jobs: which
-    windows, of which size, could be similar to which items."""
+    windows, of which size, could be similar to some item; for short items also to which."""
     sizes = [(r["g"], r["m"]) for r in items.select("g", "m").distinct().collect()]
     present = sorted({g for g, _ in sizes})
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *keep)
@@ -145,7 +147,7 @@ def _met(docs: DataFrame, items: DataFrame, similarity: float, keep: tuple[str,
     part = F.explode(F.sequence((F.col("lo") / F.col("width")).cast("int"), (F.col("hi") / F.col("width")).cast("int")))
     spans = spans.select("*", part.alias("part"))
     lo, hi = F.greatest("lo", F.col("part") * F.col("width")), F.least(F.col("hi"), (F.col("part") + 1) * F.col("width") - 1)
-    jobs = spans.groupBy("k1", "k2", "g", "m", "part").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.collect_set("item").alias("items"))
+    jobs = spans.groupBy("k1", "k2", "g", "m", "part").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.collect_set(F.when(F.col("m") <= SHORT, F.col("item"))).alias("items"))
     jobs = stage(jobs.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "m", "lo", "hi", "items")).alias("jobs")), "places")
     met = docs.join(jobs, ["k1", "k2"]).select(F.monotonically_increasing_id().alias("row"), "doc_id", *keep, "jobs", words_of(F.col("text")).alias("words"))
     empty = F.array().cast("array<bigint>")
@@ -154,22 +156,25 @@ def _met(docs: DataFrame, items: DataFrame, similarity: float, keep: tuple[str,
 
 
 def _candidates(met: DataFrame, items: DataFrame, radius: int) -> DataFrame:
-    """(row, item, s, bits): the windows whose fingerprints are within the radius of an item's with which they share a
-    looked-up shingle, by an index of all values of a block that are near enough."""
+    """(row, item, s, bits): the windows whose fingerprints are within the radius of that of an item of their size, by an
+    index of all values of a block that are near enough. Known shingles only tell which windows are made, not which item
+    they meet; short items get every window that shares a shingle with them."""
 
     def made(j: Column) -> Column:
         return bound(F.get("hashes", j["g"] - 1), lambda h: sliding_simhash(h, F.least(j["m"], F.size(h)), j["lo"], j["hi"]))
 
-    slides = met.select("row", F.explode(F.transform("jobs", lambda j: F.struct(j["lo"].alias("lo"), j["items"].alias("items"), made(j).alias("fps")))).alias("j"))
-    windows = slides.select("row", "j.lo", "j.items", F.posexplode("j.fps").alias("k", "fp")).select("row", (F.col("lo") + F.col("k")).alias("s"), "fp", F.explode("items").alias("item"))
-    prints = items.select("item", simhash(F.col("hashes")).alias("item_fp"))
+    slides = met.select("row", F.explode(F.transform("jobs", lambda j: F.struct(j["g"].alias("g"), j["m"].alias("m"), j["lo"].alias("lo"), j["items"].alias("items"), made(j).alias("fps")))).alias("j"))
+    windows = slides.select("row", "j.g", "j.m", "j.lo", "j.items", F.posexplode("j.fps").alias("k", "fp")).select("row", "g", "m", (F.col("lo") + F.col("k")).alias("s"), "fp", "items")
+    windows = stage(windows, "fingerprints")
+    prints = items.select("item", "g", "m", simhash(F.col("hashes")).alias("item_fp"))
     probes = F.array(*map(F.lit, _probes(radius)))
-    index = prints.select("item", "item_fp", F.posexplode(_blocks(F.col("item_fp"))).alias("block", "own"), probes.alias("probes"))
-    index = index.select("item", "item_fp", "block", F.explode(F.transform("probes", lambda f: F.col("own").bitwiseXOR(f.cast("long")))).alias("value"))
-    keyed = windows.select("row", "item", "s", "fp", F.posexplode(_blocks(F.col("fp"))).alias("block", "value"))
-    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = keyed.join(index, ["item", "block", "value"]).where(bits <= radius)
-    return near.groupBy("row", "item", "s").agg(F.min(bits).alias("bits"))
+    index = prints.select("item", "g", "m", "item_fp", F.posexplode(_blocks(F.col("item_fp"))).alias("block", "own"), probes.alias("probes"))
+    index = index.select("item", "g", "m", "item_fp", "block", F.explode(F.transform("probes", lambda f: F.col("own").bitwiseXOR(f.cast("long")))).alias("value"))
+    keyed = windows.where(F.col("m") > SHORT).select("row", "g", "m", "s", "fp", F.posexplode(_blocks(F.col("fp"))).alias("block", "value"))
+    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("bits")
+    near = keyed.join(index, ["g", "m", "block", "value"]).select("row", "item", "s", bits).where(F.col("bits") <= radius)
+    short = windows.where(F.col("m") <= SHORT).select("row", "s", "fp", F.explode("items").alias("item")).join(prints, "item").select("row", "item", "s", bits)
+    return near.unionByName(short).groupBy("row", "item", "s").agg(F.min("bits").alias("bits"))
 
 
 def _rated(met: DataFrame, items: DataFrame, cand: DataFrame) -> DataFrame:
@@ -202,7 +207,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = S
     Words are runs of letters and digits in lower case. Similarity is that of the multisets of five-word
     shingles: the sum of smaller counts by the sum of larger ones. Windows at every word that could
     reach it are fingerprinted; a fingerprint within the radius of the item's is surely found and
-    then verified. A document shorter than the item is one window. An item of fewer than five words is one
+    then verified, and so is every window for an item of up to SHORT shingles. A document shorter than the item is one window. An item of fewer than five words is one
     shingle of all its words and is found where they stand; items without words, and documents of fewer words than the
     item's shingle, never match. Null texts count as empty; repeated rows have a result each;
     a null id is carried, and so are the columns in keep. Other columns are ignored; an empty table gives an empty

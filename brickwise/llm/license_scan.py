@@ -41,10 +41,14 @@ TEMPLATES = {
     "zlib/whole": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution",
 }
 CONTAINMENT = 0.8
+#: Lines are cut to so many words, and templates are looked for from the first of such parts on, over as many words as they have.
+PART = 8
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != "")
+    """Words with A-Z in lower case; other letters stay as they are."""
+    return F.filter(F.split(F.translate(text, CAPITALS, SMALL), SEPARATORS), lambda w: w != "")
 
 
 def _starts(words: Column, phrase: str) -> Column:
@@ -77,22 +81,25 @@ def _shapes(templates: dict[str, str], threshold: float) -> list[tuple[str, set[
 
 def scan_texts(docs: DataFrame, shapes: list) -> DataFrame:
     """What one pass over docs(doc_id, text) tells: row, doc_id, n_words, the phrases' places p, hits (the distinct
-    template words of the text), and the lines with words (block, n, hits) of each text whose hits could meet a template
-    together."""
+    template words of the text), and the lines, in parts of PART words at most (n, hits), of each text whose hits could meet
+    a template together."""
     vocabulary = sorted({w for _, words, _, _ in shapes for w in words})
     known = F.array(*map(F.lit, vocabulary))
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     read = read.select("*", words_of(F.col("text")).alias("words"))
     read = read.select("row", "doc_id", "text", F.size("words").cast("long").alias("n_words"), F.when(_likely(F.col("text")), F.col("words")).alias("words"), F.array_intersect("words", known).alias("hits"))
 
-    def line(text: Column, i: Column) -> Column:
-        return F.get(F.transform(F.array(words_of(text)), lambda w: F.struct(i.cast("int").alias("block"), F.size(w).alias("n"), F.array_intersect(w, known).alias("hits"))), F.lit(0))
+    def parts(line: Column) -> Column:
+        part = lambda w, at: F.get(F.transform(F.array(F.slice(w, at + 1, PART)), lambda x: F.struct(F.size(x).alias("n"), F.array_intersect(x, known).alias("hits"))), F.lit(0))
+        none = F.array().cast("array<struct<n:int,hits:array<string>>>")
+        cut = lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(PART)), lambda at: part(w, at))).otherwise(none)
+        return F.get(F.transform(F.array(words_of(line)), cut), F.lit(0))
 
     meets = F.lit(False)
     for _, words, need, _ in shapes:
         meets = meets | (F.size(F.array_intersect("hits", F.array(*map(F.lit, sorted(words))))) >= need)
     meets = (F.size("hits") >= min((x[2] for x in shapes), default=1)) & meets
-    lines = F.when(meets, F.filter(F.transform(F.split("text", "\n"), line), lambda x: x["n"] > 0))
+    lines = F.when(meets, F.flatten(F.transform(F.split("text", "\n"), parts)))
     return stage(read.select("row", "doc_id", "n_words", phrase_places("words").alias("p"), "hits", lines.alias("lines")), "licenses")
 
 
@@ -104,9 +111,10 @@ def template_order(scanned: DataFrame, shapes: list) -> list[str]:
 
 
 def template_matches(scanned: DataFrame, shapes: list) -> DataFrame:
-    """(row, block, label, containment) of every line that holds, alone or with the lines behind it over which a
-    template that begins in it can be wrapped, enough of the template's distinct words. A template of n words takes
-    lines until there are n - 1 words behind the first line; lines without words don't count. Exact: a match shares a
+    """(row, block, label, containment) of every part of a line that holds, alone or with the parts behind it over which a
+    template that begins in it can reach, enough of the template's distinct words. A template of n words takes
+    parts until there are n - 1 words behind the first one, across line ends. A template goes where one of another label has
+    more of its words there, all of the first one's among them: a GNU General Public License isn't an Affero or Lesser one. Exact: a match shares a
     word of the template's prefix (its rarest words, one more than may be missing), and what is left behind the first
     common word on either side can still reach the need. Only blocks that pass are verified."""
     order = template_order(scanned, shapes)
@@ -119,10 +127,10 @@ def template_matches(scanned: DataFrame, shapes: list) -> DataFrame:
     prefixes = scanned.sparkSession.createDataFrame(entries, "rank int, label string, at int, size int, need int, template array<int>, length int")
     to_rank = F.create_map(*[x for w, k in rank.items() for x in (F.lit(w), F.lit(k))]) if rank else F.lit(None).cast("map<string,int>")
     ranked = F.transform("l.hits", lambda w: to_rank[w])
-    lines = scanned.where("lines is not null").select("row", F.posexplode("lines").alias("k", "l")).select("row", "k", "l.block", "l.n", ranked.alias("own"))
-    by_row = Window.partitionBy("row").orderBy("k")
+    lines = scanned.where("lines is not null").select("row", F.posexplode("lines").alias("block", "l")).select("row", "block", "l.n", ranked.alias("own"))
+    by_row = Window.partitionBy("row").orderBy("block")
     placed = lines.withColumn("s", F.sum("n").over(by_row) - F.col("n")).where(F.size("own") > 0)
-    # A document's lines with hits; a line can be followed by so many at most, as each has a word.
+    # A document's parts with hits; one can be followed by so many at most, as each has a word.
     near = placed.withColumn("near", F.collect_list(F.struct("s", "own")).over(by_row.rowsBetween(1, longest - 1)))
     near = near.select("row", "block", "own", F.transform("near", lambda x: F.struct((x["s"] - F.col("s") - F.col("n")).alias("before"), x["own"].alias("hits"))).alias("near"))
     near = near.withColumn("following", F.filter("near", lambda x: x["before"] < longest - 1))
@@ -132,8 +140,13 @@ def template_matches(scanned: DataFrame, shapes: list) -> DataFrame:
     cand = cand.where(rest >= F.col("need")).where(F.size(F.array_intersect("ranks", "template")) >= F.col("need"))
     reach = F.filter("following", lambda x: x["before"] < F.col("length") - 1)
     held = F.array_union("own", F.flatten(F.transform(reach, lambda x: x["hits"])))
-    shared = F.size(F.array_intersect(held, F.col("template")))
-    return cand.where(shared >= F.col("need")).select("row", "block", "label", (shared / F.col("size")).alias("containment")).distinct()
+    shared = F.array_intersect(held, F.col("template"))
+    met = cand.select("row", "block", "label", "size", "need", shared.alias("shared")).where(F.size("shared") >= F.col("need"))
+    # One block meets as many templates at most as there are.
+    all_met = met.groupBy("row", "block").agg(F.collect_set(F.struct("label", (F.size("shared") / F.col("size")).alias("containment"), F.array_sort("shared").alias("shared"))).alias("all"))
+    other = lambda x, y: (x["label"] != y["label"]) & (y["containment"] > x["containment"]) & (F.size(F.array_except(x["shared"], y["shared"])) == 0)
+    kept = F.filter("all", lambda x: ~F.exists("all", lambda y: other(x, y)))
+    return all_met.select("row", "block", F.explode(kept).alias("x")).select("row", "block", "x.label", "x.containment").distinct()
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = CONTAINMENT) -> DataFrame:
@@ -141,7 +154,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     base_labels, labels, score.
 
     Phrase places are counted over the whole text, whatever separates their words; labels join those
-    of the phrases and of the templates that a line meets, or lines over which they are wrapped. score is 1 where a
+    of the phrases and of the templates that stand somewhere, over about as many words as they have. score is 1 where a
     phrase stands, else the largest containment met, else 0. A null text counts as empty: no words, empty labels, null
     places. Repeated rows keep a row each, and rows of one doc_id are judged by their own texts. A null
     doc_id keeps its row. Other columns are ignored; an empty table gives an empty result."""
@@ -188,16 +201,18 @@ base AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT labe
 shapes(name, label, t) AS (VALUES {shapes}),
 entries AS (SELECT DISTINCT name, label, len(t) AS length, len(list_distinct(t)) AS size, unnest(t) AS word FROM shapes),
 cut AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM d),
-lines AS (SELECT r, i, w, len(w) AS n FROM (SELECT r, i, {split.format('line')} AS w FROM cut) WHERE len(w) > 0),
+parts AS (SELECT r, i, c, w[c + 1 : c + {PART}] AS w FROM (SELECT r, i, w, unnest(range(0, len(w), {PART})) AS c FROM (SELECT r, i, {split.format('line')} AS w FROM cut))),
+lines AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY i, c) AS i, w, len(w) AS n FROM parts),
 placed AS (SELECT *, sum(n) OVER (PARTITION BY r ORDER BY i) AS stop FROM lines),
 met AS (SELECT DISTINCT r, i, stop - n AS start, stop, word FROM (SELECT *, unnest(w) AS word FROM placed) WHERE word IN (SELECT word FROM entries)),
 firsts AS (SELECT DISTINCT r, i, stop FROM met),
 hits AS (
-  SELECT f.r, f.i, e.name, e.label, e.size, count(DISTINCT m.word) AS k
+  SELECT f.r, f.i, e.name, e.label, e.size, count(DISTINCT m.word) AS k, list(DISTINCT m.word) AS shared
   FROM firsts f JOIN met m ON m.r = f.r AND m.i >= f.i AND (m.i = f.i OR m.start - f.stop < {max((len(t.split()) for t in templates.values()), default=1)} - 1)
   JOIN entries e ON e.word = m.word AND (m.i = f.i OR m.start - f.stop < e.length - 1)
   GROUP BY ALL HAVING count(DISTINCT m.word) >= {threshold} * e.size - 1e-9),
-more AS (SELECT r, list(DISTINCT label) AS l, max(k / size::DOUBLE) AS c FROM hits GROUP BY r)
+more AS (SELECT r, list(DISTINCT label) AS l, max(k / size::DOUBLE) AS c FROM hits h
+  WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.r = h.r AND o.i = h.i AND o.label <> h.label AND o.k / o.size::DOUBLE > h.k / h.size::DOUBLE AND list_has_all(o.shared, h.shared)) GROUP BY r)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.l), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(base.l, more.l))), ','), '') AS labels,

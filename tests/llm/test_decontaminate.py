@@ -87,6 +87,22 @@ def test_long_items(spark):
     assert got == {(1, 1): (0.995, 500, 40_000), (1, 3): (1.0, 500, 900), (2, 2): (0.972, 0, 35_000), (3, 3): (1.0, 0, 900), (4, 3): (0.978, 0, 880)}
 
 
+def test_short_items_lose_nothing(spark):
+    """Items of 5 to 10 shingles and texts at a similarity of just 0.8 or above: cut at an end, or with one word more or less."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(2000)]
+    items = [(i, rnd.choices(words, k=9 + i % 6)) for i in range(120)]
+    docs = []
+    for i, piece in items:
+        for k, cut in enumerate((piece[1:], piece[:-1], piece[:-2], piece)):
+            docs.append((4 * i + k, " ".join([*rnd.choices(words, k=rnd.randint(0, 20) * (k % 2)), *cut])))
+    items = [(i, " ".join(p)) for i, p in items]
+    want = brute(docs, items)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, round(r.similarity, 9), r.first_word) for r in benchmark_leaks(d, b).collect()}
+    assert got == want and len(want) > 300 and sum(x[2] == 0.8 for x in want) > 20
+
+
 def test_empty_tables(spark):
     docs, items = corpus()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")

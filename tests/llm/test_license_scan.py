@@ -66,3 +66,26 @@ def test_whole_texts_over_many_lines(spark):
     for r in got.collect():
         labels.setdefault(r.doc_id, []).append(set(r.labels.split(",")))
     assert all(any(name.split("/")[0] in s for s in labels[k]) for k, name in enumerate(TEMPLATES))
+
+
+def scan(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.labels, round(r.score, 3)) for r in license_scan(rows).orderBy("doc_id").collect()]
+
+
+def test_licences_that_differ_in_one_word(spark):
+    kinds = {"gpl-3": "This work is licensed under the GNU General Public License version 3.", "agpl-3": "Licensed under the GNU Affero General Public License, version 3", "lgpl-3": "licensed under the GNU Lesser General Public License version 3"}
+    both = kinds["lgpl-3"] + " " + "word " * 30 + kinds["agpl-3"]
+    assert scan(spark, *kinds.values(), both) == [("gpl-3", 1.0), ("agpl-3", 1.0), ("lgpl-3", 1.0), ("agpl-3,lgpl-3", 1.0)]
+
+
+def test_scattered_words_are_no_licence(spark):
+    far = (" word" * 700).join(["license", "the", "under", "released", "mit"])
+    near = "word " * 900 + "released under MIT license" + " word" * 900
+    assert scan(spark, far, near, "wrapped\nreleased\nunder the\n\nMIT\nlicence") == [("", 0.0), ("mit", 0.8), ("mit", 0.8)]
+
+
+def test_only_latin_capitals_are_lowered(spark):
+    assert scan(spark, "this wor\u212a is licensed under the gnu general public license version 3") == [("gpl-3", round(11 / 12, 3))]
+    rows = spark.createDataFrame([(1, "wor\u212a THIS is licensed under the \u0130 gnu general public license")], "doc_id long, text string")
+    same_as_sql(license_scan(rows), license_sql(), documents=rows)
