@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from brickwise.functions.keys import BLOCK, offsets, unkey, voxel_key
-from brickwise.operators.graph import connected_components
+from brickwise.operators.graph import connected_components, stage
 
 BX = ["bx", "by", "bz"]
+#: Blocks a side of the tiles in which ways between blocks are solved whole.
+TILE = 16
 
 
 def block_columns(size: int = BLOCK) -> list[Column]:
@@ -109,19 +113,75 @@ def k_largest(voxels: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
     return tagged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*BX, "rank", "grey")
 
 
-def block_depth(blocks: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
-    """(bx, by, bz, depth): the fewest face steps from a seed block, times 8, for blocks within so many rounds. Each
-    round relaxes all blocks by one join on shifted keys."""
-    from brickwise.operators.graph import stage
-
+def block_depth(blocks: DataFrame, seeds: DataFrame, rounds: int | None = None, step: float = 8) -> DataFrame:
+    """(bx, by, bz, depth): the least of a seed's own depth plus a step for each face passed on the way from it through the
+    given blocks. seeds are (bx, by, bz) with depth, or 0 without; with rounds, only blocks so many steps from a seed.
+
+    Tiles of TILE^3 blocks are solved whole by a kernel; what leaves a round are the depths on the rims of tiles
+    that fell, so the rounds are as many as tiles on the longest way, until nothing falls. Blocks off every way have no row."""
+    start = seeds.select(*BX, (F.col("depth") if "depth" in seeds.columns else F.lit(0)).cast("double").alias("depth"))
+    tile = [F.floor(F.col(c) / TILE).cast("int").alias(f"t{c[1]}") for c in BX]
+    cells = stage(blocks.select(*BX).distinct().join(start.groupBy(*BX).agg(F.min("depth").alias("depth")), BX, "left").select(*tile, *BX, "depth"), "depth-cells")
+    limit = None if rounds is None else (rounds + 1e-9) * step
+
+    def solver(first: bool):
+        def solve(key: tuple, pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            if not len(pdf):
+                return pd.DataFrame({c: [] for c in [*BX, "depth", "fell", "tx", "ty", "tz"]})
+            inside = np.zeros((TILE + 2,) * 3, dtype=bool)
+            depth = np.full((TILE + 2,) * 3, np.inf)
+            base = np.array(key) * TILE - 1
+            at = tuple((pdf[BX].to_numpy() - base).T)
+            inside[at] = True
+            depth[at] = pdf["depth"].fillna(np.inf)
+            before = np.full_like(depth, np.inf) if first else depth.copy()
+            if len(asked):
+                depth[tuple((asked[BX].to_numpy() - base).T)] = asked["depth"]
+            open_ = True
+            while open_:
+                way = depth.copy()
+                for axis in range(3):
+                    for side in (-1, 1):
+                        way = np.minimum(way, np.where(inside, np.roll(depth, side, axis) + step, np.inf))
+                way = np.where(inside, way, depth)
+                open_ = bool((way < depth).any())
+                depth = way
+            fell = depth < before
+            return pdf[BX].assign(depth=depth[at], fell=fell[at], tx=key[0], ty=key[1], tz=key[2]).replace({"depth": {np.inf: np.nan}})
+
+        return solve
+
+    out = "bx int, by int, bz int, depth double, fell boolean, tx int, ty int, tz int"
+    shifts = F.array(*[F.struct(*[F.lit(d).alias(c) for d, c in zip(o, BX, strict=True)]) for o in offsets(6)])
+    none = cells.limit(0).select("tx", "ty", "tz", *BX, "depth")
+    touched, told, first = cells, none, True
+    keys = ["tx", "ty", "tz"]
+    while True:
+        solved = touched.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInPandas(solver(first), out)
+        rest = cells.limit(0) if first else cells.join(touched.select(*keys).distinct(), keys, "left_anti")
+        cells, first = stage(solved.unionByName(rest.withColumn("fell", F.lit(False))), "depth-round"), False
+        fell = cells.where("fell").select("tx", "ty", "tz", *BX, "depth")
+        sent = fell.select(*[F.col(k).alias(f"from_{k}") for k in keys], *BX, "depth", F.explode(shifts).alias("o"))
+        to = [F.floor((F.col(c) + F.col(f"o.{c}")) / TILE).cast("int").alias(f"t{c[1]}") for c in BX]
+        sent = sent.select(*to, *[f"from_{k}" for k in keys], *BX, "depth").where("tx != from_tx or ty != from_ty or tz != from_tz")
+        told = stage(sent.select(*keys, *BX, "depth").distinct(), "depth-rims")
+        if told.isEmpty():
+            break
+        cells = cells.drop("fell")
+        touched = cells.join(told.select(*keys).distinct(), keys, "left_semi")
+    found = cells.where("depth is not null").select(*BX, "depth")
+    return found if limit is None else found.where(F.col("depth") <= limit)
+
+
+def depth_seeds(filled: DataFrame, full: int = BLOCK**3, size: int = BLOCK) -> DataFrame:
+    """(bx, by, bz, depth) of blocks at least half in the part with a neighbour over a face that isn't wholly, from filled
+    (bx, by, bz, n), the part's voxels in each block: between blocks of shares f and g the surface stands so that the first one's
+    centre is size (f + g) - size / 2 deep; the least of its neighbours counts."""
+    own = filled.where(F.col("n") * 2 >= full).select(*BX, (F.col("n") / full).alias("f"))
     shifts = F.array(*[F.struct(*[F.lit(d).alias(c) for d, c in zip(o, BX, strict=True)]) for o in offsets(6)])
-    done = seeds.select(*BX, F.lit(0).alias("depth"))
-    front = done
-    for k in range(1, rounds + 1):
-        moved = front.select(*BX, F.explode(shifts).alias("o")).select(*[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in BX]).distinct()
-        front = stage(moved.join(blocks.select(*BX), BX, "left_semi").join(done, BX, "left_anti").withColumn("depth", F.lit(8 * k)), "depth")
-        done = done.union(front)
-    return done
+    asked = own.select(*[F.col(c).alias(f"a{c}") for c in BX], "f", F.explode(shifts).alias("o")).select("abx", "aby", "abz", "f", *[(F.col(f"a{c}") + F.col(f"o.{c}")).alias(c) for c in BX])
+    met = asked.join(filled.select(*BX, (F.col("n") / full).alias("g")), BX, "left").withColumn("g", F.coalesce("g", F.lit(0.0))).where("g < 1")
+    return met.groupBy(*[F.col(f"a{c}").alias(c) for c in BX]).agg(F.min(size * (F.col("f") + F.col("g")) - size / 2).alias("depth"))
 
 
 def unkeyed(df: DataFrame, key: str = "key") -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brickwise.operators.distance import squared_transform
 from brickwise.operators.histogram import upper_median
 from brickwise.operators.volume import neighbours
 
@@ -200,16 +201,9 @@ def gaussian_smooth(voxels: DataFrame, sigma: float, radius: int) -> DataFrame:
 
 
 def distance_transform(mask: np.ndarray) -> np.ndarray:
-    """Exact squared Euclidean distances of the voxels of a mask to the nearest one outside it, one axis at a time."""
-    big = float(sum(n * n for n in mask.shape) + 1)
-    d = np.where(mask, big, 0.0)
-    for axis in range(mask.ndim):
-        n = mask.shape[axis]
-        line = np.moveaxis(d, axis, -1)
-        k = np.arange(n)
-        gap = (k[:, None] - k[None, :]) ** 2
-        d = np.moveaxis(np.stack([(line + gap[j]).min(axis=-1) for j in range(n)], axis=-1), -1, axis)
-    return d
+    """Exact squared Euclidean distances of the voxels of a mask to the nearest one outside it, infinite where there is none:
+    lower envelopes, one axis at a time."""
+    return squared_transform(mask)
 
 
 def thickness_map(voxels: DataFrame, radius: int, brick: int = 32) -> DataFrame:

@@ -181,8 +181,10 @@ def analyse(voxels: DataFrame, size: tuple[int, int, int], voxel: tuple[float, f
     level = histogram.upper_median(sound, "mean", ["one"]).first()
     noise = histogram.upper_median(sound, "variance", ["one"]).first()
     if level is None:
-        raise ValueError("no block of the volume holds enough material")
-    material, sigma = float(level["median"]), math.sqrt(float(noise["median"]))
+        # A part without a block clear of its surface: the voxels themselves tell the level, and nothing tells the noise.
+        material, sigma = decide.material_level(voxels, t, side=brick), 0.0
+    else:
+        material, sigma = float(level["median"]), math.sqrt(float(noise["median"]))
     contrast = material - air
     volumes = porosity.pore_volumes(voxels, pores, material, air, cube)
     shapes = characteristics(pores, voxel).drop("volume_mm3")

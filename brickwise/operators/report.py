@@ -108,8 +108,9 @@ def sections(dataset: DataFrame, pores: DataFrame | None = None, compared: DataF
     row = lambda name, df: df.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("json"))
     out = row("volume", dataset.agg(F.count("*").alias("voxels"), *[F.min(c).alias(f"min_{c}") for c in "xyz"], *[F.max(c).alias(f"max_{c}") for c in "xyz"], F.min("grey").alias("least"), F.max("grey").alias("most")))
     if pores is not None:
-        size = "equivalent_diameter" if "equivalent_diameter" in pores.columns else "n"
-        out = out.union(row("porosity", pores.agg(F.count("*").alias("pores"), F.sum("n").alias("voxels"), F.max(size).alias("largest"), F.max_by("component", F.struct(size, -F.col("component"))).alias("largest_id"))))
+        key = "component" if "component" in pores.columns else "key"
+        size = next((c for c in ("equivalent", "equivalent_diameter") if c in pores.columns), "n")
+        out = out.union(row("porosity", pores.agg(F.count("*").alias("pores"), F.sum("n").alias("voxels"), F.max(size).alias("largest"), F.max_by(key, F.struct(size, -F.col(key))).alias("largest_id"))))
     if compared is not None:
         within = compared.agg(F.avg((F.abs(F.col("distance")) <= tolerance).cast("double")).alias("within"))
         out = out.union(row("comparison", statistics(compared, "distance", "area" if "area" in compared.columns else None).join(within)))

@@ -142,9 +142,10 @@ TETRAHEDRA = ((0, 1, 3, 7), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7), (0, 4, 5,
 
 
 def _tetra_triangles(value: np.ndarray, place: np.ndarray, iso: float) -> np.ndarray:
-    """Triangles (n, 3, 3) of the iso surface in tetrahedra with corner values (m, 4) and places (m, 4, 3)."""
+    """Triangles (n, 3, 3) of the iso surface in tetrahedra with corner values (m, 4) and places (m, 4, 3). Their corners run
+    counterclockwise for one who looks from the lower values: they wind outward."""
     inside = value >= iso
-    out = []
+    out, outward = [], []
 
     def cut(rows, a, b):
         t = (iso - value[rows, a]) / (value[rows, b] - value[rows, a])
@@ -158,40 +159,66 @@ def _tetra_triangles(value: np.ndarray, place: np.ndarray, iso: float) -> np.nda
         lo = [k for k in range(4) if not code >> k & 1]
         if len(hi) in (1, 3):
             top, rest = (hi[0], lo) if len(hi) == 1 else (lo[0], hi)
-            out.append(np.stack([cut(rows, top, k) for k in rest], 1))
+            some = [np.stack([cut(rows, top, k) for k in rest], 1)]
         else:
             a, b, c, d = cut(rows, hi[0], lo[0]), cut(rows, hi[0], lo[1]), cut(rows, hi[1], lo[1]), cut(rows, hi[1], lo[0])
-            out += [np.stack([a, b, c], 1), np.stack([a, c, d], 1)]
-    return np.concatenate(out) if out else np.zeros((0, 3, 3))
+            some = [np.stack([a, b, c], 1), np.stack([a, c, d], 1)]
+        out += some
+        outward += [place[rows][:, lo].mean(1) - place[rows][:, hi].mean(1)] * len(some)
+    if not out:
+        return np.zeros((0, 3, 3))
+    t, away = np.concatenate(out), np.concatenate(outward)
+    # Within a tetrahedron the values are linear, so the way from its inner to its outer corners lies on the outer side.
+    turned = (np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]) * away).sum(1) < 0
+    t[turned] = t[turned][:, ::-1]
+    return t
+
+
+def iso_triangles(grey: np.ndarray, iso: float) -> np.ndarray:
+    """Triangles (n, 3, 3) of the iso surface of values at the places [x, y, z] of an array, in all its cells."""
+    sizes = np.array(grey.shape) - 1
+    corner = np.stack([grey[i : sizes[0] + i, j : sizes[1] + j, k : sizes[2] + k] for k in (0, 1) for j in (0, 1) for i in (0, 1)], -1)
+    mixed = np.argwhere((corner.max(-1) >= iso) & (corner.min(-1) < iso))
+    values = corner[tuple(mixed.T)]
+    bits = np.array([[c & 1, c >> 1 & 1, c >> 2 & 1] for c in range(8)])
+    return np.concatenate([_tetra_triangles(values[:, t], mixed[:, None, :] + bits[list(t)][None], iso) for t in TETRAHEDRA])
 
 
 def extract_surface(voxels: DataFrame, iso: float, brick: int = 32, fill: float = 0.0) -> DataFrame:
     """(x1 .. z3) of the iso surface's triangles by marching tetrahedra, a brick with a halo of one voxel at a time; every
-    cell belongs to the brick of its lower corner. Inactive voxels have the fill value."""
+    cell belongs to the brick of its lower corner. Triangles wind outward, away from the higher values. Inactive voxels have the fill value."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n = brick + 2
-        grey = np.full((n, n, n), fill, dtype=float)
-        base = [k * brick - 1 for k in key]
+        grey = np.full((brick + 2,) * 3, fill, dtype=float)
+        base = np.array(key) * brick - 1
         grey[tuple(pdf[c].to_numpy() - b for c, b in zip("xyz", base, strict=True))] = pdf["grey"]
-        corner = np.stack([grey[i : n - 1 + i, j : n - 1 + j, k : n - 1 + k] for k in (0, 1) for j in (0, 1) for i in (0, 1)], -1)[1:, 1:, 1:]
-        mixed = np.argwhere((corner.max(-1) >= iso) & (corner.min(-1) < iso))
-        values = corner[tuple(mixed.T)]
-        origin = mixed + 1 + np.array(base)
-        bits = np.array([[c & 1, c >> 1 & 1, c >> 2 & 1] for c in range(8)])
-        found = [_tetra_triangles(values[:, t], origin[:, None, :] + bits[list(t)][None], iso) for t in TETRAHEDRA]
-        t = np.concatenate(found).reshape(-1, 9)
-        return pd.DataFrame(t, columns=[f"{c}{k}" for k in (1, 2, 3) for c in "xyz"])
+        # Cells that begin in the halo are a neighbour's.
+        t = iso_triangles(grey[1:, 1:, 1:], iso) + base + 1
+        return pd.DataFrame(t.reshape(-1, 9), columns=[f"{c}{k}" for k in (1, 2, 3) for c in "xyz"])
 
     schema = ", ".join(f"{c}{k} double" for k in (1, 2, 3) for c in "xyz")
     return with_halo(voxels.select("x", "y", "z", "grey"), brick, 1).groupBy("tx", "ty", "tz").applyInPandas(run, schema)
 
 
+def cross_of() -> list[Column]:
+    """Twice the area of a triangle (x1 .. z3) as a vector along its outward side."""
+    a, b = ([F.col(f"{c}{k}") - F.col(f"{c}1") for c in "xyz"] for k in (2, 3))
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
 def mesh_measures(triangles: DataFrame) -> DataFrame:
-    """One row (triangles, area, volume): the volume by signed tetrahedra from the origin is of unoriented triangles
-    meaningless, so only its parts that don't depend on orientation are returned."""
-    e = [[F.col(f"{c}{k}") - F.col(f"{c}1") for c in "xyz"] for k in (2, 3)]
-    a, b = e
-    cross = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
-    area = F.sqrt(cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2]) / 2
-    return triangles.agg(F.count("*").alias("triangles"), F.sum(area).alias("area"))
+    """One row (triangles, area, volume) of a mesh: the volume by signed tetrahedra from the origin, which is right for
+    closed meshes that wind outward and negative for inverted ones."""
+    n = cross_of()
+    area = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]) / 2
+    volume = (F.col("x1") * n[0] + F.col("y1") * n[1] + F.col("z1") * n[2]) / 6
+    return triangles.agg(F.count("*").alias("triangles"), F.sum(area).alias("area"), F.sum(volume).alias("volume"))
+
+
+def surface_samples(triangles: DataFrame) -> DataFrame:
+    """triangles with a point (x, y, z) in their middle, the outward unit normal (nx, ny, nz) and their area; triangles
+    without an area have no normal and go."""
+    n = cross_of()
+    long = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
+    middle = [((F.col(f"{c}1") + F.col(f"{c}2") + F.col(f"{c}3")) / 3).alias(c) for c in "xyz"]
+    return triangles.where(long > 1e-12).select("*", *middle, *[(v / long).alias(f"n{c}") for v, c in zip(n, "xyz", strict=True)], (long / 2).alias("area"))

@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from brickwise.operators.filters import with_halo
 from brickwise.operators.graph import FEW_EDGES, connected_components
-from brickwise.operators.surface import extract_surface
+from brickwise.operators.surface import cross_of, extract_surface, surface_samples
 
 CORNERS = [f"{c}{k}" for k in (1, 2, 3) for c in "xyz"]
 
@@ -36,69 +36,87 @@ def gradient(grey: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([sample(grey, at + e) - sample(grey, at - e) for e in np.eye(3)], 1)
 
 
+#: Values of lines, and pairs of points, that are held at once.
+HELD = 2_000_000
+
+
+def _crossing(value: np.ndarray, at: np.ndarray, iso: float) -> np.ndarray:
+    """By row, where between the columns at and at + 1 the value passes iso, in columns."""
+    row = np.arange(len(value))
+    a, b = value[row, at], value[row, at + 1]
+    return at + np.where(a == b, 0.0, (a - iso) / np.where(a == b, 1.0, a - b))
+
+
 def ray_thickness(grey: np.ndarray, points: np.ndarray, normals: np.ndarray, iso: float, most: float, step: float = 0.5, angle: float = 60.0) -> np.ndarray:
-    """Distances, in voxels, from surface points against their outward normals to where the material ends; NaN where the
-    ray doesn't meet a face that looks along it within `most`. The start is moved onto the crossing next to the point; a ray
-    ends where two steps in a row are below iso."""
-    fine = 0.5 * step
-    line = np.stack([sample(grey, points + k * fine * normals) for k in range(-4, 5)], 1)
-    shift = np.full(len(points), np.nan)
-    for k in range(8):
-        a, b = line[:, k], line[:, k + 1]
-        cross = (k - 3) * fine - fine * (iso - b) / np.where(a == b, 1, a - b)
-        ok = (a > iso) & (b <= iso) & ~(np.abs(shift) <= np.abs(cross))
-        shift = np.where(ok, cross, shift)
-    p = points + np.nan_to_num(shift)[:, None] * normals
-    out, open_ = np.full(len(points), np.nan), np.ones(len(points), dtype=bool)
-    before = sample(grey, p - step * normals)
-    open_ &= before > iso
-    for k in range(2, int(math.floor(most / step)) + 2):
-        here = np.flatnonzero(open_)
-        if not len(here):
-            break
-        now = sample(grey, p[here] - k * step * normals[here])
-        ends = now < iso
-        ends[ends] = sample(grey, p[here[ends]] - (k + 1) * step * normals[here[ends]]) < iso
-        if ends.any():
-            e = here[ends]
-            far = k * step - step * (iso - now[ends]) / np.maximum(before[e] - now[ends], 1e-12)
-            outward = -gradient(grey, p[e] - far[:, None] * normals[e])
-            outward /= np.maximum(np.linalg.norm(outward, axis=1), 1e-12)[:, None]
-            good = (far <= most) & (-(outward * normals[e]).sum(1) >= math.cos(math.radians(angle)))
-            out[e[good]] = far[good]
-            open_[e] = False
-        before[here] = now
+    """Distances, in voxels, from surface points against their outward normals to where the material ends; NaN where that
+    is farther than `most`, where no surface lies within a voxel of the point, or where the far face doesn't look along the ray.
+
+    A ray is one line of values from a voxel outside to two steps behind `most`. It enters at the change from outside to inside next to its
+    point and leaves before the first two values in a row that are outside; both places are interpolated. The far face's normal is
+    the falling gradient there, which has to be within `angle` of the ray."""
+    lead = int(round(1 / step))
+    columns = np.arange(-lead, int(math.ceil(most / step)) + lead + 3)
+    out = np.full(len(points), np.nan)
+    block = max(1, HELD // len(columns))
+    for k in range(0, len(points), block):
+        p, n = points[k : k + block], normals[k : k + block]
+        line = sample(grey, (p[:, None] - (columns * step)[None, :, None] * n[:, None]).reshape(-1, 3)).reshape(len(p), -1)
+        solid = line >= iso
+        enters = ~solid[:, : 2 * lead] & solid[:, 1 : 2 * lead + 1]
+        start = np.where(enters, np.abs(columns[: 2 * lead] + 0.5), np.inf).argmin(1)
+        gone = ~solid[:, 1:-1] & ~solid[:, 2:] & (np.arange(1, len(columns) - 1) > start[:, None] + 1)
+        end = gone.argmax(1)
+        ok = np.flatnonzero(enters.any(1) & gone.any(1))
+        first, last = (_crossing(line[ok], x[ok], iso) for x in (start, end))
+        far = (last - first) * step
+        exits = p[ok] - ((last - lead) * step)[:, None] * n[ok]
+        face = -gradient(grey, exits)
+        along = -(face * n[ok]).sum(1) >= math.cos(math.radians(angle)) * np.linalg.norm(face, axis=1)
+        good = along & (far <= most)
+        out[k + ok[good]] = far[good]
     return out
 
 
-def sphere_thickness(points: np.ndarray, normals: np.ndarray, among: np.ndarray, most: float, eps: float = 0.05) -> np.ndarray:
-    """Diameters of the largest balls that touch the points from inside and hold no other surface point, by shrinking;
-    NaN where a ball of the diameter `most` doesn't shrink. Points that the centre sees within 30 degrees of the touched
-    one are noise of the surface and end the shrinking."""
-    out = np.full(len(points), np.nan)
-    for at in range(0, len(points), 256):
-        p, n = points[at : at + 256], normals[at : at + 256]
-        r = np.full(len(p), most / 2)
-        shrunk, live = np.zeros(len(p), dtype=bool), np.ones(len(p), dtype=bool)
-        for _ in range(64):
-            k = np.flatnonzero(live)
-            if not len(k):
+def inscribed_diameters(points: np.ndarray, normals: np.ndarray, among: np.ndarray, most: float, apart: float = 30.0, cell: float = 4.0) -> np.ndarray:
+    """Diameters of the largest balls that touch surface points from inside and hold none of the points `among`; NaN where
+    that is `most` or more. The ball that touches p and passes through q has the radius |p - q|^2 / 2 n (p - q): the largest free
+    one is the least of these, so no ball has to be tried. A q that its centre sees less than `apart` degrees from p is noise of p's
+    own surface and doesn't count. Points are met by cells, nearest cells first, until none can hold a nearer ball."""
+    radius = np.full(len(points), most / 2)
+    if not len(points) or not len(among):
+        return np.full(len(points), np.nan)
+    home, own = np.floor(among / cell).astype(int), np.floor(points / cell).astype(int)
+    low = np.minimum(home.min(0), own.min(0)) - 1
+    size = np.maximum(home.max(0), own.max(0)) - low + 2
+    keys = np.ravel_multi_index(tuple((home - low).T), size)
+    order = np.argsort(keys, kind="stable")
+    keys, among = keys[order], among[order]
+    reach = int(math.ceil(most / cell)) + 1
+    shifts = np.stack(np.meshgrid(*[np.arange(-reach, reach + 1)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    gaps = cell * np.sqrt((np.maximum(np.abs(shifts) - 1, 0) ** 2).sum(1))
+    chord = 2 * math.sin(math.radians(apart) / 2)
+    for shift, gap in sorted(zip(map(tuple, shifts), gaps, strict=True), key=lambda x: (x[1], x[0])):
+        at = own + shift - low
+        live = np.flatnonzero((2 * radius > gap) & ((at >= 0) & (at < size)).all(1))
+        if not len(live):
+            if gap >= 2 * radius.max():
                 break
-            c = p[k] - r[k, None] * n[k]
-            d2 = ((c[:, None] - among[None]) ** 2).sum(2)
-            d2[((p[k][:, None] - among[None]) ** 2).sum(2) < 1e-18] = np.inf
-            q = among[d2.argmin(1)]
-            inside = d2.min(1) < (r[k] - eps) ** 2
-            away = p[k] - q
-            along = (n[k] * away).sum(1)
-            radius = (away**2).sum(1) / np.where(along > 0, 2 * along, 1)
-            centre = p[k] - radius[:, None] * n[k]
-            apart = ((p[k] - centre) * (q - centre)).sum(1) <= math.cos(math.pi / 6) * radius**2
-            ok = inside & (along > 0) & (radius < r[k]) & apart
-            r[k[ok]], shrunk[k[ok]] = radius[ok], True
-            live[k[~ok]] = False
-        out[at : at + 256] = np.where(shrunk, 2 * r, np.nan)
-    return out
+            continue
+        k = np.ravel_multi_index(tuple(at[live].T), size)
+        first, last = np.searchsorted(keys, k), np.searchsorted(keys, k, "right")
+        live, first, n = live[last > first], first[last > first], (last - first)[last > first]
+        begin = 0
+        while begin < len(live):
+            stop = max(begin + 1, int(np.searchsorted(n[begin:].cumsum(), HELD, "right")) + begin)
+            m = n[begin:stop]
+            mine = np.repeat(live[begin:stop], m)
+            q = among[np.repeat(first[begin:stop], m) + np.arange(m.sum()) - np.repeat(m.cumsum() - m, m)]
+            away = points[mine] - q
+            square, depth = (away**2).sum(1), (normals[mine] * away).sum(1)
+            ok = (depth > 1e-9) & (2 * depth >= chord * np.sqrt(square))
+            np.minimum.at(radius, mine[ok], square[ok] / (2 * depth[ok]))
+            begin = stop
+    return np.where(radius < most / 2, 2 * radius, np.nan)
 
 
 def _dealt(points: DataFrame, brick: int) -> DataFrame:
@@ -136,12 +154,25 @@ def wall_by_balls(points: DataFrame, most: float = 16.0, brick: int = 32) -> Dat
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        found = sphere_thickness(left[["x", "y", "z"]].to_numpy(float), left[["nx", "ny", "nz"]].to_numpy(float), right[["x", "y", "z"]].to_numpy(float), most)
+        found = inscribed_diameters(left[["x", "y", "z"]].to_numpy(float), left[["nx", "ny", "nz"]].to_numpy(float), right[["x", "y", "z"]].to_numpy(float), most)
         return left[names].assign(thickness=pd.Series(found, index=left.index).astype(object).where(~np.isnan(found), None))
 
     return _dealt(points, brick).groupBy(*keys).cogroup(with_halo(points.select("x", "y", "z"), brick, halo).groupBy(*keys)).applyInPandas(run, schema)
 
 
+def wall_thickness(voxels: DataFrame, iso: float, pitch: float = 1.0, method: str = "ray", most: float = 16.0, brick: int = 64, fill: float = 0.0) -> DataFrame:
+    """(x, y, z, nx, ny, nz, area, thickness) at every triangle of the part's surface: places and thickness in units of the pitch, thickness null where
+    it isn't measured; by rays through the voxels or by balls between the surface points. most is in voxels."""
+    points = surface_samples(extract_surface(voxels, iso, min(brick, 32), fill)).select("x", "y", "z", "nx", "ny", "nz", "area")
+    if method == "ray":
+        found = wall_by_rays(points, voxels, iso, most, brick, fill)
+    elif method == "sphere":
+        found = wall_by_balls(points, most, min(brick, 32))
+    else:
+        raise ValueError(f"wall thickness by ray or sphere, not {method!r}")
+    return found.select(*[(F.col(c) * pitch).alias(c) for c in "xyz"], "nx", "ny", "nz", (F.col("area") * pitch * pitch).alias("area"), (F.col("thickness") * pitch).alias("thickness"))
+
+
 def against_nominal(measured: DataFrame, nominal: DataFrame, reach: float) -> DataFrame:
     """measured points (id, x, y, z, thickness) with nominal, the thickness of the nearest nominal point (x, y, z,
     thickness) within reach, and actual minus nominal. Points meet by cells as wide as the reach."""
@@ -168,8 +199,7 @@ def mesh_components(triangles: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def with_area(triangles: DataFrame) -> DataFrame:
-    a, b = ([F.col(f"{c}{k}") - F.col(f"{c}1") for c in "xyz"] for k in (2, 3))
-    n = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    n = cross_of()
     return triangles.withColumn("area", F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]) / 2)
 
 

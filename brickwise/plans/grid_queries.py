@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from brickwise.functions.keys import morton, natural_key, offsets
-from brickwise.operators import blocks, bricks, histogram, volume
+from brickwise.operators import blocks, bricks, distance, histogram, volume
 from brickwise.operators.components import component_statistics, components, faces, keep_largest
 from brickwise.operators.generate import phantom_volume
 from brickwise.operators.graph import stage
@@ -334,7 +334,30 @@ SELECT bx, by, bz, min(depth)::INT AS depth FROM d GROUP BY 1, 2, 3"""
 )
 def block_depth(spark, sf_dir):
     b = parts(spark, sf_dir).where("grey >= 50").select(*blocks.block_columns(4)).distinct()
-    return blocks.block_depth(b, b.where("bx = 0"), 4)
+    return blocks.block_depth(b, b.where("bx = 0"), 4).withColumn("depth", F.col("depth").cast("int"))
+
+
+@query(
+    f"""WITH {PARTS}, b AS (SELECT x // 8 AS bx, y // 8 AS b_y, z // 8 AS bz, least(count(*) * 2, 512) / 512.0::DOUBLE AS f FROM vox GROUP BY 1, 2, 3)
+SELECT b.bx, b.b_y, b.bz, min(8 * (b.f + coalesce(n.f, 0)) - 4)::DOUBLE AS depth
+FROM b, {OFF[6]} o(dx, dy, dz) LEFT JOIN b n ON n.bx = b.bx + dx AND n.b_y = b.b_y + dy AND n.bz = b.bz + dz
+WHERE b.f >= 0.5 AND coalesce(n.f, 0) < 1 GROUP BY 1, 2, 3"""
+)
+def depth_seeds(spark, sf_dir):
+    filled = parts(spark, sf_dir).groupBy(*blocks.block_columns(8)).agg(F.least(F.count("*") * 2, F.lit(512)).alias("n"))
+    return blocks.depth_seeds(filled).withColumnRenamed("by", "b_y")
+
+
+@query()
+def distance_map(spark, sf_dir):
+    return distance.distance_map(parts(spark, sf_dir)).withColumn("distance", F.round("distance", 9))
+
+
+@query()
+def part_depths(spark, sf_dir):
+    """How deep each block of the parts' volume lies, by all ways through blocks that are at least half full."""
+    filled = stage(parts(spark, sf_dir).groupBy(*blocks.block_columns(4)).agg(F.least(F.count("*") * 2, F.lit(64)).alias("n")), "filled")
+    return blocks.block_depth(filled.where("n >= 32"), blocks.depth_seeds(filled, 64, 4), step=4)
 
 
 @query()

@@ -13,6 +13,7 @@ from brickwise.sources.images import encode_stl
 NAMES = """open_dataset import_raw import_tiff import_dicom import_gzipped_xml porosity fibre_orientation battery_inspection battery_images surface compare_cad
 wall_thickness inspection_regions report segment_materials material_meshes measure_objects segment_model denoise beam_hardening isolate_part add_mesh move
 align_points align_surfaces compare_objects measure_dimensions first_article_report battery_report export_diconde""".split()
+from tests.test_compare import box_mesh
 
 
 def test_every_operation_is_registered():
@@ -27,10 +28,8 @@ def box(spark, tmp_path):
     bricks.unpack(synthetic.scan(spark, scan)).write.parquet(str(tmp_path / "volume"))
     p.run("open_dataset", {"path": str(tmp_path / "volume")})
     p.run("surface", {"iso": 10500.0, "fill": 1000.0})
-    half, centre = np.array([10.0, 8.0, 6.0]), 15.5
-    c = np.array([[x, y, z] for z in (-1, 1) for y in (-1, 1) for x in (-1, 1)]) * half + centre
-    quads = [(0, 2, 3, 1), (4, 5, 7, 6), (0, 1, 5, 4), (2, 6, 7, 3), (0, 4, 6, 2), (1, 3, 7, 5)]
-    t = np.array([t for a, b, d, e in quads for t in (c[[a, b, d]], c[[a, d, e]])])
+    half = np.array([10.0, 8.0, 6.0])
+    t = box_mesh(2 * half) + 15.5 - half
     (tmp_path / "stl").mkdir()
     (tmp_path / "stl" / "box.stl").write_bytes(encode_stl(t))
     p.run("add_mesh", {"path": str(tmp_path / "stl")})

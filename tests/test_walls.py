@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from brickwise.operators import plan, walls
 from brickwise.operators.surface import extract_surface
+from tests.test_compare import box_mesh
 
 
 def slab(spark, thick, n=40):
@@ -29,6 +30,62 @@ def test_both_methods_measure_a_plate(spark):
     assert both and all(abs(r.difference - 0.5) < 0.05 for r in both)
 
 
+def ball(radius, n=32, centre=15.3):
+    x, y, z = np.mgrid[0:n, 0:n, 0:n] - centre
+    return np.sqrt(x * x + y * y + z * z) - radius
+
+
+def test_rays_need_a_surface_and_a_far_face():
+    grey = 10_000 - 3000 * np.clip(ball(9.0), -2, 2)
+    n = np.random.default_rng(0).normal(size=(500, 3))
+    n /= np.linalg.norm(n, axis=1)[:, None]
+    through = walls.ray_thickness(grey, 15.3 + 9 * n, n, 10_000.0, 24.0)
+    assert np.abs(through - 18).max() < 0.05
+    assert np.isnan(walls.ray_thickness(grey, 15.3 + 9 * n, n, 10_000.0, 17.0)).all()
+    assert np.isnan(walls.ray_thickness(grey, 15.3 + 5 * n, n, 10_000.0, 24.0)).all()
+    steep = np.array([[15.3, 15.3, 15.3 + 9.0]])
+    slanting = np.array([[0.0, np.sin(1.3), np.cos(1.3)]])
+    assert np.isnan(walls.ray_thickness(grey, steep, slanting, 10_000.0, 24.0)).all()
+    assert len(walls.ray_thickness(grey, np.zeros((0, 3)), np.zeros((0, 3)), 10_000.0, 5.0)) == 0
+
+
+def test_a_single_low_value_ends_no_wall():
+    grey = np.full((40, 9, 9), 1000.0)
+    grey[5:30] = 20_000
+    grey[15] = 9000
+    point, normal = np.array([[4.5, 4.0, 4.0]]), np.array([[-1.0, 0.0, 0.0]])
+    assert walls.ray_thickness(grey, point, normal, 10_500.0, 30.0, step=1.0)[0] == pytest.approx(25, abs=0.6)
+    grey[15:18] = 1000
+    assert walls.ray_thickness(grey, point, normal, 10_500.0, 30.0, step=1.0)[0] == pytest.approx(10, abs=0.6)
+
+
+def test_largest_balls_by_brute_force():
+    rng = np.random.default_rng(1)
+    top, bottom = rng.uniform(0, 30, (900, 3)), rng.uniform(0, 30, (900, 3))
+    top[:, 2], bottom[:, 2] = 6 + 0.1 * top[:, 0] + rng.normal(0, 0.02, 900), 0
+    points, normals = np.concatenate([top, bottom]), np.concatenate([np.tile([-0.0995, 0, 0.995], (900, 1)), np.tile([0, 0, -1.0], (900, 1))])
+    got = walls.inscribed_diameters(points, normals, points, 12.0)
+    for k in range(0, 1800, 37):
+        best = 6.0
+        for q in points:
+            away = points[k] - q
+            depth = away @ normals[k]
+            if depth > 1e-9:
+                r = away @ away / (2 * depth)
+                if np.sqrt(away @ away) >= 2 * r * np.sin(np.radians(15)):
+                    best = min(best, r)
+        assert got[k] == pytest.approx(2 * best, rel=1e-12) if best < 6 else np.isnan(got[k])
+
+
+@pytest.mark.parametrize("method", ["ray", "sphere"])
+def test_thickness_of_a_whole_plate(spark, method):
+    voxels = slab(spark, 6, 24)
+    got = walls.wall_thickness(voxels, 10_500.0, 0.5, method, 12, 16, 1000.0).where("y between 5 and 6.5 and z between 5 and 6.5 and abs(nx) > 0.9").collect()
+    assert len(got) > 20 and all(r.thickness == pytest.approx(3.0, abs=0.3) for r in got)
+    with pytest.raises(ValueError):
+        walls.wall_thickness(voxels, 1.0, method="guess")
+
+
 def test_thin_regions(spark):
     rows = [(k, float(k), 0.0, 0.0, 1.0) for k in range(5)] + [(10 + k, 50.0 + k, 0.0, 0.0, 0.5) for k in range(3)] + [(20, 0.0, 9.0, 0.0, 5.0)]
     got = walls.thin_regions(spark.createDataFrame(rows, "id long, x double, y double, z double, thickness double"), 2.0, 1.5).orderBy("region").collect()
@@ -36,9 +93,7 @@ def test_thin_regions(spark):
 
 
 def cube(low, side):
-    c = np.array([[x, y, z] for z in (0, 1) for y in (0, 1) for x in (0, 1)], float) * side + low
-    quads = [(0, 2, 3, 1), (4, 5, 7, 6), (0, 1, 5, 4), (2, 6, 7, 3), (0, 4, 6, 2), (1, 3, 7, 5)]
-    return np.array([t for a, b, d, e in quads for t in (c[[a, b, d]], c[[a, d, e]])])
+    return box_mesh(np.full(3, float(side))) + low
 
 
 def test_components_and_outer_skin(spark):
