@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -41,6 +41,28 @@ def counts(labels: DataFrame, voxel_mm3: float) -> DataFrame:
     return labels.groupBy("material").agg(F.count("*").alias("voxels")).withColumn("volume_mm3", F.col("voxels") * voxel_mm3)
 
 
+def component_truth(rows: DataFrame, lowers: list[float], width: int = 16) -> DataFrame:
+    """(label, n, truth) of the true components of rows (label, grey), label 0 left out: the class of a component is that of its
+    median grey value, to the middle of bins of a width; class k begins at the k-th of the ascending lower values, 0 is what lies below them all.
+
+    Counts by label and bin are made before the shuffle and add up whatever way a component is dealt; a label has a row for each
+    of 65536 / width bins at most."""
+    grey = F.least(F.greatest(F.col("grey").cast("double"), F.lit(0.0)), F.lit(65535.0))
+    counts = rows.where("label > 0").groupBy("label", F.floor(grey / width).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    by_label = Window.partitionBy("label")
+    seen = F.sum("n").over(by_label.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    half = counts.select("label", "bin", "n", seen.alias("seen"), F.sum("n").over(by_label).alias("total")).where(2 * F.col("seen") >= F.col("total"))
+    middle = half.groupBy("label", F.col("total").alias("n")).agg(((F.min("bin") + 0.5) * width).alias("median"))
+    truth = sum((F.when(F.col("median") >= low, 1).otherwise(0) for low in lowers), F.lit(0))
+    return middle.select("label", "n", truth.alias("truth"))
+
+
+def scored(rows: DataFrame, lowers: list[float]) -> DataFrame:
+    """rows (label, grey, found, ...) with truth, the class of their component; label 0 is class 0."""
+    truth = component_truth(rows, lowers).select("label", "truth")
+    return rows.join(truth, "label", "left").withColumn("truth", F.coalesce("truth", F.lit(0)))
+
+
 def confusion(rows: DataFrame) -> DataFrame:
     return rows.groupBy("truth", "found").agg(F.count("*").alias("n"))
 

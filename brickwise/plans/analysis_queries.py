@@ -158,6 +158,15 @@ def smallest_pore_gap(spark, sf_dir):
     return porosity.smallest_gap(components(sparse(spark, sf_dir, 110), 26, brick=32), 6)
 
 
+@query("""WITH f AS (SELECT c_nationkey AS component, (c_custkey * 37 % 1009)::INT AS x, (c_nationkey * 40 + c_custkey % 7)::INT AS y, (floor(abs(c_acctbal)) % 977)::INT AS z FROM customer),
+g AS (SELECT a.component AS a, b.component AS b, sqrt(pow(0.5 * greatest(abs(a.x - b.x) - 1, 0), 2) + pow(greatest(abs(a.y - b.y) - 1, 0), 2) + pow(2.0 * greatest(abs(a.z - b.z) - 1, 0), 2)) AS gap FROM f a JOIN f b ON a.component < b.component)
+SELECT a::BIGINT AS a, b::BIGINT AS b, round(gap, 9) AS gap FROM g ORDER BY gap, a, b LIMIT 1""")
+def closest_pores(spark, sf_dir):
+    """Nations as pores, customers as their voxels."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("component"), (F.col("c_custkey") * 37 % 1009).cast("int").alias("x"), (F.col("c_nationkey") * 40 + F.col("c_custkey") % 7).cast("int").alias("y"), (F.floor(F.abs("c_acctbal")) % 977).cast("int").alias("z"))
+    return porosity.closest_pores(rows, (0.5, 1.0, 2.0)).withColumn("gap", F.round("gap", 9))
+
+
 @query(
     f"""WITH {PARTS}, o AS (SELECT * FROM {OFF[26]} o(dx, dy, dz) UNION ALL SELECT 0, 0, 0), m AS (SELECT a.x, a.y, a.z, a.grey, count(*) FILTER (b.grey > 30) AS c, sum(b.grey) FILTER (b.grey > 30) AS s FROM vox a, o, vox b WHERE b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz AND a.grey > 30 GROUP BY ALL)
 SELECT x, y, z, CASE WHEN s::DOUBLE / c > 70 THEN 2 ELSE 1 END::INT AS material FROM m WHERE c >= 4"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brickwise.operators import bricks, cells, decide, hardening, histogram, inspect, plan, report, shape, synthetic, walls
+from brickwise.operators import bricks, cells, decide, hardening, histogram, inspect, materials, plan, report, shape, synthetic, walls
 from brickwise.operators.blocks import BX, block_columns
 from brickwise.plans.volumes import PARTS, SMALL, parts, phantom_sql, small_phantom, table
 
@@ -227,12 +227,70 @@ def multi_otsu_4(spark, sf_dir):
     return spark.createDataFrame([(score > 0, round(score, 3))], "found boolean, score double")
 
 
-@query()
+PRICES = "h AS (SELECT floor(l_extendedprice / 2)::BIGINT AS v, count(*)::BIGINT AS n FROM lineitem GROUP BY 1)"
+
+
+def prices(spark, sf_dir):
+    """lineitem's prices as grey values."""
+    rows = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_extendedprice") / 2).cast("int").alias("grey"))
+    return decide.counts_of(histogram.grey_histogram(rows))
+
+
+@query(
+    f"""WITH {PRICES}, c AS (SELECT v, (sum(n) OVER w)::DOUBLE AS n0, (sum(v * n) OVER w)::DOUBLE AS s0, (sum(n) OVER ())::DOUBLE AS na, (sum(v * n) OVER ())::DOUBLE AS sa FROM h WINDOW w AS (ORDER BY v)),
+o AS (SELECT v + 0.5::DOUBLE AS otsu FROM c WHERE n0 < na ORDER BY n0 * (na - n0) * (s0 / n0 - (sa - s0) / (na - n0)) * (s0 / n0 - (sa - s0) / (na - n0)) DESC, v LIMIT 1),
+t AS (SELECT v, CASE WHEN v IN (0, 65535) THEN 0 ELSE n END AS n FROM h), u AS (SELECT v, n, sum(n) OVER (ORDER BY v) AS up, sum(n) OVER () AS total FROM t),
+e AS (SELECT min(v) FILTER (up > total // 1000) AS lo, min(v) FILTER (up >= total - total // 1000) AS hi FROM u), g AS (SELECT lo, hi, greatest(1, (hi - lo + 256) // 256)::BIGINT AS width FROM e),
+r AS (SELECT unnest(range((hi - lo) // width + 1)) AS b FROM g), k AS (SELECT b, coalesce(sum(n), 0)::DOUBLE AS n FROM r CROSS JOIN g LEFT JOIN u ON u.v BETWEEN lo AND hi AND (u.v - lo) // width = b GROUP BY b),
+w AS (SELECT p.b, sum(q.n * exp(-0.5 * pow((q.b - p.b) / 1.5, 2))) / sum(exp(-0.5 * pow((q.b - p.b) / 1.5, 2))) AS s FROM k p JOIN k q ON abs(q.b - p.b) <= 5 GROUP BY p.b),
+x AS (SELECT b, s, lag(s) OVER (ORDER BY b) AS before, lead(s) OVER (ORDER BY b) AS after, lo + b * width + (width - 1) / 2.0::DOUBLE AS centre FROM w, g),
+peaks AS (SELECT b, s FROM x, o WHERE s >= before AND s > after AND centre < otsu), air AS (SELECT p.b, (SELECT q.b FROM peaks q WHERE q.b < p.b ORDER BY q.s DESC, q.b LIMIT 1) AS a FROM peaks p),
+valleys AS (SELECT a, air.b, (SELECT x.b FROM x WHERE x.b BETWEEN a AND air.b ORDER BY x.s, x.b LIMIT 1) AS v FROM air WHERE a IS NOT NULL),
+deep AS (SELECT z.centre FROM valleys JOIN x l ON l.b = a JOIN x m ON m.b = valleys.b JOIN x z ON z.b = v WHERE least(l.s, m.s) - z.s >= 0.05 * (SELECT max(s) FROM x) ORDER BY valleys.b LIMIT 1)
+SELECT coalesce((SELECT centre FROM deep), otsu)::DOUBLE AS threshold, otsu FROM o"""
+)
 def air_threshold(spark, sf_dir):
-    n = decide.counts_of(bricks.histogram(bricks.phantom_bricks(spark, SMALL, 500.0)))
+    n = prices(spark, sf_dir)
     return spark.createDataFrame([(decide.air_threshold(n), decide.otsu_of(n))], "threshold double, otsu double")
 
 
+@query(
+    f"""WITH {PRICES}, g AS (SELECT min(v) AS first, greatest(1.0::DOUBLE, (max(v) + 1 - min(v)) / 256.0::DOUBLE) AS width FROM h),
+k AS (SELECT least(floor((v - first) / width), 255)::INT AS b, sum(n)::DOUBLE AS n, sum(n * v)::DOUBLE AS s FROM h, g GROUP BY 1),
+c AS (SELECT i, coalesce(sum(n), 0) AS n, coalesce(sum(s), 0) AS s FROM range(257) r(i) LEFT JOIN k ON b < i GROUP BY i), z AS (SELECT n, s FROM c WHERE i = 256),
+score AS (SELECT p.i AS p, q.i AS q, CASE WHEN p.n > 0 THEN p.s * p.s / p.n ELSE 0 END + CASE WHEN q.n > p.n THEN (q.s - p.s) * (q.s - p.s) / (q.n - p.n) ELSE 0 END + CASE WHEN z.n > q.n THEN (z.s - q.s) * (z.s - q.s) / (z.n - q.n) ELSE 0 END AS t
+  FROM c p JOIN c q ON p.i < q.i CROSS JOIN z WHERE p.i > 0 AND q.i < 256)
+SELECT first + p * width AS low, first + q * width AS high FROM score, g ORDER BY t DESC, q, p LIMIT 1"""
+)
+def multi_otsu_cuts(spark, sf_dir):
+    """The two cuts of three classes, on bins of a fractional width."""
+    return spark.createDataFrame([tuple(decide.multi_otsu(prices(spark, sf_dir), 3))], "low double, high double")
+
+
+def _morton_sql(bits: int) -> str:
+    return " + ".join(f"((b{c} >> {b}) & 1) * {1 << (3 * b + k)}" for b in range(bits) for k, c in enumerate("xyz"))
+
+
+@query(
+    f"""WITH {PARTS}, b AS (SELECT grey, x // 16 AS bx, y // 16 AS b_y, z // 16 AS bz FROM vox), c AS (SELECT grey, {_morton_sql(3).replace("(by ", "(b_y ")} AS code FROM b),
+r AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT code FROM c)), g AS (SELECT grey FROM c JOIN r USING (code) WHERE k % greatest(1, n // 16) = 0 AND grey > 30)
+SELECT coalesce((SELECT grey FROM (SELECT grey, row_number() OVER (ORDER BY grey) - 1 AS i, count(*) OVER () AS n FROM g) WHERE i = n // 2), 30)::DOUBLE AS level"""
+)
+def brick_material_level(spark, sf_dir):
+    return spark.createDataFrame([(decide.material_level(parts(spark, sf_dir), 30.0, side=16),)], "level double")
+
+
+@query(
+    """WITH t AS (SELECT (l_suppkey % 50)::INT AS label, floor(l_extendedprice / 2)::INT AS grey, (l_quantity::INT // 17)::INT AS found FROM lineitem),
+b AS (SELECT label, least(greatest(grey, 0), 65535) // 16 AS bin, count(*) AS n FROM t WHERE label > 0 GROUP BY ALL), c AS (SELECT label, bin, sum(n) OVER (PARTITION BY label ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY label) AS total FROM b),
+m AS (SELECT label, (min(bin) + 0.5) * 16 AS median FROM c WHERE 2 * seen >= total GROUP BY label)
+SELECT CASE WHEN median >= 19000 THEN 2 WHEN median >= 18500 THEN 1 ELSE 0 END::INT AS truth, found, count(*)::BIGINT AS n FROM t LEFT JOIN m USING (label) GROUP BY ALL"""
+)
+def component_majority(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).cast("int").alias("label"), F.floor(F.col("l_extendedprice") / 2).cast("int").alias("grey"), F.floor(F.col("l_quantity").cast("int") / 17).cast("int").alias("found"))
+    return materials.confusion(materials.scored(rows, [18_500.0, 19_000.0]))
+
+
 @query()
 def porosity_analysis(spark, sf_dir):
     s = synthetic.Scan(synthetic.box((4.0, 3.0, 3.0)), size=48, pitch=0.25, balls=[((1.0, 0.0, 0.0), 0.6), ((-2.0, 1.0, 0.5), 0.7)], noise=100.0)
