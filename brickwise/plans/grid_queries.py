@@ -11,7 +11,7 @@ from brickwise.operators import blocks, bricks, distance, histogram, volume
 from brickwise.operators.components import component_statistics, components, faces, keep_largest
 from brickwise.operators.generate import phantom_volume
 from brickwise.operators.graph import stage
-from brickwise.plans.volumes import BOX, FLAGSHIP, PARTS, SMALL, parts, phantom_sql, small_phantom, table
+from brickwise.plans.volumes import BOX, FLAGSHIP, HALF, PARTS, SMALL, TEXTURE, parts, phantom_sql, small_phantom, table, texture
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -136,13 +136,12 @@ def k_largest_per_block(spark, sf_dir):
 
 FLOOD = """air AS (SELECT bx, by, bz FROM blk WHERE above < 1), edge AS (SELECT * FROM air WHERE bx IN (0, {m}) OR by IN (0, {m}) OR bz IN (0, {m})),
 flood AS (SELECT * FROM edge UNION SELECT a.bx, a.by, a.bz FROM flood f, """ + OFF[6] + """ o(dx, dy, dz), air a WHERE a.bx = f.bx + dx AND a.by = f.by + dy AND a.bz = f.bz + dz)"""
-PH = phantom_sql(SMALL)
 FINE = BLOCKS.replace('// 8', '// 4')
 
 
-@query(f"WITH RECURSIVE {PH}, {FINE.format(t=10000)}, {FLOOD.format(m=7)} SELECT * FROM flood")
+@query(f"WITH RECURSIVE {TEXTURE}, {FINE.format(t=970)}, {FLOOD.format(m=7)} SELECT * FROM flood")
 def outside_air_blocks(spark, sf_dir):
-    return blocks.outside_air(blocks.classify_blocks(small_phantom(spark, sf_dir), 10000, 1, 4), (8, 8, 8))
+    return blocks.outside_air(blocks.classify_blocks(texture(spark, sf_dir), 970, 1, 4), (8, 8, 8))
 
 
 @query(f"WITH RECURSIVE {PARTS}, {BLOCKS.format(t=110)}, {FLOOD.format(m=7)} SELECT * FROM flood")
@@ -156,12 +155,12 @@ DILATE = "d0 AS ({start}), " + ", ".join(
 
 
 @query(
-    f"""WITH RECURSIVE {PH}, {FINE.format(t=10000)}, {FLOOD.format(m=7)},
+    f"""WITH RECURSIVE {TEXTURE}, {FINE.format(t=990)}, {FLOOD.format(m=7)},
 {DILATE.format(m=31, start="SELECT x, y, z FROM vox WHERE NOT EXISTS (SELECT 1 FROM flood f WHERE f.bx = x // 4 AND f.by = y // 4 AND f.bz = z // 4)")}
 SELECT x, y, z, grey FROM vox JOIN d3 USING (x, y, z)"""
 )
 def sieve_voxels(spark, sf_dir):
-    return blocks.sieve(small_phantom(spark, sf_dir), 10000, (32, 32, 32), block=4)
+    return blocks.sieve(texture(spark, sf_dir), 990, (HALF,) * 3, block=4).select("x", "y", "z", "grey")
 
 
 @query(f"WITH {SPARSE}, {DILATE.format(m=63, start='SELECT x, y, z FROM m WHERE grey >= 120')} SELECT * FROM d3")

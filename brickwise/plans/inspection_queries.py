@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brickwise.operators import bricks, cells, decide, hardening, histogram, inspect, materials, plan, report, shape, synthetic, walls
 from brickwise.operators.blocks import BX, block_columns
-from brickwise.plans.volumes import PARTS, SMALL, parts, phantom_sql, small_phantom, table
+from brickwise.plans.volumes import HALF, PARTS, SMALL, parts, small_phantom, table, texture
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -22,9 +22,9 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"WITH {phantom_sql(SMALL)} SELECT grey::BIGINT AS v, count(*)::BIGINT AS n FROM vox GROUP BY 1")
+@query(f"WITH {PARTS} SELECT grey::BIGINT AS v, count(*)::BIGINT AS n FROM vox GROUP BY 1")
 def brick_histogram(spark, sf_dir):
-    return bricks.histogram(bricks.phantom_bricks(spark, SMALL))
+    return bricks.histogram(bricks.pack(parts(spark, sf_dir)))
 
 
 @query(f"WITH {PARTS} SELECT x, y, z, grey FROM vox")
@@ -34,7 +34,7 @@ def brick_voxels(spark, sf_dir):
 
 @query()
 def brick_sieve(spark, sf_dir):
-    return bricks.unpack(bricks.sieve(bricks.phantom_bricks(spark, SMALL), (SMALL.size,) * 3, 10_500.0))
+    return bricks.unpack(bricks.sieve(bricks.pack(texture(spark, sf_dir)), (HALF,) * 3, 990.0))
 
 
 ELEMENTS = """e AS (SELECT n_name AS element, CASE n_nationkey % 3 WHEN 0 THEN 'plane' WHEN 1 THEN 'cylinder' ELSE 'sphere' END AS kind,

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from brickwise.operators import battery, blocks, dimensional, filters, histogram, mixture, surface
-from brickwise.operators.generate import add_noise, box_phantom, wound_cell
-from brickwise.plans.volumes import BOX, SMALL, parts, small_phantom, table
+from brickwise.operators.generate import add_noise, wound_cell
+from brickwise.plans.volumes import BOX, HALF, PARTS, TEXTURE, parts, table, texture
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -26,38 +26,44 @@ def gaussian_mixture(spark, sf_dir):
 
 @query
 def noisy_phantom(spark, sf_dir):
-    return add_noise(small_phantom(spark, sf_dir), SMALL.size, SMALL.size, 500.0, 42)
+    return add_noise(texture(spark, sf_dir), HALF, HALF, 50.0, 42)
 
 
 @query
 def non_local_means(spark, sf_dir):
-    noisy = add_noise(small_phantom(spark, sf_dir), SMALL.size, SMALL.size, 500.0, 42)
-    return filters.non_local_means(noisy, 500.0, search=3, brick=32)
+    return filters.non_local_means(texture(spark, sf_dir), 200.0, search=3, brick=32)
 
 
 @query
 def gaussian_smooth(spark, sf_dir):
-    return filters.gaussian_smooth(parts(spark, sf_dir), 1.0, 2)
+    return filters.gaussian_smooth(parts(spark, sf_dir), 1.0, 2).withColumn("value", F.round("value", 6))
 
 
 @query
 def thickness_map(spark, sf_dir):
-    return filters.thickness_map(small_phantom(spark, sf_dir).where("grey > 10000"), 3, brick=16)
+    return filters.thickness_map(texture(spark, sf_dir).where("grey > 10"), 3, brick=16)
 
 
 @query
 def surface_mesh(spark, sf_dir):
-    return surface.extract_surface(small_phantom(spark, sf_dir), 10500.0, 16, 1000.0)
+    return surface.extract_surface(texture(spark, sf_dir), 985.0, 16)
+
+
+@query
+def surface_codes(spark, sf_dir):
+    from brickwise.operators import levelset
+
+    return levelset.surface_codes(texture(spark, sf_dir), 985.0, 2.0, 8, 16)
 
 
 @query
 def surface_points(spark, sf_dir):
-    return surface.surface_points(small_phantom(spark, sf_dir), 10500.0)
+    return surface.surface_points(texture(spark, sf_dir), 500.0).select("axis", *[F.round(c, 9).alias(c) for c in "xyz"])
 
 
 @query
 def fibre_families(spark, sf_dir):
-    return filters.fibre_directions(filters.structure_tensors(small_phantom(spark, sf_dir), 8), 8)
+    return filters.fibre_directions(filters.structure_tensors(texture(spark, sf_dir), 8), 8)
 
 
 @query
@@ -67,7 +73,7 @@ def orientation_tensor(spark, sf_dir):
 
 @query
 def reprojection(spark, sf_dir):
-    return filters.reproject(box_phantom(spark, SMALL), SMALL.size)
+    return filters.reproject(texture(spark, sf_dir), HALF)
 
 
 @query
@@ -121,7 +127,19 @@ def air_margin(spark, sf_dir):
 def compare_nominal(spark, sf_dir):
     from brickwise.operators import compare
 
-    triangles = surface.extract_surface(small_phantom(spark, sf_dir), 10500.0, 16, 1000.0)
-    mesh = compare.nominal_mesh(triangles)
-    points = surface.surface_points(small_phantom(spark, sf_dir), 10500.0).select("x", "y", "z")
+    volume = texture(spark, sf_dir)
+    mesh = compare.nominal_mesh(surface.extract_surface(volume, 990.0, 16))
+    points = surface.surface_points(volume, 985.0).select("x", "y", "z")
     return compare.deviations(compare.mesh_distance(points, mesh), 0.1)
+
+
+_AXES = " UNION ALL ".join(
+    f"SELECT '{c}' AS axis, " + ", ".join(f"round(a.{d} + (500.0::DOUBLE - a.grey) / (b.grey - a.grey), 9) AS {d}" if d == c else f"a.{d}::DOUBLE AS {d}" for d in "xyz")
+    + " FROM vox a JOIN vox b ON " + " AND ".join(f"b.{d} = a.{d}" + (" + 1" if d == c else "") for d in "xyz") + " WHERE (a.grey >= 500) <> (b.grey >= 500)"
+    for c in "xyz"
+)
+SQL["surface_points"] = f"WITH {TEXTURE} {_AXES}"
+_NEAR = "CROSS JOIN range({lo}, {hi}) i(dx) CROSS JOIN range({lo}, {hi}) j(dy) CROSS JOIN range({lo}, {hi}) k(dz)"
+SQL["air_margin"] = f"WITH {PARTS} SELECT DISTINCT (x + dx)::INT AS x, (y + dy)::INT AS y, (z + dz)::INT AS z FROM vox {_NEAR.format(lo=-1, hi=2)} WHERE grey >= 120 AND x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 63 AND z + dz BETWEEN 0 AND 63"
+SQL["gaussian_smooth"] = f"""WITH {PARTS}, s AS (SELECT x + dx AS x, y + dy AS y, z + dz AS z, exp(-0.5 * (dx * dx + dy * dy + dz * dz)) AS w, grey FROM vox {_NEAR.format(lo=-2, hi=3)})
+SELECT vox.x, vox.y, vox.z, round(sum(w * s.grey) / sum(w), 6) AS value FROM vox JOIN s ON s.x = vox.x AND s.y = vox.y AND s.z = vox.z GROUP BY ALL"""

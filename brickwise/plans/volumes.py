@@ -27,6 +27,19 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARTS = f"vox AS (SELECT (l_partkey % {SIDE})::INT AS x, (l_suppkey % {SIDE})::INT AS y, (l_orderkey % {SIDE})::INT AS z, sum(l_quantity::INT)::INT AS grey FROM lineitem GROUP BY ALL)"
 
 
+def texture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as a volume of 32^3 voxels, full from 100,000 rows on: the last digits of the quantities that meet in a voxel, so that values
+    spread over 0 to 999 whatever the size of the table."""
+    rows = table(spark, sf_dir, "lineitem")
+    half = lambda c: F.floor(F.col(c) % SIDE / 2).cast("int")
+    summed = voxelise(rows, half("l_partkey"), half("l_suppkey"), half("l_orderkey"), F.col("l_quantity"))
+    return summed.select("x", "y", "z", (F.col("grey") * 17 % 1000).cast("int").alias("grey"))
+
+
+TEXTURE = f"vox AS (SELECT (l_partkey % {SIDE} // 2)::INT AS x, (l_suppkey % {SIDE} // 2)::INT AS y, (l_orderkey % {SIDE} // 2)::INT AS z, (sum(l_quantity::INT) * 17 % 1000)::INT AS grey FROM lineitem GROUP BY ALL)"
+HALF = SIDE // 2
+
+
 def small_phantom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box_phantom(spark, SMALL)
 
