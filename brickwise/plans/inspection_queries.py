@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brickwise.operators import bricks, cells, decide, hardening, histogram, inspect, materials, plan, report, shape, synthetic, walls
+from brickwise.operators import bricks, cells, decide, hardening, histogram, inspect, materials, plan, region, report, shape, synthetic, walls
 from brickwise.operators.blocks import BX, block_columns
 from brickwise.plans.volumes import HALF, PARTS, SMALL, parts, small_phantom, table, texture
 
@@ -291,6 +291,35 @@ def component_majority(spark, sf_dir):
     return materials.confusion(materials.scored(rows, [18_500.0, 19_000.0]))
 
 
+SOLIDS = {
+    "ball": {"region": [{"sphere": {"center_mm": [30, 30, 30], "radius_mm": 17.5}}]},
+    "drilled": {"box_mm": [[4, 5, 6], [50, 47.5, 60]], "region": {"exclude": [{"cylinder": {"from_mm": [0, 20, 20], "to_mm": [64, 24, 40], "radius_mm": 9}}]}},
+    "both": {"region": [{"cylinder": {"from_mm": [10, 10, 0], "to_mm": [10, 12, 64], "radius_mm": 8}}, {"sphere": {"center_mm": [48, 48, 48], "radius_mm": 12}}]},
+    "whole": {},
+}
+
+
+def _rod(a, b, r):
+    axis = [q - p for p, q in zip(a, b, strict=True)]
+    length = sum(v * v for v in axis)
+    t = "(" + " + ".join(f"(p{c} - {p}) * {v}" for c, p, v in zip("xyz", a, axis, strict=True)) + f") / {length}::DOUBLE"
+    away = " + ".join(f"pow(p{c} - {p} - {t} * {v}, 2)" for c, p, v in zip("xyz", a, axis, strict=True))
+    return f"({t} BETWEEN 0 AND 1 AND {away} <= {r * r})"
+
+
+@query(
+    f"""WITH {PARTS}, v AS (SELECT grey, x + 0.5::DOUBLE AS px, y + 0.5::DOUBLE AS py, z + 0.5::DOUBLE AS pz FROM vox),
+r AS (SELECT 'ball' AS name, grey, pow(px - 30, 2) + pow(py - 30, 2) + pow(pz - 30, 2) <= 306.25 AS inside FROM v
+UNION ALL SELECT 'drilled', grey, px >= 4 AND px < 50 AND py >= 5 AND py < 47.5 AND pz >= 6 AND pz < 60 AND NOT {_rod((0, 20, 20), (64, 24, 40), 9)} FROM v
+UNION ALL SELECT 'both', grey, {_rod((10, 10, 0), (10, 12, 64), 8)} OR pow(px - 48, 2) + pow(py - 48, 2) + pow(pz - 48, 2) <= 144 FROM v
+UNION ALL SELECT 'whole', grey, true FROM v)
+SELECT name, count(*) FILTER (inside)::BIGINT AS voxels, round(coalesce(sum(grey - 1) FILTER (inside), 0) / 99.0::DOUBLE, 6) AS volume_mm3 FROM r GROUP BY name"""
+)
+def region_volumes(spark, sf_dir):
+    found = region.region_volumes(parts(spark, sf_dir), {n: region.Region.of_zone(z) for n, z in SOLIDS.items()}, 100.0, 1.0)
+    return found.withColumn("volume_mm3", F.round("volume_mm3", 6))
+
+
 @query()
 def porosity_analysis(spark, sf_dir):
     s = synthetic.Scan(synthetic.box((4.0, 3.0, 3.0)), size=48, pitch=0.25, balls=[((1.0, 0.0, 0.0), 0.6), ((-2.0, 1.0, 0.5), 0.7)], noise=100.0)
