@@ -94,6 +94,48 @@ def with_halo(voxels: DataFrame, brick: int, halo: int) -> DataFrame:
     return df
 
 
+def _box_sums(a: np.ndarray, radius: int) -> np.ndarray:
+    """Sums over boxes of 2 radius + 1 values a side around every place; what lies outside is zero."""
+    for axis in range(a.ndim):
+        line = np.moveaxis(a, axis, 0)
+        out = line.copy()
+        for k in range(1, radius + 1):
+            out[k:] += line[:-k]
+            out[:-k] += line[k:]
+        a = np.moveaxis(out, 0, axis)
+    return a
+
+
+def patch_means(grey: np.ndarray, active: np.ndarray, sigma: float, strength: float, search: int, patch: int, cut: float) -> np.ndarray:
+    """Non-local means of the values of a box, right where search + patch places around lie in the box. A pair of places is
+    compared once and weighs the same for both, so half of the offsets do."""
+    total, weight, top = np.zeros_like(grey), np.zeros_like(grey), np.zeros_like(grey)
+    full = bool(active.all())
+    reach = range(-search, search + 1)
+    for offset in [(i, j, k) for i in reach for j in reach for k in reach if (i, j, k) > (0, 0, 0)]:
+        here = tuple(slice(max(0, -d), n - max(0, d)) for d, n in zip(offset, grey.shape, strict=True))
+        there = tuple(slice(max(0, d), n - max(0, -d)) for d, n in zip(offset, grey.shape, strict=True))
+        d = grey[here] - grey[there]
+        d *= d
+        if full:
+            m, ok = float((2 * patch + 1) ** 3), True
+        else:
+            both = active[here] * active[there]
+            d *= both
+            m, ok = np.maximum(_box_sums(both, patch), 1), both > 0
+        r = _box_sums(d, patch)
+        r /= m
+        r /= 2 * sigma * sigma
+        r = np.where((r <= cut) & ok, r, np.inf)
+        w = np.exp(-r / strength)
+        for own, other in ((here, there), (there, here)):
+            total[own] += w * grey[other]
+            weight[own] += w
+            np.maximum(top[own], w, out=top[own])
+    own = np.where(top > 0, top, 1.0)
+    return (total + own * grey) / (weight + own)
+
+
 def non_local_means(voxels: DataFrame, sigma: float, strength: float = 1.0, search: int = 3, patch: int = 1, cut: float = 1.3, brick: int = 32) -> DataFrame:
     """(x, y, z, value): each active voxel as the mean of the voxels around it, weighted by how alike their patches are.
     Weights are exp(-r / strength) for r, the mean squared patch difference over twice the noise variance, up to
@@ -107,26 +149,7 @@ def non_local_means(voxels: DataFrame, sigma: float, strength: float = 1.0, sear
         active = np.zeros((n, n, n))
         at = tuple(pdf[c].to_numpy() - b for c, b in zip("xyz", base, strict=True))
         grey[at], active[at] = pdf["grey"].to_numpy(), 1.0
-        total, weight, top = np.zeros_like(grey), np.zeros_like(grey), np.zeros_like(grey)
-        for dx in range(-search, search + 1):
-            for dy in range(-search, search + 1):
-                for dz in range(-search, search + 1):
-                    if (dx, dy, dz) == (0, 0, 0):
-                        continue
-                    other = np.roll(grey, (-dx, -dy, -dz), (0, 1, 2))
-                    there = np.roll(active, (-dx, -dy, -dz), (0, 1, 2))
-                    both = active * there
-                    d, m = (grey - other) ** 2 * both, both
-                    for axis in range(3):
-                        d = sum(np.roll(d, k, axis) for k in range(-patch, patch + 1))
-                        m = sum(np.roll(m, k, axis) for k in range(-patch, patch + 1))
-                    r = d / np.maximum(m, 1) / (2 * sigma * sigma)
-                    w = np.where((r <= cut) & (there > 0), np.exp(-r / strength), 0.0)
-                    total += w * other
-                    weight += w
-                    top = np.maximum(top, w)
-        own = np.where(top > 0, top, 1.0)
-        value = (total + own * grey) / (weight + own)
+        value = patch_means(grey, active, sigma, strength, search, patch, cut)
         inner = np.ones(len(pdf), dtype=bool)
         for a in at:
             inner &= (a >= halo) & (a < brick + halo)
