@@ -12,6 +12,7 @@ from pyspark.sql import Window
 
 from brickwise.functions.keys import offsets
 from brickwise.operators.components import components
+from brickwise.operators.ranking import running
 
 
 def radial_profiles(voxels: DataFrame, centre: tuple[float, float], angles: int, radii: int) -> DataFrame:
@@ -59,10 +60,9 @@ def peaks(rows: DataFrame, by: list[str], order: str, value: str, least: float)
 def two_classes(rows: DataFrame, value: str) -> DataFrame:
     """One row (low_count, low_mean, high_mean, distinct): the split of the sorted values with the least sum of squares
     within; distinct if the smaller share, the gap and the gap by the high mean are large enough."""
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     v = F.col(value)
     every = rows.agg(F.count("*").alias("n"), F.sum(v).alias("sa"), F.sum(v * v).alias("qa"))
-    c = rows.select(v.alias("v"), F.count("*").over(w).alias("k"), F.sum(v).over(w).alias("s"), F.sum(v * v).over(w).alias("q")).join(F.broadcast(every)).where("k < n")
+    c = running(rows.select(v.alias("v")), [F.col("v")], {"k": F.lit(1), "s": F.col("v"), "q": F.col("v") * F.col("v")}).join(F.broadcast(every)).where("k < n")
     rest = F.col("n") - F.col("k")
     ss = F.round(F.col("q") - F.col("s") ** 2 / F.col("k") + F.col("qa") - F.col("q") - (F.col("sa") - F.col("s")) ** 2 / rest, 3)
     best = c.withColumn("ss", ss).agg(F.min_by(F.struct("k", "n", "s", "sa", "ss"), F.struct("ss", "k")).alias("m"))

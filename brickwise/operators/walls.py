@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from brickwise.operators.filters import with_halo
 from brickwise.operators.graph import FEW_EDGES, connected_components
+from brickwise.operators.ranking import ranks
 from brickwise.operators.surface import cross_of, extract_surface, surface_samples
 
 CORNERS = [f"{c}{k}" for k in (1, 2, 3) for c in "xyz"]
@@ -223,10 +224,7 @@ def thin_regions(points: DataFrame, least: float, reach: float) -> DataFrame:
     named = thin.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     sides = [F.max(c) - F.min(c) for c in "xyz"]
     found = named.groupBy("root").agg(F.count("*").alias("n"), F.min("thickness").alias("least"), *[F.avg(c).alias(f"c{c}") for c in "xyz"], F.greatest(*sides).alias("size"))
-    # One row for each region: few enough to be numbered in one place.
-    from pyspark.sql import Window
-
-    return found.withColumn("region", F.row_number().over(Window.orderBy(F.desc("n"), "root"))).drop("root")
+    return ranks(found, [F.desc("n"), F.col("root")], "region").drop("root")
 
 
 def display_mesh(voxels: DataFrame, iso: float, budget: int, levels: int = 6, fill: float = 0.0) -> tuple[int, DataFrame]:

@@ -11,6 +11,7 @@ from brickwise.operators import blocks, bricks, distance, histogram, volume
 from brickwise.operators.components import component_statistics, components, faces, keep_largest
 from brickwise.operators.generate import phantom_volume
 from brickwise.operators.graph import stage
+from brickwise.operators.ranking import ranks
 from brickwise.plans.volumes import BOX, FLAGSHIP, HALF, PARTS, SMALL, TEXTURE, parts, phantom_sql, small_phantom, table, texture
 
 Q: dict = {}
@@ -285,11 +286,9 @@ def morton_order(spark, sf_dir):
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY regexp_replace(p_brand, '[0-9]+', ''), lpad(p_partkey::VARCHAR, 12, '0'))::INT AS place FROM part")
 def natural_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     p = table(spark, sf_dir, "part")
     name = F.concat(F.regexp_replace("p_brand", "[0-9]+", ""), F.lit("-"), F.col("p_partkey").cast("string"))
-    return p.select("p_partkey", F.row_number().over(Window.orderBy(natural_key(name))).alias("place"))
+    return ranks(p.select("p_partkey", natural_key(name).alias("key")), [F.col("key")], "place").select("p_partkey", F.col("place").cast("int").alias("place"))
 
 
 @query(f"WITH RECURSIVE {SPARSE}, {reach(6)} SELECT x, y, z, component FROM k JOIN cc USING (key)")
