@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brickwise.operators import bricks, cells, decide, hardening, histogram, inspect, materials, plan, region, report, shape, synthetic, walls
+from brickwise.operators import bricks, cells, decide, hardening, histogram, inspect, materials, noise, plan, region, report, shape, synthetic, walls
 from brickwise.operators.blocks import BX, block_columns
+from brickwise.operators.volume import voxelise
 from brickwise.plans.volumes import HALF, PARTS, SMALL, parts, small_phantom, table, texture
 
 Q: dict = {}
@@ -320,6 +321,20 @@ def region_volumes(spark, sf_dir):
     return found.withColumn("volume_mm3", F.round("volume_mm3", 6))
 
 
+@query(
+    """WITH vox AS (SELECT (l_partkey % 64 // 4)::INT AS x, (l_suppkey % 64 // 4)::INT AS y, (l_orderkey % 64 // 4)::INT AS z, sum(l_quantity::INT)::BIGINT AS grey FROM lineitem GROUP BY ALL),
+full_ AS (SELECT x // 8 AS i, y // 8 AS j, z // 8 AS k FROM vox GROUP BY 1, 2, 3 HAVING count(*) = 512 AND avg(grey) >= 10), f AS (SELECT vox.*, i, j, k FROM vox JOIN full_ ON x // 8 = i AND y // 8 = j AND z // 8 = k),
+o AS (SELECT a.r AS dx, b.r AS dy, c.r AS dz FROM range(-3, 4) a(r), range(-3, 4) b(r), range(-3, 4) c(r) WHERE (c.r, b.r, a.r) > (0, 0, 0)),
+p AS (SELECT dx, dy, dz, count(*) AS n, sum((a.grey - b.grey) * (a.grey - b.grey))::DOUBLE AS s FROM f a CROSS JOIN o JOIN f b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz AND a.i = b.i AND a.j = b.j AND a.k = b.k GROUP BY 1, 2, 3),
+g AS (SELECT sqrt(sum(s) / sum(n) / 2) AS sigma FROM p WHERE greatest(abs(dx), abs(dy), abs(dz)) = 3)
+SELECT dx::INT AS dx, dy::INT AS dy, dz::INT AS dz, n::BIGINT AS n, round(s / n, 6) AS variance, round(sigma, 6) AS sigma, round(1 - s / n / (2 * sigma * sigma), 6) AS correlation FROM p, g"""
+)
+def noise_model(spark, sf_dir):
+    at = lambda c: F.floor(F.col(c) % 64 / 4).cast("int")
+    volume = voxelise(table(spark, sf_dir, "lineitem"), at("l_partkey"), at("l_suppkey"), at("l_orderkey"), F.col("l_quantity"))
+    return noise.noise_model(volume, 10.0).select("dx", "dy", "dz", "n", *[F.round(c, 6).alias(c) for c in ("variance", "sigma", "correlation")])
+
+
 @query()
 def porosity_analysis(spark, sf_dir):
     s = synthetic.Scan(synthetic.box((4.0, 3.0, 3.0)), size=48, pitch=0.25, balls=[((1.0, 0.0, 0.0), 0.6), ((-2.0, 1.0, 0.5), 0.7)], noise=100.0)

@@ -11,7 +11,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickwise.operators import blocks, components, filters, histogram, inspect, levelset, materials, mixture, surface, walls
+from brickwise.operators import blocks, components, filters, histogram, inspect, levelset, materials, mixture, noise, surface, walls
 from brickwise.sources import images, metadata, raw, store
 
 TYPES = {"integer": int, "number": (int, float), "string": str, "boolean": bool, "array": list, "object": dict}
@@ -188,8 +188,14 @@ def _measure(spark: SparkSession, dataset: DataFrame, pitch: float, min_voxels:
     return materials.measure(components.components(dataset, 6, "material"), pitch, min_voxels)
 
 
-@operation("denoise", ("dataset",), "dataset", sigma=NUMBER, strength=NUMBER | {"default": 1.0}, search={"type": "integer", "minimum": 1, "maximum": 5, "default": 3})
+@operation("denoise", ("dataset",), "dataset", sigma=NUMBER | {"default": 0}, strength=NUMBER | {"default": 1.0}, search={"type": "integer", "minimum": 1, "maximum": 5, "default": 3})
 def _denoise(spark: SparkSession, dataset: DataFrame, sigma: float, strength: float, search: int) -> DataFrame:
+    """A sigma of 0 is measured, from blocks above Otsu's threshold."""
+    if not sigma:
+        row = noise.noise_model(dataset, _threshold(dataset, 0)).first()
+        if row is None:
+            raise ValueError("denoise: no block of the part tells the noise; give sigma")
+        sigma = row["sigma"]
     got = filters.non_local_means(dataset, sigma, strength, search)
     return got.select("x", "y", "z", F.floor(F.col("value") + 0.5).cast("int").alias("grey"))
 
