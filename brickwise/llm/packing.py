@@ -28,7 +28,7 @@ MARKS = frozenset(".,;:!?")
 LINES = 64
 #: Texts with a stretch of white space whose parts aren't each of their own, with white space other than blanks and line ends, or
 #: with characters that engines class differently. All others may be cut before every blank and around every line end.
-ENTWINED = "[ \n]{3}|[ \n]{2}\\z|[\\x00\\t\\x0b-\\x0d\\x1c-\\x1f\u0085  ᠎ -​    ⁠　﻿]"
+ENTWINED = "[ \n]{3}|[ \n]{2}\\z|[\\x00\\t\\x0b-\\x0d\\x1c-\\x1f\u0085\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 
 
 class Encoder:
