@@ -11,7 +11,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickwise.operators import blocks, components, filters, histogram, inspect, levelset, materials, mixture, noise, surface, walls
+from brickwise.operators import blocks, components, decide, filters, histogram, inspect, levelset, materials, mixture, noise, shape, surface, walls
+from brickwise.operators.graph import stage
 from brickwise.sources import images, metadata, raw, store
 
 TYPES = {"integer": int, "number": (int, float), "string": str, "boolean": bool, "array": list, "object": dict}
@@ -173,9 +174,13 @@ def _porosity(spark: SparkSession, dataset: DataFrame, threshold: float, min_por
     return inspect.analyse(dataset, size, tuple(map(float, pitch)), threshold if threshold > 0 else None, min_pore_voxels, zone_void, zone_sigma, min_zone_blocks).pores
 
 
-@operation("segment_materials", ("dataset",), "materials", threshold=NUMBER | {"default": 0}, cuts={"type": "array", "default": []}, min_neighbours={"type": "integer", "minimum": 1, "maximum": 27, "default": 6})
-def _segment(spark: SparkSession, dataset: DataFrame, threshold: float, cuts: list, min_neighbours: int) -> DataFrame:
-    return materials.segment(dataset, _threshold(dataset, threshold), cuts, min_neighbours)
+@operation("segment_materials", ("dataset",), "materials", threshold=NUMBER | {"default": 0}, cuts={"type": "array", "default": []}, classes={"type": "integer", "minimum": 1, "maximum": 8, "default": 1}, min_neighbours={"type": "integer", "minimum": 1, "maximum": 27, "default": 6})
+def _segment(spark: SparkSession, dataset: DataFrame, threshold: float, cuts: list, classes: int, min_neighbours: int) -> DataFrame:
+    """Without cuts, those between so many classes of material: valleys between clear peaks, or multi-Otsu's."""
+    t = _threshold(dataset, threshold)
+    if not cuts and classes > 1:
+        cuts = decide.material_cuts(decide.counts_of(histogram.grey_histogram(dataset)), t, classes)
+    return materials.segment(dataset, t, cuts, min_neighbours)
 
 
 @operation("suggest_materials", ("dataset",), "suggestion")
@@ -200,9 +205,11 @@ def _denoise(spark: SparkSession, dataset: DataFrame, sigma: float, strength: fl
     return got.select("x", "y", "z", F.floor(F.col("value") + 0.5).cast("int").alias("grey"))
 
 
-@operation("fibre_orientation", ("dataset",), "fibre_orientation", block={"type": "integer", "minimum": 2, "default": 16})
-def _fibres(spark: SparkSession, dataset: DataFrame, block: int) -> DataFrame:
-    return filters.fibre_directions(filters.structure_tensors(dataset, block), max(1, block**3 // 4))
+@operation("fibre_orientation", ("dataset",), "fibre_orientation", block={"type": "integer", "minimum": 2, "default": 16}, families={"type": "integer", "minimum": 1, "maximum": 8, "default": 1})
+def _fibres(spark: SparkSession, dataset: DataFrame, block: int, families: int) -> DataFrame:
+    """Directions by block, each with the family of near directions that it belongs to, 0 the largest."""
+    found = stage(filters.fibre_directions(filters.structure_tensors(dataset, block), max(1, block**3 // 4)), "fibres")
+    return shape.direction_families(found, families)
 
 
 @operation("surface", ("dataset",), "surface", iso=NUMBER, fill=NUMBER | {"default": 0.0})

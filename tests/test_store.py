@@ -87,3 +87,22 @@ def test_voxel_sizes_reach_later_steps(spark, tmp_path):
     assert np.isclose(Project.open(spark, str(tmp_path / "p")).latest("dataset")["volume"]["pitch_z_mm"], 1.0)
     with pytest.raises(ValueError, match="no stored volume"):
         p.run("open_dataset", {"path": str(tmp_path / "scan"), "level": 1})
+
+
+def test_materials_by_classes_and_families_of_fibres(spark, tmp_path):
+    """A box of two halves of 20000 and 8000, and walls that run along y in one half and along z in the other."""
+    i = F.col("id")
+    x, y, z = (i % 32).cast("int"), (F.floor(i / 32) % 32).cast("int"), F.floor(i / 1024).cast("int")
+    inside = (x >= 2) & (x < 30) & (y >= 2) & (y < 30) & (z >= 2) & (z < 30)
+    grey = F.when(inside & (x < 16), 20_000).when(inside, 8000).otherwise(1000) + (i * 7919 % 601).cast("int")
+    spark.range(32**3).select(x.alias("x"), y.alias("y"), z.alias("z"), grey.cast("int").alias("grey")).write.parquet(str(tmp_path / "two"))
+    p = Project.open(spark, str(tmp_path / "p"))
+    p.run("open_dataset", {"path": str(tmp_path / "two")})
+    done = p.result(p.run("segment_materials", {"threshold": 4000, "classes": 2}))
+    found = {(r.material, r.left): r.n for r in done.groupBy("material", (F.col("x") < 16).alias("left")).agg(F.count("*").alias("n")).collect()}
+    assert found[2, True] > 0.9 * 14 * 28 * 28 and found[1, False] > 0.9 * 14 * 28 * 28
+    stripes = F.when(F.col("y") < 16, F.sin(F.col("x") * 1.3 + F.col("y") * 0.0)).otherwise(F.sin(F.col("z") * 1.3)) + F.when(F.col("y") < 16, F.sin(F.col("z") * 1.1)).otherwise(F.sin(F.col("y") * 1.1))
+    spark.range(32**3).select(x.alias("x"), y.alias("y"), z.alias("z")).withColumn("grey", (5000 + 1000 * stripes).cast("int")).write.parquet(str(tmp_path / "fibres"))
+    p.run("open_dataset", {"path": str(tmp_path / "fibres")})
+    rows = p.result(p.run("fibre_orientation", {"block": 16, "families": 2})).collect()
+    assert len(rows) == 8 and {(r.by, r.family) for r in rows} in ({(0, 0), (1, 1)}, {(0, 1), (1, 0)})
