@@ -51,13 +51,13 @@ def void_fraction(material: float, air: float) -> Column:
 
 def pore_volumes(voxels: DataFrame, pores: DataFrame, material: float, air: float, voxel_mm3: float = 1.0) -> DataFrame:
     """(component, volume_mm3, cx, cy, cz): the void fractions of each pore and its one-voxel shell, not clamped in the
-    volume, clamped in the centre. A voxel in the shells of two pores counts for both."""
+    volume, clamped in the centre, which is NaN where nothing of the clamped sum is left. A voxel in the shells of two pores counts for both."""
     shifts = F.array(*[F.struct(*[F.lit(d).alias(c) for d, c in zip(o, "xyz", strict=True)]) for o in [(0, 0, 0), *offsets(26)]])
     shell = pores.select("component", "x", "y", "z", F.explode(shifts).alias("o")).select("component", *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in "xyz"]).distinct()
     f = shell.join(voxels.select("x", "y", "z", "grey"), ["x", "y", "z"], "left").withColumn("f", void_fraction(material, air))
     c = F.least(F.greatest("f", F.lit(0.0)), F.lit(1.0))
     sums = f.groupBy("component").agg((F.sum("f") * voxel_mm3).alias("volume_mm3"), F.sum(c).alias("w"), *[F.sum(c * F.col(a)).alias(f"s{a}") for a in "xyz"])
-    return sums.select("component", "volume_mm3", *[(F.col(f"s{a}") / F.col("w")).alias(f"c{a}") for a in "xyz"])
+    return sums.select("component", "volume_mm3", *[F.when(F.col("w") > 0, F.col(f"s{a}") / F.col("w")).otherwise(F.lit(float("nan"))).alias(f"c{a}") for a in "xyz"])
 
 
 def material_level(statistics: DataFrame, most_below: int = 32, full: int = 512) -> DataFrame:
