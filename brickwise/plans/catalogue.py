@@ -7,9 +7,19 @@ from brickwise.plans import analysis_queries, grid_queries, inspection_queries,
 MODULES = (grid_queries, analysis_queries, kernel_queries, inspection_queries)
 
 
+def _gathered(parts: list[dict]) -> dict:
+    """All parts in one; a name that two of them have would hide a query."""
+    out: dict = {}
+    for part in parts:
+        if twice := out.keys() & part.keys():
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        out |= part
+    return out
+
+
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in m.Q.items()}
+    return _gathered([m.Q for m in MODULES])
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    return _gathered([m.SQL for m in MODULES])

@@ -50,7 +50,7 @@ def surface_mesh(spark, sf_dir):
 
 
 @query
-def surface_codes(spark, sf_dir):
+def surface_band_codes(spark, sf_dir):
     from brickwise.operators import levelset
 
     return levelset.surface_codes(texture(spark, sf_dir), 985.0, 2.0, 8, 16)
