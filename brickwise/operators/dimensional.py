@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 KINDS = ("plane", "sphere", "cylinder", "point")
 
 
-def _fit(kind: str, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """(centre, direction, radius, residuals) of one least-squares fit."""
-    c = p.mean(axis=0)
+def _fit(kind: str, p: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """(centre, direction, radius, residuals) of one least-squares fit of places that count w times each."""
+    c = np.average(p, axis=0, weights=w)
     if kind == "point":
         return c, np.zeros(3), 0.0, np.linalg.norm(p - c, axis=1)
-    _, _, axes = np.linalg.svd(p - c, full_matrices=False)
+    often = np.sqrt(w)
+    _, _, axes = np.linalg.svd(often[:, None] * (p - c), full_matrices=False)
     if kind == "plane":
         n = axes[2] * (1 if axes[2][np.abs(axes[2]).argmax()] > 0 else -1)
         return c, n, 0.0, (p - c) @ n
     if kind == "sphere":
         a = np.c_[2 * p, np.ones(len(p))]
-        s = np.linalg.lstsq(a, (p**2).sum(1), rcond=None)[0]
+        s = np.linalg.lstsq(often[:, None] * a, often * (p**2).sum(1), rcond=None)[0]
         r = float(np.sqrt(max(s[3] + s[:3] @ s[:3], 0)))
         return s[:3], np.zeros(3), r, np.linalg.norm(p - s[:3], axis=1) - r
     best = None
@@ -32,47 +33,49 @@ def _fit(kind: str, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.nd
             u /= np.linalg.norm(u)
             v = np.cross(d, u)
             q = np.c_[(p - c) @ u, (p - c) @ v]
-            s = np.linalg.lstsq(np.c_[2 * q, np.ones(len(q))], (q**2).sum(1), rcond=None)[0]
+            s = np.linalg.lstsq(often[:, None] * np.c_[2 * q, np.ones(len(q))], often * (q**2).sum(1), rcond=None)[0]
             r = float(np.sqrt(max(s[2] + s[0] ** 2 + s[1] ** 2, 1e-18)))
             away = q - s[:2]
             length = np.maximum(np.linalg.norm(away, axis=1), 1e-12)
             e = length - r
             t = (p - c) @ d
             j = np.c_[-away[:, 0] / length * t, -away[:, 1] / length * t, -away / length[:, None], -np.ones(len(q))]
-            step = np.linalg.lstsq(j, -e, rcond=None)[0]
+            step = np.linalg.lstsq(often[:, None] * j, -often * e, rcond=None)[0]
             d = d + step[0] * u + step[1] * v
             d /= np.linalg.norm(d)
             if np.abs(step[:2]).max() < 1e-12:
                 break
-        found = (float((e**2).sum()), c + s[0] * u + s[1] * v, d, r, e)
+        found = (float((w * e**2).sum()), c + s[0] * u + s[1] * v, d, r, e)
         best = found if best is None or found[0] < best[0] else best
     d = best[2] * (1 if best[2][np.abs(best[2]).argmax()] > 0 else -1)
     return best[1], d, best[3], best[4]
 
 
-def fit_element(kind: str, points: np.ndarray) -> dict:
-    """A fit, points beyond three times the RMS dropped, at most twice."""
+def fit_element(kind: str, points: np.ndarray, counts: np.ndarray | None = None) -> dict:
+    """A fit of points, each counted once or as often as is said; points beyond three times the RMS dropped, at most twice."""
     if kind not in KINDS:
         raise ValueError(f"unknown element {kind!r}")
+    w = np.ones(len(points)) if counts is None else np.asarray(counts, dtype=float)
     for _ in range(3):
-        centre, direction, radius, e = _fit(kind, points)
-        rms = float(np.sqrt((e**2).mean()))
+        centre, direction, radius, e = _fit(kind, points, w)
+        rms = float(np.sqrt(np.average(e**2, weights=w)))
         keep = np.abs(e) <= 3 * rms
-        if keep.all() or keep.sum() < 6:
+        if keep.all() or w[keep].sum() < 6:
             break
-        points = points[keep]
-    return {"cx": centre[0], "cy": centre[1], "cz": centre[2], "dx": direction[0], "dy": direction[1], "dz": direction[2], "radius": radius, "rms": rms, "form": float(e.max() - e.min()), "n": len(points)}
+        points, w = points[keep], w[keep]
+    return {"cx": centre[0], "cy": centre[1], "cz": centre[2], "dx": direction[0], "dy": direction[1], "dz": direction[2], "radius": radius, "rms": rms, "form": float(e.max() - e.min()), "n": int(w.sum())}
 
 
 def fit_elements(points: DataFrame) -> DataFrame:
-    """One row for each element of points(element, kind, x, y, z): a group is one element's points, a kernel each."""
+    """One row for each element of points(element, kind, x, y, z): a group is one element's different places with how often each occurs, a
+    kernel each. Equal points are counted before the shuffle, so a kernel's memory goes with the places, 32 bytes each."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fit_element(pdf["kind"].iloc[0], pdf[["x", "y", "z"]].to_numpy(float))
+        out = fit_element(pdf["kind"].iloc[0], pdf[["x", "y", "z"]].to_numpy(float), pdf["often"].to_numpy())
         return pd.DataFrame([{"element": pdf["element"].iloc[0], "kind": pdf["kind"].iloc[0], **out}])
 
     schema = "element string, kind string, cx double, cy double, cz double, dx double, dy double, dz double, radius double, rms double, form double, n long"
-    return points.groupBy("element", "kind").applyInPandas(run, schema)
+    return points.groupBy("element", "kind", "x", "y", "z").agg(F.count("*").alias("often")).groupBy("element", "kind").applyInPandas(run, schema)
 
 
 def element_distances(pairs: DataFrame) -> DataFrame:
