@@ -162,7 +162,7 @@ def characteristic_values(plan: DataFrame, elements: DataFrame, nominal: DataFra
 
 
 def extract_points(points: DataFrame, nominal: DataFrame, search: float, margin: float, angle: float = 30.0) -> DataFrame:
-    """points (x, y, z, nx, ny, nz) with element and kind: those within the search distance of a nominal element (element,
+    """points (x, y, z, nx, ny, nz, ...) with element and kind: those within the search distance of a nominal element (element,
     kind, cx .. dz, radius, length), whose normals agree within an angle, and that stay a margin away from its edges. The
     elements are a plan's handful; Spark broadcasts them by their size."""
     e = nominal.select(*[F.col(c).alias(f"b_{c}") for c in ("element", "kind", "cx", "cy", "cz", "dx", "dy", "dz", "radius", "length")])
@@ -178,7 +178,8 @@ def extract_points(points: DataFrame, nominal: DataFrame, search: float, margin:
     facing = F.when(plane, _dot(n, _vector("b", "d"))).when(cylinder, _dot(n, across) / off).when(sphere, _dot(n, w) / far).otherwise(F.lit(1.0))
     inner = F.when(plane, off <= F.col("b_length") / 2 - margin).when(cylinder, F.abs(along) <= F.col("b_length") / 2 - margin).otherwise(F.lit(True))
     kept = both.where((F.abs(distance) <= search) & (F.abs(facing) >= math.cos(math.radians(angle))) & inner)
-    return kept.select(F.col("b_element").alias("element"), F.col("b_kind").alias("kind"), "x", "y", "z", distance.alias("deviation"))
+    others = [c for c in points.columns if c not in ("x", "y", "z", "nx", "ny", "nz")]
+    return kept.select(F.col("b_element").alias("element"), F.col("b_kind").alias("kind"), "x", "y", "z", distance.alias("deviation"), *others)
 
 
 def find_features(triangles: np.ndarray, angle: float = 10.0, form: float = 1e-3, least: int = 4) -> pd.DataFrame:
