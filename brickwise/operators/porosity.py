@@ -165,45 +165,52 @@ def closest_pores(pores: DataFrame, voxel: tuple[float, float, float] = (1.0, 1.
     """(a, b, gap): of the pores (component, x, y, z) the two that come closest, a < b, and how much lies between their voxels, in
     units of the voxel sizes; touching pores have gap 0, and of equal gaps the smallest pair counts. Fewer than two pores give no row.
 
-    There is no reach. Pores become sets of cells, twice as wide from round to round, until cells of two pores are neighbours: counts by cell tell,
-    no pairs are made. From there the pairs of near cells are refined, half as wide a round, and only those are kept that can
-    still hold a gap as small as the best upper bound, down to the voxels themselves; so what is compared is what lies near the answer."""
+    There is no reach. Pores become sets of cells, wide ones first and half as wide from round to round, until no cells of two pores are neighbours:
+    counts by cell tell, no pairs are made, and narrow cells, which are many, are made only if pores are as close. From the last width with
+    neighbours the pairs of near cells are refined, half as wide a round, and only those are kept that can
+    still hold a gap as small as the best upper bound, down to the voxels themselves. A cell's bounds are those of the voxels that it holds, and a voxel of each is
+    tried, so what is compared is what lies near the answer."""
     around = F.array(*[F.struct(*[F.lit(d).alias(c) for d, c in zip(o, "xyz", strict=True)]) for o in [(0, 0, 0), *offsets(26)]])
     own = stage(pores.select("component", "x", "y", "z").distinct(), "pore-cells")
+    sides = [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
 
     def cells(k: int) -> DataFrame:
-        return own.select("component", *[F.shiftright(c, k).alias(c) for c in "xyz"]).distinct()
+        return own.groupBy("component", *[F.shiftright(c, k).alias(f"c{c}") for c in "xyz"]).agg(*sides, F.min(F.struct("x", "y", "z")).alias("some"))
 
-    def sent(rows: DataFrame) -> DataFrame:
-        return rows.select("component", *[F.col(c).alias(f"o{c}") for c in "xyz"], F.explode(around).alias("s")).select("component", "ox", "oy", "oz", *[(F.col(f"o{c}") + F.col(f"s.{c}")).alias(c) for c in "xyz"])
+    def sent(k: int) -> DataFrame:
+        rows = own.select("component", *[F.shiftright(c, k).alias(f"o{c}") for c in "xyz"]).distinct()
+        return rows.select("component", "ox", "oy", "oz", F.explode(around).alias("s")).select("component", "ox", "oy", "oz", *[(F.col(f"o{c}") + F.col(f"s.{c}")).alias(c) for c in "xyz"])
 
     ends = own.agg(F.min("component"), F.max("component"), *[f(c) for c in "xyz" for f in (F.min, F.max)]).first()
     if ends[0] is None or ends[0] == ends[1]:
         return pores.sparkSession.createDataFrame([], "a long, b long, gap double")
-    level = 0
-    while sent(cells(level)).groupBy("x", "y", "z").agg((F.min("component") != F.max("component")).alias("met")).where("met").isEmpty():
-        level += 1
+    # Cells as wide as all pores together are neighbours; if a width has neighbours, so has every larger one.
+    level = max(hi - lo for lo, hi in zip(ends[2::2], ends[3::2], strict=True)).bit_length()
+    while level and not sent(level - 1).groupBy("x", "y", "z").agg((F.min("component") != F.max("component")).alias("met")).where("met").isEmpty():
+        level -= 1
     # Neighbours of that width bound the gap by less than two cells' width each way. Cells wide enough for such a gap along any axis are neighbours.
     level += math.ceil(math.log2(2 * math.hypot(*voxel) / min(voxel)))
-    top = cells(level)
-    pairs = sent(top).withColumnRenamed("component", "a").join(top.withColumnRenamed("component", "b"), ["x", "y", "z"]).where("a < b")
+    tops = own.select("component", *[F.shiftright(c, level).alias(c) for c in "xyz"]).distinct()
+    pairs = sent(level).withColumnRenamed("component", "a").join(tops.withColumnRenamed("component", "b").hint("merge"), ["x", "y", "z"]).where("a < b")
     pairs = pairs.select("a", "b", *[F.col(f"o{c}").alias(f"a{c}") for c in "xyz"], *[F.col(c).alias(f"b{c}") for c in "xyz"])
 
-    def bound(side: int, most: bool) -> Column:
-        apart = [F.abs(F.col(f"a{c}") - F.col(f"b{c}")) for c in "xyz"]
-        gaps = [F.greatest((d * side + side - 2) if most else (d - 1) * side, F.lit(0)) * v for d, v in zip(apart, voxel, strict=True)]
-        return F.sqrt(sum((g * g for g in gaps), F.lit(0.0)))
+    def length(apart: list[Column]) -> Column:
+        return F.sqrt(sum(((g * v) * (g * v) for g, v in zip((F.greatest(d - 1, F.lit(0)) for d in apart), voxel, strict=True)), F.lit(0.0)))
 
     while True:
-        side = 2**level
-        pairs = stage(pairs.withColumns({"low": bound(side, False), "high": bound(side, True)}), "pore-pairs")
+        for end in "ab":
+            box = stage(cells(level), "pore-boxes") if end == "a" else box
+            pairs = pairs.join(box.select(F.col("component").alias(end), *[F.col(f"c{c}").alias(f"{end}{c}") for c in "xyz"], *[F.col(n).alias(f"{end}{n}") for n in ("some", *(f"{n}{c}" for c in "xyz" for n in ("lo", "hi")))]).hint("merge"), [end, *(f"{end}{c}" for c in "xyz")])
+        low = length([F.greatest(F.col(f"blo{c}") - F.col(f"ahi{c}"), F.col(f"alo{c}") - F.col(f"bhi{c}")) for c in "xyz"])
+        high = length([F.abs(F.col(f"asome.{c}") - F.col(f"bsome.{c}")) for c in "xyz"])
+        pairs = stage(pairs.select("a", "b", *[f"{e}{c}" for e in "ab" for c in "xyz"], low.alias("low"), high.alias("high")), "pore-pairs")
         best = pairs.agg(F.min("high")).first()[0]
         pairs = pairs.where(F.col("low") <= best)
         if not level:
             return pairs.agg(F.min(F.struct("low", "a", "b")).alias("m")).select("m.a", "m.b", F.col("m.low").alias("gap"))
         level -= 1
-        finer = cells(level)
+        finer = own.select("component", *[F.shiftright(c, level).alias(c) for c in "xyz"]).distinct()
         for end in "ab":
             child = finer.select(F.col("component").alias(end), *[F.shiftright(c, 1).alias(f"{end}{c}") for c in "xyz"], *[F.col(c).alias(f"n{c}") for c in "xyz"])
             keys = [end, *(f"{end}{c}" for c in "xyz")]
-            pairs = pairs.drop("low", "high").join(child, keys).drop(*keys[1:]).withColumnsRenamed({f"n{c}": f"{end}{c}" for c in "xyz"})
+            pairs = pairs.drop("low", "high").join(child.hint("merge"), keys).drop(*keys[1:]).withColumnsRenamed({f"n{c}": f"{end}{c}" for c in "xyz"})
