@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from brickwise.operators.filters import with_halo
-from brickwise.operators.graph import FEW_EDGES, connected_components
+from brickwise.operators.graph import FEW_EDGES, connected_components, stage
 from brickwise.operators.ranking import ranks
 from brickwise.operators.surface import cross_of, extract_surface, surface_samples
 
@@ -176,16 +176,19 @@ def wall_thickness(voxels: DataFrame, iso: float, pitch: float = 1.0, method: st
 
 def against_nominal(measured: DataFrame, nominal: DataFrame, reach: float) -> DataFrame:
     """measured points (id, x, y, z, thickness) with nominal, the thickness of the nearest nominal point (x, y, z,
-    thickness) within reach, and actual minus nominal. Points meet by cells as wide as the reach."""
-    cell = lambda c: F.floor(F.col(c) / reach).cast("int")
+    thickness) within reach, and actual minus nominal. Different places meet by cells as wide as the reach, once each: of nominal points in one
+    place the least thickness counts, and measured points in one place have the same nominal."""
+    cell = lambda c: F.floor(F.col(c) / reach)
     span = F.sequence(F.lit(-1), F.lit(1))
-    own = nominal.where("thickness is not null").select(*[cell(c).alias(f"g{c}") for c in "xyz"], *[F.col(c).alias(f"q{c}") for c in "xyz"], F.col("thickness").alias("nominal"))
-    around = measured.select("*", F.explode(span).alias("i")).select("*", F.explode(span).alias("j")).select("*", F.explode(span).alias("k"))
-    around = around.select("id", "x", "y", "z", *[(cell(c) + F.col(o)).alias(f"g{c}") for c, o in zip("xyz", "ijk", strict=True)])
+    places = nominal.where("thickness is not null").groupBy("x", "y", "z").agg(F.min("thickness").alias("nominal"))
+    own = places.select(*[cell(c).alias(f"g{c}") for c in "xyz"], *[F.col(c).alias(f"q{c}") for c in "xyz"], "nominal")
+    around = measured.select("x", "y", "z").distinct().select("*", F.explode(span).alias("i")).select("*", F.explode(span).alias("j")).select("*", F.explode(span).alias("k"))
+    around = around.select("x", "y", "z", *[(cell(c) + F.col(o)).alias(f"g{c}") for c, o in zip("xyz", "ijk", strict=True)])
     d2 = sum(((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in "yz"), (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")))
-    near = around.join(own, ["gx", "gy", "gz"]).select("id", d2.alias("d2"), "nominal").where(F.col("d2") <= reach * reach)
-    best = near.groupBy("id").agg(F.min(F.struct("d2", "nominal")).alias("m"))
-    return measured.join(best, "id", "left").select(*measured.columns, F.col("m.nominal").alias("nominal"), (F.col("thickness") - F.col("m.nominal")).alias("difference"))
+    near = around.join(own.hint("merge"), ["gx", "gy", "gz"]).select("x", "y", "z", d2.alias("d2"), "nominal").where(F.col("d2") <= reach * reach)
+    best = near.groupBy("x", "y", "z").agg(F.min(F.struct("d2", "nominal")).alias("m"))
+    both = measured.join(best, ["x", "y", "z"], "left")
+    return both.select(*measured.columns, F.col("m.nominal").alias("nominal"), (F.col("thickness") - F.col("m.nominal")).alias("difference"))
 
 
 def mesh_components(triangles: DataFrame, digits: int = 6) -> DataFrame:
@@ -194,7 +197,7 @@ def mesh_components(triangles: DataFrame, digits: int = 6) -> DataFrame:
     corners = [F.struct(*[F.round(F.col(f"{c}{k}"), digits).alias(c) for c in "xyz"]) for k in (1, 2, 3)]
     each = triangles.select("id", F.explode(F.array(*corners)).alias("corner"))
     least = each.groupBy("corner").agg(F.min("id").alias("b"))
-    edges = each.join(least, "corner").select(F.col("id").alias("a"), "b").where("a != b")
+    edges = each.join(least.hint("merge"), "corner").select(F.col("id").alias("a"), "b").where("a != b")
     roots = connected_components(edges, FEW_EDGES)
     return triangles.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("root", "id")).drop("root")
 
@@ -211,17 +214,69 @@ def outer_skin(triangles: DataFrame) -> DataFrame:
     return named.join(F.broadcast(largest), "component", "left_semi").drop("component", "area")
 
 
+def _linked_cells(points: DataFrame, cells: DataFrame, side: float, reach: float) -> DataFrame:
+    """(a, b) of the cells (g, rep) that hold a pair of points within reach of each other, by their representatives. Points (g, x, y, z) are
+    boxed by halves of their cells, halved again from round to round: boxes that lie within reach as a whole link their cells, which leave; boxes apart
+    go. What is left is compared point by point as soon as that is no more than a few pairs a point."""
+    limit = reach * reach
+    span = F.sequence(F.lit(-2), F.lit(2))
+    named = [F.col("g.x").alias("gx"), F.col("g.y").alias("gy"), F.col("g.z").alias("gz"), "rep"]
+    near = cells.select("rep", "g", F.explode(span).alias("i")).select("*", F.explode(span).alias("j")).select("*", F.explode(span).alias("k"))
+    near = near.select(F.col("rep").alias("a"), *[(F.col(f"g.{c}") + F.col(o)).alias(f"g{c}") for c, o in zip("xyz", "ijk", strict=True)])
+    pairs = near.join(cells.select(*named).hint("merge"), ["gx", "gy", "gz"]).where(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b"))
+    own = stage(points.join(cells.hint("merge"), "g").select("rep", "x", "y", "z"), "thin-places")
+    few = 64 * own.count() + FEW_EDGES
+
+    def boxes(k: int) -> DataFrame:
+        cell = F.struct(*[F.floor(F.col(c) / (side / 2**k)).alias(c) for c in "xyz"])
+        sides = [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+        return own.groupBy("rep", cell.alias("at")).agg(F.count("*").alias("n"), *sides)
+
+    def met(k: int, pairs: DataFrame) -> DataFrame:
+        """The pairs with every two boxes of a cell each, or with those inside the boxes of a round before, that are not apart."""
+        for end in "ab":
+            box = boxes(k).select(F.col("rep").alias(end), F.col("at").alias(f"{end}at"), *[F.col(c).alias(f"{end}{c}") for c in ("n", *SIDES)])
+            up = [f"{end}up"] if f"{end}up" in pairs.columns else []
+            if up:
+                box = box.withColumn(up[0], F.struct(*[F.floor(F.col(f"{end}at.{c}") / 2).alias(c) for c in "xyz"]))
+            pairs = pairs.join(box.hint("merge"), [end, *up]).drop(*up)
+        low = [F.greatest(F.col(f"blo{c}") - F.col(f"ahi{c}"), F.col(f"alo{c}") - F.col(f"bhi{c}"), F.lit(0.0)) for c in "xyz"]
+        high = [F.greatest(F.col(f"bhi{c}") - F.col(f"alo{c}"), F.col(f"ahi{c}") - F.col(f"blo{c}")) for c in "xyz"]
+        square = lambda d: d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+        return pairs.where(square(low) <= limit).select("a", "b", "aat", "bat", "an", "bn", (square(high) <= limit).alias("sure"))
+
+    done, k = None, 0
+    while True:
+        found = stage(met(k, pairs), "thin-pairs")
+        sure = found.where("sure").select("a", "b").distinct()
+        done = sure if done is None else done.union(sure)
+        rest = stage(found.join(sure.hint("merge"), ["a", "b"], "left_anti").drop("sure"), "thin-open")
+        if (rest.agg(F.sum(F.col("an").cast("double") * F.col("bn"))).first()[0] or 0) <= few:
+            break
+        pairs, k = rest.select("a", "b", F.col("aat").alias("aup"), F.col("bat").alias("bup")), k + 1
+    cell = F.struct(*[F.floor(F.col(c) / (side / 2**k)).alias(c) for c in "xyz"])
+    for end in "ab":
+        rest = rest.join(own.select(F.col("rep").alias(end), cell.alias(f"{end}at"), *[F.col(c).alias(f"{end}{c}") for c in "xyz"]).hint("merge"), [end, f"{end}at"])
+    d = [F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"]
+    return done.union(rest.where(d[0] * d[0] + d[1] * d[1] + d[2] * d[2] <= limit).select("a", "b").distinct())
+
+
+#: The sides of a box.
+SIDES = [f"{n}{c}" for c in "xyz" for n in ("lo", "hi")]
+
+
 def thin_regions(points: DataFrame, least: float, reach: float) -> DataFrame:
     """(region, n, least, cx, cy, cz, size) of the points (id, x, y, z, thickness) thinner than a limit that hang together
-    within a reach, numbered by size. Points meet by cells."""
-    thin = points.where(F.col("thickness") < least).select("id", "x", "y", "z", "thickness", *[F.floor(F.col(c) / reach).cast("int").alias(f"g{c}") for c in "xyz"])
-    span = F.sequence(F.lit(-1), F.lit(1))
-    around = thin.select("*", F.explode(span).alias("i")).select("*", F.explode(span).alias("j")).select("*", F.explode(span).alias("k"))
-    around = around.select(F.col("id").alias("a"), *[F.col(c).alias(f"a{c}") for c in "xyz"], *[(F.col(f"g{c}") + F.col(o)).alias(f"g{c}") for c, o in zip("xyz", "ijk", strict=True)])
-    d2 = sum(((F.col(c) - F.col(f"a{c}")) * (F.col(c) - F.col(f"a{c}")) for c in "yz"), (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")))
-    edges = around.join(thin, ["gx", "gy", "gz"]).where(F.col("a") < F.col("id")).where(d2 <= reach * reach).select("a", F.col("id").alias("b"))
-    roots = connected_components(edges, FEW_EDGES).withColumnRenamed("node", "id")
-    named = thin.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    within a reach, numbered by size. A cell whose diagonal is shorter than the reach is linked as a whole and stands for its points, however many
+    they are; links are sought between cells, among different places."""
+    side = reach / math.sqrt(3) * (1 - 1e-6)
+    cell = F.struct(*[F.floor(F.col(c) / side).alias(c) for c in "xyz"])
+    thin = points.where(F.col("thickness") < least).select("id", "x", "y", "z", "thickness", cell.alias("g"))
+    cells = stage(thin.groupBy("g").agg(F.min("id").alias("rep")), "thin-cells")
+    links = _linked_cells(thin.select("g", "x", "y", "z").distinct(), cells, side, reach)
+    roots = connected_components(links, FEW_EDGES).withColumnRenamed("node", "rep")
+    home = cells.join(roots, "rep", "left").select("g", F.coalesce("root", "rep").alias("root"))
+    named = thin.join(home.hint("merge"), "g")
     sides = [F.max(c) - F.min(c) for c in "xyz"]
     found = named.groupBy("root").agg(F.count("*").alias("n"), F.min("thickness").alias("least"), *[F.avg(c).alias(f"c{c}") for c in "xyz"], F.greatest(*sides).alias("size"))
     return ranks(found, [F.desc("n"), F.col("root")], "region").drop("root")
