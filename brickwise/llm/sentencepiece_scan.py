@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from brickwise.llm.common import stage, text_or_empty
 
 #: Documents of more characters are cut into chunks of so many, which are encoded independently.
 CHUNK = 1 << 16
+#: Bytes of short texts that are encoded at once.
+PORTION = 1 << 20
+#: Pairs of neighbours that a task remembers; workers outlive tasks, so it forgets them at its end.
+PAIRS = 1 << 16
 #: Chunk matrices that one task combines; their products are combined likewise.
 FAN = 256
 SPACE = "▁"
@@ -55,7 +61,7 @@ class Pieces:
         self.longest = max(map(len, self.score), default=1)
         self.edge = self.longest + 1
         self.bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.fits = lru_cache(1 << 18)(self._fits)
+        self.fits = lru_cache(PAIRS)(self._fits)
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short text, by definition."""
@@ -224,6 +230,17 @@ def _pieces(model: bytes) -> Pieces:
     return _made[1]
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of (doc_id, text) in slices of about PORTION bytes of text, one row at least: ids are Python numbers of many bytes each
+    before they are Arrow's."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_tokens, ids, lossless) for every row of docs(doc_id, text): the library's ids, and whether
     they decode to the text again.
@@ -247,12 +264,15 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> Da
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _pieces(sent.value).model
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in _portions(batch):
                 texts = part.column(1).to_pylist()
                 ids = model.encode(texts, num_threads=1)
-                same = [a == b for a, b in zip(model.decode(ids, num_threads=1), texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, ids)), pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=["doc_id", "n_tokens", "ids", "lossless"])
+                same = pa.array([a == b for a, b in zip(model.decode(ids, num_threads=1), texts, strict=True)])
+                del texts
+                counts = pa.array(list(map(len, ids)), pa.int32())
+                listed = pa.array(ids, pa.list_(pa.int32()))
+                del ids
+                yield pa.RecordBatch.from_arrays([part.column(0), counts, listed, same], names=["doc_id", "n_tokens", "ids", "lossless"])
 
     if not scannable:
         return rows.select("doc_id", "text").mapInArrow(whole, out)
@@ -274,6 +294,7 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> Da
             found = [[dict(zip("iow", x, strict=True)) for x in transfer(p, t, a, a + s, k == 0)] for k, a, s, t in zip(r["k"], r["left"], r["size"], r["part"], strict=True)]
             kind = pa.list_(pa.struct([("i", pa.int32()), ("o", pa.int32()), ("w", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(found, kind)], names=["row", "k", "m"])
+        p.fits.cache_clear()
 
     matrices = stage(chunks.select("row", "k", "left", "size", "part").mapInArrow(measure, f"row long, k int, m {STATES}"), "matrices")
     matrices = matrices.withColumn("g", F.floor(F.col("k") / FAN).cast("int"))
@@ -312,6 +333,7 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> Da
                 # Decoding drops the blank that was put before the text; here it is put before every chunk.
                 same.append(p.model.decode([p.ids[SPACE], *found]) == body.replace(SPACE, " "))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=["row", "doc_id", "marked", "k", "ids", "same"])
+        p.fits.cache_clear()
 
     encoded = chunks.join(states, ["row", "k"]).select("row", "doc_id", "marked", "k", "left", "size", "part", "enter", "leave")
     parts = encoded.mapInArrow(write, "row long, doc_id long, marked boolean, k int, ids array<int>, same boolean")
